@@ -13,7 +13,7 @@ def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lng = F.sin(F.radians(lng2 - lng1) / 2)
     chord = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lng * half_lng
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.when(chord > 1.0, 1.0).otherwise(chord)))
 
 
 def coord_cell(lat: Column, lng: Column, decimals: int) -> Column:

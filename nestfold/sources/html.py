@@ -131,7 +131,7 @@ def same_floor(floor: Column, total: Column) -> Column:
 def card_detail_join(cards: DataFrame, details: DataFrame, on: str = "url") -> DataFrame:
     """Cards with their detail page; a card whose detail is missing is dropped."""
     places = F.slice(
-        F.filter(F.transform(F.split("location", ","), F.trim), lambda p: p != ""), 1, 3
+        F.filter(F.transform(F.split("location", ","), lambda p: F.trim(p)), lambda p: p != ""), 1, 3
     )
     return cards.join(details, on, "inner").select(
         "id",

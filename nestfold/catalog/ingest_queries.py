@@ -428,8 +428,8 @@ def strip_markup(spark, d):
 
 STRIP_SQL = r"""
 SELECT page_id,
-  md5(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<br\s*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g'),
-    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&#39;', chr(39)), '&amp;', '&'), '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')) AS lines,
+  md5(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<br\s*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')) AS lines,
   md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS inline FROM pages"""
 
 

@@ -3,30 +3,20 @@
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nestfold.functions.vocab import literal_map
+
 # Word and space classes, written out so that they mean the same for every script:
 # letters, digits and other numerals (so "m²" stays a word), underscore.
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\s\x{1c}-\x{1f}"
 
-# Named character references that occur in listing pages (fixed values).
-ENTITIES = {
-    "amp": "&",
-    "lt": "<",
-    "gt": ">",
-    "quot": '"',
-    "apos": "'",
-    "nbsp": " ",
-    "euro": "€",
-    "middot": "·",
-    "ndash": "–",
-    "mdash": "—",
-    "hellip": "…",
-    "sup2": "²",
-}
+# Named character references of HTML, from the standard library's table.
+ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
 _REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
@@ -61,12 +51,11 @@ def _resolve_reference(ref: Column) -> Column:
     ).try_cast("bigint")
     valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
-    table = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
-    return F.coalesce(char, F.when(~is_num, F.try_element_at(table, body)), ref)
+    return F.coalesce(char, F.when(~is_num, F.try_element_at(literal_map(ENTITIES), body)), ref)
 
 
 def unescape(c: Column) -> Column:
-    """Resolve numeric references and the common named ones, each exactly once."""
+    """Resolve numeric and named references, each exactly once; unknown names stay."""
     gaps = F.split(c, _REFERENCE, -1)
     refs = F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0)), _resolve_reference)
     joined = F.array_join(

@@ -68,6 +68,10 @@ OTHER_SOURCE_RANK = 99
 
 def literal_map(table: dict) -> Column:
     """A dict as a literal map: folded into the plan, no join and no broadcast."""
+    if all(isinstance(x, str) for kv in table.items() for x in kv):
+        # One text literal instead of two per entry keeps plans with many lookups small.
+        packed = "\x1e".join(f"{k}\x1f{v}" for k, v in table.items())
+        return F.str_to_map(F.lit(packed), F.lit("\x1e"), F.lit("\x1f"))
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
 
 

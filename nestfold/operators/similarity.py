@@ -26,6 +26,8 @@ CODE_BITS = 64
 BUCKET_LIMIT = 4_096
 # Titles compared with each other inside one task, per side.
 TILE_ROWS = 1_024
+# Tasks of the tile comparison at most.
+MAX_TILE_PARTITIONS = 20_000
 
 
 # --- image codes ---------------------------------------------------------------------------
@@ -186,71 +188,104 @@ def title_entries(df: DataFrame, title: str = "title", price: str = "price_eur",
     return rows.groupBy("title", "price").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
 
 
-def _counts(strings: list[str], grams: int, columns: int) -> np.ndarray:
-    """Hashed character (or bigram) counts per string. Hashing only ever raises the overlap
-    of two strings, so filters built on it drop nothing that could match."""
-    out = np.zeros((len(strings), columns), dtype=np.uint16)
-    sizes = np.array([max(0, len(s) - grams + 1) for s in strings])
-    if sizes.sum() == 0:
-        return out
-    points = [np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for s in strings]
-    if grams == 1:
-        keys = np.concatenate(points)
-    else:
-        keys = np.concatenate([p[:-1] * np.uint32(31) + p[1:] for p in points if len(p) > 1])
-    rows = np.repeat(np.arange(len(strings)), sizes)
-    np.add.at(out, (rows, keys % columns), 1)
+def _char_counts(points: list[np.ndarray], columns: int = 64) -> np.ndarray:
+    """Hashed character counts per string. Hashing only ever raises the overlap of two
+    strings, so a filter built on it drops nothing that could match."""
+    out = np.zeros((len(points), columns), dtype=np.uint16)
+    if sum(len(p) for p in points):
+        rows = np.repeat(np.arange(len(points)), [len(p) for p in points])
+        np.add.at(out, (rows, np.concatenate(points) % columns), 1)
     return out
 
 
-def compare_titles(left: pd.DataFrame, right: pd.DataFrame, same: bool, both_ways: bool, ratio: float, pct: float) -> pd.DataFrame:
+def _common_subsequence(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Longest common subsequence length of each pair (left[i], right[j]).
+
+    Bit-parallel over the right string (Hyyro, "Bit-parallel LCS-length computation revisited",
+    2004), with all pairs advanced together one left character at a time.
+    """
+    used = np.unique(j)
+    alphabet = np.unique(np.concatenate([right[k] for k in used] or [np.zeros(0, np.uint32)]))
+    words = max(1, -(-max((len(right[k]) for k in used), default=1) // 64))
+    # One row per right string and character; the last character row stays empty.
+    masks = np.zeros((len(used), len(alphabet) + 1, words), dtype=np.uint64)
+    for row, k in enumerate(used):
+        at = np.arange(len(right[k]))
+        bit = np.left_shift(np.uint64(1), (at % 64).astype(np.uint64))
+        np.bitwise_or.at(masks, (row, np.searchsorted(alphabet, right[k]), at // 64), bit)
+    steps = max((len(left[k]) for k in np.unique(i)), default=0)
+    text_of = np.full((len(left), steps), len(alphabet), dtype=np.int64)
+    for k in np.unique(i):
+        at = np.searchsorted(alphabet, left[k])
+        at[at == len(alphabet)] = 0
+        known = alphabet[at] == left[k] if len(alphabet) else np.zeros(len(at), bool)
+        text_of[k, : len(at)] = np.where(known, at, len(alphabet))
+    row_of = np.searchsorted(used, j)
+    v = np.full((words, len(i)), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for step in range(steps):
+        m = masks[row_of, text_of[i, step]]
+        carry = np.zeros(len(i), dtype=np.uint64)
+        for w in range(words):
+            u = v[w] & m[:, w]
+            total = v[w] + u
+            over = total < v[w]
+            bumped = total + carry
+            over |= bumped < total
+            v[w] = bumped | (v[w] & ~u)
+            carry = over.astype(np.uint64)
+    return np.bitwise_count(~v).sum(axis=0, dtype=np.int64)
+
+
+# Pairs advanced together, which bounds the arrays of a tile.
+PAIR_BATCH = 65_536
+
+
+def compare_titles(
+    left: pd.DataFrame, right: pd.DataFrame, same: bool, both_ways: bool, ratio: float, pct: float
+) -> pd.DataFrame:
     """Title pairs of one tile that match, as ``(later, earlier, ratio)`` entry rows.
 
-    Lossless bounds first (price, length, shared characters, shared bigrams), then the exact
-    ratio. With T the summed length and M the matched characters, ratio = 2M/T, matched
-    blocks number at most T - 2M + 1, and each block of length L shares L - 1 bigrams, so
-    a match shares at least 3M - T - 1 bigrams.
+    Lossless bounds first: price, length, shared characters, common subsequence. The ratio is
+    twice the matched characters over both lengths, and matched blocks keep their order, so no ratio
+    exceeds what the common subsequence allows. The exact ratio runs on what is left.
     """
     lt, rt = left["title"].tolist(), right["title"].tolist()
     ll = np.array([len(t) for t in lt], dtype=np.int64)
     rl = np.array([len(t) for t in rt], dtype=np.int64)
     lp, rp = left["price"].to_numpy(float), right["price"].to_numpy(float)
-    chars_l, chars_r = _counts(lt, 1, 64), _counts(rt, 1, 64)
-    grams_l, grams_r = _counts(lt, 2, 256), _counts(rt, 2, 256)
+    points = lambda ts: [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in ts]
+    pts_l, pts_r = points(lt), points(rt)
+    chars_l, chars_r = _char_counts(pts_l), _char_counts(pts_r)
     first_l, last_l = left["first"].to_numpy(), left["last"].to_numpy()
     first_r, last_r = right["first"].to_numpy(), right["last"].to_numpy()
+
+    def required(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.ceil(ratio * (ll[i] + rl[j]) / 2 - 1e-9)
+
+    top = np.maximum(lp[:, None], rp[None, :])
+    ok = np.abs(lp[:, None] - rp[None, :]) / top <= pct
+    ok &= np.minimum(ll[:, None], rl[None, :]) >= np.ceil(ratio * (ll[:, None] + rl[None, :]) / 2 - 1e-9)
+    if same:
+        ok &= np.tri(len(lt), len(rt), -1, dtype=bool)
+    all_i, all_j = np.nonzero(ok)
     out: list[tuple] = []
-    for j in range(len(rt)):
-        start = j + 1 if same else 0
-        if start >= len(lt):
-            continue
-        p, n = lp[start:], ll[start:]
-        total = n + rl[j]
-        need = np.ceil(ratio * total / 2 - 1e-9)
-        ok = np.abs(p - rp[j]) / np.maximum(p, rp[j]) <= pct
-        ok &= np.minimum(n, rl[j]) >= need
-        idx = np.nonzero(ok)[0]
-        if not len(idx):
-            continue
-        shared = np.minimum(chars_l[start + idx], chars_r[j]).sum(axis=1, dtype=np.int64)
-        idx = idx[shared >= need[idx]]
-        if not len(idx):
-            continue
-        shared = np.minimum(grams_l[start + idx], grams_r[j]).sum(axis=1, dtype=np.int64)
-        idx = idx[shared >= 3 * need[idx] - total[idx] - 1] + start
-        if not len(idx):
+    for start in range(0, len(all_i), PAIR_BATCH):
+        i, j = all_i[start : start + PAIR_BATCH], all_j[start : start + PAIR_BATCH]
+        shared = np.minimum(chars_l[i], chars_r[j]).sum(axis=1, dtype=np.int64)
+        keep = shared >= required(i, j)
+        i, j = i[keep], j[keep]
+        if not len(i):
             continue
-        as_earlier = SequenceMatcher(None, "", rt[j])
-        for i in idx:
-            if last_l[i] > first_r[j] or not both_ways:
-                as_earlier.set_seq1(lt[i])
-                r = as_earlier.ratio()
+        keep = _common_subsequence(pts_l, pts_r, i, j) >= required(i, j)
+        for x, y in zip(i[keep], j[keep]):
+            if last_l[x] > first_r[y] or not both_ways:
+                r = SequenceMatcher(None, lt[x], rt[y]).ratio()
                 if r >= ratio:
-                    out.append((lt[i], lp[i], rt[j], rp[j], r))
-            if both_ways and last_r[j] > first_l[i]:
-                r = SequenceMatcher(None, rt[j], lt[i]).ratio()
+                    out.append((lt[x], lp[x], rt[y], rp[y], r))
+            if both_ways and last_r[y] > first_l[x]:
+                r = SequenceMatcher(None, rt[y], lt[x]).ratio()
                 if r >= ratio:
-                    out.append((rt[j], rp[j], lt[i], lp[i], r))
+                    out.append((rt[y], rp[y], lt[x], lp[x], r))
     return pd.DataFrame(
         out, columns=["later_title", "later_price", "earlier_title", "earlier_price", "ratio"]
     )
@@ -344,7 +379,13 @@ def fuzzy_title_join(
         return compare_titles(lhs, rhs, same, not two, ratio, pct)
 
     out = "later_title string, later_price double, earlier_title string, earlier_price double, ratio double"
-    return on_left.unionByName(on_right).groupBy(*tile).applyInPandas(compare, out)
+    # Tiles are small in bytes but heavy in work: an explicit count keeps the engine from
+    # packing them into few tasks.
+    tiles = links.agg(F.sum(F.col("lc") * F.col("rc"))).first()[0] or 1
+    floor = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(min(max(floor, tiles // 4), MAX_TILE_PARTITIONS))
+    rows = on_left.unionByName(on_right).repartition(parts, *tile)
+    return rows.groupBy(*tile).applyInPandas(compare, out)
 
 
 # --- the cascade ---------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,9 +52,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared folder and drop its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` once as a table in the shared folder and read it back.
+
+    The result has no lineage, real file sizes for the optimizer and column pruning; unlike
+    ``checkpoint`` it also leaves behind the constraints of the plan, which grow with every
+    round of an iteration.
+    """
+    target = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
 # A joined side is broadcast only after its rows were counted and found below this.

@@ -154,10 +154,16 @@ TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
+# Tables whose rows carry enough work to be worth spreading.
+SPREAD = {"orders", "documents", "pages", "part", "customer"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One small file is one task however many cores there are, so an input with
+    fewer partitions than cores is spread; a large input is read as it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in SPREAD and df.rdd.getNumPartitions() < cores else df
 
 
 def rig(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

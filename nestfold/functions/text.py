@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -54,8 +55,16 @@ def _resolve_reference(ref: Column) -> Column:
     return F.coalesce(char, F.when(~is_num, F.try_element_at(literal_map(ENTITIES), body)), ref)
 
 
-def unescape(c: Column) -> Column:
-    """Resolve numeric and named references, each exactly once; unknown names stay."""
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` evaluated a single time however often ``use`` refers to it.
+
+    Long text chains inside ``when`` or higher-order functions are otherwise worked out
+    again at every mention.
+    """
+    return F.get(F.transform(F.array(c), lambda x: use(x)), F.lit(0))
+
+
+def _unescape_one(c: Column) -> Column:
     gaps = F.split(c, _REFERENCE, -1)
     refs = F.transform(F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0)), _resolve_reference)
     joined = F.array_join(
@@ -64,6 +73,11 @@ def unescape(c: Column) -> Column:
     return F.when(c.contains("&"), joined).otherwise(c)
 
 
+def unescape(c: Column) -> Column:
+    """Resolve numeric and named references, each exactly once; unknown names stay."""
+    return once(c, _unescape_one)
+
+
 def strip_markup(c: Column) -> Column:
     """Markup to text: line breaks kept, tags dropped, references resolved, ends stripped."""
     broken = F.regexp_replace(c, r"(?i)<br\s*/?>", "\n")

@@ -48,7 +48,7 @@ def first_fit_labels(edges: DataFrame) -> DataFrame:
     chains shorten geometrically.
     """
     base = cut(edges.select("later", "earlier").distinct())
-    labels = cut(base.groupBy("later").agg(F.min("earlier").alias("label")))
+    labels = base.groupBy("later").agg(F.min("earlier").alias("label"))
     while True:
         arrows = base.withColumn("held", F.lit(None).cast("bigint")).unionByName(
             labels.select("later", F.col("label").alias("earlier"), F.col("label").alias("held"))

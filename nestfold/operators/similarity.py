@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from nestfold.config import MatchConfig
 from nestfold.functions import codes as code_fn
 from nestfold.functions import geo, text
-from nestfold.session import broadcast_if_small, cut
+from nestfold.session import BROADCAST_ROWS, broadcast_if_small, cut
 
 CODE_BITS = 64
 # A bucket of more codes than this is divided again before its codes are compared.
@@ -115,10 +115,12 @@ def hamming_join(
     masks = _equal_masks(list(range(CODE_BITS)), parts, max_dist)
     keys_a, keys_b = _keyed(left, "code_a", masks), _keyed(right, "code_b", masks)
 
-    fill = keys_b.groupBy("mask_no", "bits").agg(F.count("*").alias("n"))
-    large = cut(fill.filter(F.col("n") > BUCKET_LIMIT))
-    pairs = None
-    top = large.agg(F.max("n")).first()[0]
+    # Fewer codes than the limit cannot fill a bucket beyond it.
+    top = None
+    if n > BUCKET_LIMIT:
+        fill = keys_b.groupBy("mask_no", "bits").agg(F.count("*").alias("n"))
+        large = cut(fill.filter(F.col("n") > BUCKET_LIMIT))
+        top = large.agg(F.max("n")).first()[0]
     if top is None:
         pairs = keys_a.join(keys_b, ["mask_no", "bits"])
     else:
@@ -191,7 +193,7 @@ def title_entries(df: DataFrame, title: str = "title", price: str = "price_eur",
 def _char_counts(points: list[np.ndarray], columns: int = 64) -> np.ndarray:
     """Hashed character counts per string. Hashing only ever raises the overlap of two
     strings, so a filter built on it drops nothing that could match."""
-    out = np.zeros((len(points), columns), dtype=np.uint16)
+    out = np.zeros((len(points), columns), dtype=np.int32)
     if sum(len(p) for p in points):
         rows = np.repeat(np.arange(len(points)), [len(p) for p in points])
         np.add.at(out, (rows, np.concatenate(points) % columns), 1)
@@ -318,23 +320,24 @@ def fuzzy_title_join(
     def banded(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = title_entries(df, title, price, seq)
         size = F.length("title")
-        rows = rows.withColumn("pb", F.floor(F.ln("price") / price_width)).withColumn(
+        rows = cut(rows).withColumn("pb", F.floor(F.ln("price") / price_width)).withColumn(
             "lb", F.when(size > 0, F.floor(F.ln(size) / length_width)).otherwise(F.lit(-2))
         )
-        blocks = rows.groupBy("pb", "lb").agg(
-            F.ceil(F.count("*") / F.lit(float(tile_rows))).cast("int").alias("chunks")
+        # Longer titles, smaller tiles: a tile's memory stays about the same.
+        longest = F.exp((F.col("lb") + 1) * F.lit(length_width))
+        per_tile = F.greatest(F.lit(1.0), F.lit(float(tile_rows)) * F.least(F.lit(1.0), F.lit(128.0) / longest))
+        blocks = rows.groupBy("pb", "lb").agg(F.count("*").alias("n")).select(
+            "pb", "lb", F.ceil(F.col("n") / per_tile).cast("int").alias("chunks")
         )
         return rows, blocks
 
     left, left_blocks = banded(a)
     # Offsets (price band, length band) from the left block to the right one.
     if b is None:
-        left, left_blocks = cut(left), broadcast_if_small(left_blocks)
         right, right_blocks = left, left_blocks
         offsets = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
     else:
         right, right_blocks = banded(b)
-        left_blocks, right_blocks = broadcast_if_small(left_blocks), broadcast_if_small(right_blocks)
         offsets = [(p, l) for p in (-1, 0, 1) for l in (-1, 0, 1)]
 
     reach = F.explode(
@@ -348,7 +351,11 @@ def fuzzy_title_join(
             ["pb2", "lb2"],
         )
     )
-    links = broadcast_if_small(links)
+    # Bands are few, whatever the number of entries; counted all the same before a broadcast.
+    links = cut(links)
+    n_links, tiles = links.agg(F.count("*"), F.sum(F.col("lc") * F.col("rc"))).first()
+    if n_links <= BROADCAST_ROWS:
+        links = F.broadcast(links)
     chunk = lambda n: F.pmod(F.xxhash64("title", "price"), F.col(n)).cast("int")
     own = (F.col("pb") == F.col("pb2")) & (F.col("lb") == F.col("lb2")) if b is None else F.lit(False)
     tile = ["pb", "lb", "pb2", "lb2", "i", "j"]
@@ -381,9 +388,8 @@ def fuzzy_title_join(
     out = "later_title string, later_price double, earlier_title string, earlier_price double, ratio double"
     # Tiles are small in bytes but heavy in work: an explicit count keeps the engine from
     # packing them into few tasks.
-    tiles = links.agg(F.sum(F.col("lc") * F.col("rc"))).first()[0] or 1
     floor = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = int(min(max(floor, tiles // 4), MAX_TILE_PARTITIONS))
+    parts = int(min(max(floor, (tiles or 1) // 4), MAX_TILE_PARTITIONS))
     rows = on_left.unionByName(on_right).repartition(parts, *tile)
     return rows.groupBy(*tile).applyInPandas(compare, out)
 

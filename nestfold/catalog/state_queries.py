@@ -285,12 +285,27 @@ SELECT CAST(o_custkey AS STRING) AS listing_key, arg_min(o_totalprice, o_orderke
 WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0) GROUP BY 1"""
 
 
+def write_digest(spark, d):
+    """A run per listing source as its date, one date written twice; what is read back."""
+    out = f"{_work(spark)}/digest"
+    rows = rigs.listings(spark, d).select("listing_key", "price_eur", "source")
+    for day, name in enumerate(rigs.SOURCES, start=1):
+        state.write_digest(rows.filter(F.col("source") == name), out, f"2026-06-0{day}")
+    state.write_digest(rows.filter("source = '4zida' and price_eur < 900"), out, "2026-06-01")
+    return spark.read.parquet(out).select("listing_key", F.col("run_date").cast("string").alias("run_date"), "price_eur")
+
+
+WRITE_SQL = f"""
+SELECT listing_key, '2026-06-0' || list_position(['4zida','cityexpert','nekretnine','halooglasi'], source) AS run_date, price_eur
+FROM {L} l WHERE source <> '4zida' OR price_eur < 900"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         click_dispatch, click_counts, first_seen_set, toggle_fold, skip_antijoin, skipped_profiles, hashtag_filter,
         post_filter, unseen_posts, channel_counts, cache_split, incremental_enrich, enrich_failures, text_facts,
-        vector_fingerprint, click_stream, skip_stream, favorite_stream, post_stream, instant_stream,
+        vector_fingerprint, click_stream, skip_stream, favorite_stream, post_stream, instant_stream, write_digest,
     )
 }
 
@@ -315,4 +330,5 @@ ORACLE = {
     "favorite_stream": TOGGLE_SQL,
     "post_stream": "SELECT DISTINCT source AS channel, doc_id % 300 AS message_id FROM documents",
     "instant_stream": INSTANT_SQL,
+    "write_digest": WRITE_SQL,
 }

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nestfold import schema
-from nestfold.operators.state import cache_split, payload_of, upsert_snapshot
+from nestfold.operators.state import cache_lookup, payload_of, split_hits, upsert_snapshot
 from nestfold.session import cut
 
 # Phrases that state a fact, first match wins from top to bottom (fixed values).
@@ -177,7 +177,8 @@ def incremental_enrich(
     call-priced services. Answers are materialised once, so ``fn`` is not called again when the outputs are
     read. Failed rows keep a null ``extraction``, are not cached and retry next run.
     """
-    hits, misses = cache_split(df, cache, key, text_col)
+    # The lookup feeds three branches, so its join runs once.
+    hits, misses = split_hits(cut(cache_lookup(df, cache, key, text_col)))
     tried = misses if budget is None else misses.orderBy(seq).limit(budget)
     if as_column:
         answered = tried.select(

@@ -121,30 +121,40 @@ def payload_of(facts: Column) -> Column:
 def facts_of(payload: Column) -> Column:
     """Stored payload to the facts struct; unknown fields are ignored, corrupt gives null."""
     parsed = F.from_json(payload, schema.EXTRACTION, {"mode": "PERMISSIVE"})
-    sound = F.expr("true") & F.trim(payload).startswith("{") & F.try_parse_json(payload).isNotNull()
+    sound = F.trim(payload).startswith("{") & F.try_parse_json(payload).isNotNull()
     return F.when(sound, parsed)
 
 
-def cache_split(
+def cache_lookup(
     df: DataFrame, cache: DataFrame, key: str = "listing_key", text_col: str = "description"
-) -> tuple[DataFrame, DataFrame]:
-    """Rows whose stored facts are still valid, with ``extraction``; and the others.
+) -> DataFrame:
+    """Adds ``desc_hash`` and, where the stored facts are still valid, ``extraction``.
 
     Valid means same key, same content hash (a stored null never matches) and a payload
-    that parses. One left join; hits and misses are two filters on it.
+    that parses.
     """
     stored = cache.select(
-        key,
+        F.col(key).alias("_key"),
         F.col("desc_hash").alias("_hash"),
         facts_of(F.col("payload")).alias("extraction"),
     ).filter("extraction is not null and _hash is not null")
     left = df.drop("extraction").withColumn("desc_hash", text.content_hash(F.col(text_col)))
-    joined = left.join(
-        stored.withColumnRenamed(key, "_key"),
-        (F.col(key) == F.col("_key")) & (F.col("desc_hash") == F.col("_hash")),
-        "left",
-    ).drop("_key", "_hash")
-    return joined.filter("extraction is not null"), joined.filter("extraction is null").drop("extraction")
+    valid = (F.col(key) == F.col("_key")) & (F.col("desc_hash") == F.col("_hash"))
+    return left.join(stored, valid, "left").drop("_key", "_hash")
+
+
+def split_hits(looked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (
+        looked.filter("extraction is not null"),
+        looked.filter("extraction is null").drop("extraction"),
+    )
+
+
+def cache_split(
+    df: DataFrame, cache: DataFrame, key: str = "listing_key", text_col: str = "description"
+) -> tuple[DataFrame, DataFrame]:
+    """Rows whose stored facts are still valid, with ``extraction``; and the others."""
+    return split_hits(cache_lookup(df, cache, key, text_col))
 
 
 def ttl_cache_lookup(

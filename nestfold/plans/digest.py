@@ -92,8 +92,6 @@ def gate_candidates(inputs: DigestInputs, cfg: DigestConfig, as_of: datetime, bu
             "left_semi",
         )
         alive = with_detail_text(alive, wanted, "listing_key").drop("upgraded")
-    # The survivors are few and feed several branches: written once, they spare re-reading the listings.
-    alive = cut(alive)
     rows, extraction_cache, failures = enrich.incremental_enrich(
         alive,
         inputs.extraction_cache,

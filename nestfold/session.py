@@ -51,6 +51,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _cut_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/cuts-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once as a table in the shared folder and read it back.
 
@@ -58,11 +62,17 @@ def cut(df: DataFrame) -> DataFrame:
     ``checkpoint`` it also leaves behind the constraints of the plan, which grow with every
     round of an iteration.
     """
-    target = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    target = f"{_cut_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
+def forget_cuts(spark: SparkSession) -> None:
+    """Delete the tables ``cut`` wrote for this application, once nothing reads them any more."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_cut_dir(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
 # A joined side is broadcast only after its rows were counted and found below this.
 BROADCAST_ROWS = 100_000
 

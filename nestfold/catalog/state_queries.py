@@ -264,20 +264,15 @@ def post_stream(spark, d):
 def instant_stream(spark, d):
     """Orders as pushes; every fifth customer was notified before the run."""
     out = _work(spark)
-    store = state.VersionedTable(spark, f"{out}/notified")
     old = rigs.table(spark, d, "customer").filter("c_custkey % 5 = 0")
-    store.write(
-        old.select(
-            F.col("c_custkey").cast("string").alias("listing_key"), F.lit(AS_OF).cast("timestamp").alias("notified_at"),
-            F.col("c_acctbal").alias("notified_price"), F.lit("match").alias("notified_stage"), F.lit(None).cast("bigint").alias("batch_id"),
-        )
-    )
+    known = old.select(
+        F.col("c_custkey").cast("string").alias("listing_key"), F.lit(AS_OF).cast("timestamp").alias("notified_at")
+    )
     rows = _stream(spark, d, "orders").select(
         F.col("o_custkey").cast("string").alias("listing_key"), F.col("o_totalprice").alias("price_eur"), F.lit("match").alias("stage"), F.col("o_orderkey").alias("seq")
     )
-    _drain(feedback.instant_stream(rows, store, f"{out}/outbox", f"{out}/cp", AS_OF, True))
-    sent = spark.read.parquet(f"{out}/outbox")
-    return sent.select("listing_key", "price_eur")
+    _drain(feedback.instant_stream(rows, known, f"{out}/outbox", f"{out}/cp", True))
+    return feedback.read_outbox(spark, f"{out}/outbox").select("listing_key", "price_eur")
 
 
 INSTANT_SQL = """

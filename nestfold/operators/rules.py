@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from nestfold.config import FilterConfig
 from nestfold.functions import text, vocab
+from nestfold.session import broadcast_if_small
 
 
 @dataclass(frozen=True)
@@ -145,10 +146,12 @@ def canonicalize_vocab(
     df: DataFrame, col: str, table: "dict[str, str] | DataFrame", out: str = "canonical"
 ) -> DataFrame:
     """Canonical term of a raw column, by a literal table or by a vocabulary frame
-    ``(raw, canonical)``. A frame joins by equality and may be of any size."""
+    ``(raw, canonical)``. One common term may be on most rows, so a frame whose counted size
+    allows it is broadcast and the rows stay where they are."""
     if isinstance(table, dict):
         return df.withColumn(out, vocab.canonical(F.col(col), table))
     terms = table.select(F.col("raw").alias("_raw"), F.col("canonical").alias(out))
+    terms = broadcast_if_small(terms)
     return df.join(terms, F.lower(F.trim(F.col(col))) == F.col("_raw"), "left").drop("_raw")
 
 

@@ -157,8 +157,8 @@ def grid_bucket_join(a: DataFrame, b: DataFrame | None = None, cfg: MatchConfig
     ``(cell, price_cell, m2_a, m2_b)``.
 
     Sizes fall into bins one tolerance wide; only a bin and its successor are joined, so a
-    crowded cell is divided by size. With one input, ``m2_a < m2_b``; with two, all pairs,
-    equal sizes included.
+    crowded cell is divided by size. The output is bounded by how finely sizes are stated, not
+    by the rows. With one input, ``m2_a < m2_b``; with two, all pairs, equal sizes included.
     """
     tol = cfg.m2_tolerance
     keys = ["cell", "price_cell", "m2"]
@@ -537,6 +537,15 @@ def skipped_dup_antijoin(df: DataFrame, hidden: DataFrame, cfg: MatchConfig = Ma
 
 
 def post_dup_antijoin(df: DataFrame, known: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:
-    """Rows whose image code is not within reach of a known one; rows without a code stay."""
-    hits = hamming_join(df, known, max_dist=cfg.max_hamming).select(F.col("code_a").alias("code")).distinct()
-    return df.join(hits, "code", "left_anti")
+    """Rows whose image code is not within reach of a known one; rows without a code stay.
+
+    Rows without a code may be many and match nothing: a hash of the row spreads them, as they
+    would all meet in one task otherwise.
+    """
+    hits = hamming_join(df, known, max_dist=cfg.max_hamming).select(
+        F.col("code_a").alias("code"), F.lit(0).cast("bigint").alias("_spread")
+    )
+    plain = [c for c, t in df.dtypes if not t.startswith(("map", "array", "struct", "variant"))]
+    spread = F.when(F.col("code").isNull(), F.xxhash64(*plain)).otherwise(F.lit(0).cast("bigint"))
+    keys = ["code", "_spread"]
+    return df.withColumn("_spread", spread).join(hits.distinct(), keys, "left_anti").drop("_spread")

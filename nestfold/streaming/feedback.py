@@ -11,14 +11,14 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from nestfold.operators.notify import mark_notified
-from nestfold.operators.state import VersionedTable, click_dispatch, fresh_only
+from nestfold.operators.state import click_dispatch, fresh_only
 
 
 def _start(df: DataFrame, path: str, checkpoint: str, mode: str, available_now: bool) -> StreamingQuery:
@@ -142,46 +142,40 @@ def favorites_of(changes: DataFrame) -> DataFrame:
     return last.filter("s.active").select("key", F.timestamp_micros("s.since").alias("since"))
 
 
+OUTBOX = "listing_key string, price_eur double, stage string, batch_id bigint"
+
+
+def read_outbox(spark: SparkSession, path: str) -> DataFrame:
+    """What was pushed so far, by batch; empty before the first push."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(root)
+    return spark.read.schema(OUTBOX).parquet(path)
+
+
 def instant_stream(
-    rows: DataFrame,
-    notified: VersionedTable,
-    outbox: str,
-    checkpoint: str,
-    as_of: datetime,
-    available_now: bool = False,
+    rows: DataFrame, notified: DataFrame, outbox: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Push rows never notified before: outbox entries per batch, then the stamps.
+    """Push rows never notified before, as ``batch_id=N`` directories of an outbox.
 
-    ``rows`` has ``listing_key, price_eur, stage`` and may repeat a key; the first price in a
-    batch by ``seq`` is sent. A batch that runs again rewrites its own outbox directory, and rows
-    stamped by an earlier batch stay out, so each row leaves once.
+    ``rows`` has ``listing_key, price_eur, stage, seq`` and may repeat a key: the first of a batch
+    is sent. ``notified`` is the snapshot as it was before the stream started; what the stream itself
+    sent is read from the earlier batches of the outbox, so nothing is rewritten. A batch
+    that runs again sees the same earlier batches and replaces its own directory: each row
+    leaves once.
     """
 
     def push(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = f"{outbox}/batch_id={batch_id}"
-        known = notified.read()
         first = batch.groupBy("listing_key").agg(F.min_by(F.struct("price_eur", "stage"), "seq").alias("r"))
-        first = first.select("listing_key", "r.*")
-        # Entries of this very batch do not count as sent when the batch is repeated.
-        before = known.filter(~F.col("batch_id").eqNullSafe(F.lit(batch_id)))
-        fresh_only(first, before).write.mode("overwrite").parquet(target)
-        sent = spark.read.parquet(target)
-        grown = known.select("listing_key", "notified_at", "notified_price", "notified_stage", "batch_id")
-        new = sent.join(known.select("listing_key"), "listing_key", "left_anti").select(
-            "listing_key",
-            F.lit(None).cast("timestamp").alias("notified_at"),
-            F.lit(None).cast("double").alias("notified_price"),
-            F.lit(None).cast("string").alias("notified_stage"),
-            F.lit(batch_id).cast("bigint").alias("batch_id"),
-        )
-        stamped = mark_notified(grown.unionByName(new), sent, as_of)
-        sent_keys = sent.select("listing_key", F.lit(batch_id).cast("bigint").alias("_b"))
-        notified.write(
-            stamped.join(sent_keys, "listing_key", "left")
-            .withColumn("batch_id", F.coalesce("_b", "batch_id"))
-            .drop("_b")
+        sent = read_outbox(batch.sparkSession, outbox).filter(F.col("batch_id") < batch_id)
+        new = fresh_only(first.select("listing_key", "r.*"), notified).join(
+            sent.select("listing_key"), "listing_key", "left_anti"
         )
+        new.write.mode("overwrite").parquet(f"{outbox}/batch_id={batch_id}")
 
     writer = rows.writeStream.foreachBatch(push).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def fold_outbox(snapshot: DataFrame, sent: DataFrame, as_of: datetime) -> DataFrame:
+    """Next snapshot with the pushed rows stamped; run once per digest, not per batch."""
+    return mark_notified(snapshot, sent, as_of)

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 from pyspark.sql import functions as F
 
-from nestfold.operators.state import VersionedTable, toggle_fold
+from nestfold.operators.state import toggle_fold
 from nestfold.streaming import feedback
 
 SCHEMA = "update_id long, ts timestamp, data string"
@@ -50,19 +50,18 @@ def test_toggles_reduce_to_changes():
 
 
 def test_instant_rows_leave_once(spark, tmp_path):
-    src, box, cp, tab = (str(tmp_path / n) for n in ("in", "box", "cp", "tab"))
-    store = VersionedTable(spark, tab)
-    known = [("old", T0, 1.0, "match", None)]
-    store.write(spark.createDataFrame(known, "listing_key string, notified_at timestamp, notified_price double, notified_stage string, batch_id long"))
+    src, box, cp = (str(tmp_path / n) for n in ("in", "box", "cp"))
+    stamps = "listing_key string, notified_at timestamp, notified_price double, notified_stage string"
+    known = spark.createDataFrame([("old", T0, 1.0, "match"), ("n1", None, None, None), ("n2", None, None, None)], stamps)
     schema = "listing_key string, price_eur double, stage string, seq long"
     for rows in ([("old", 5.0, "match", 1), ("n1", 6.0, "match", 2), ("n1", 7.0, "match", 3)], [("n1", 6.0, "match", 4), ("n2", 8.0, "near_miss", 5)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
-        feedback.instant_stream(stream, store, box, cp, T0, True).awaitTermination()
-    sent = {(r.listing_key, r.price_eur) for r in spark.read.parquet(box).collect()}
-    assert sent == {("n1", 6.0), ("n2", 8.0)}
-    stamps = {r.listing_key: r.notified_stage for r in store.read().collect()}
-    assert stamps == {"old": "match", "n1": "match", "n2": "near_miss"}
+        feedback.instant_stream(stream, known, box, cp, True).awaitTermination()
+    sent = feedback.read_outbox(spark, box)
+    assert {(r.listing_key, r.price_eur, r.batch_id) for r in sent.collect()} == {("n1", 6.0, 0), ("n2", 8.0, 1)}
+    folded = {r.listing_key: (r.notified_price, r.notified_stage) for r in feedback.fold_outbox(known, sent, T0).collect()}
+    assert folded == {"old": (1.0, "match"), "n1": (6.0, "match"), "n2": (8.0, "near_miss")}
 
 
 def test_posts_once_within_a_delay(spark, tmp_path):

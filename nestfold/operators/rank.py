@@ -95,8 +95,9 @@ def pick_canonical(
 
 
 def rejection_tally(
-    rejected: DataFrame, k: int = 30, seq: str = "seq"
+    rejected: DataFrame, k: int = 30, order: str | list[str] = "seq"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Count per rule; the first ``k`` rejected rows in arrival order; and how many are not shown."""
+    keys = [order] if isinstance(order, str) else order
     tally = rejected.groupBy("rule_id").agg(F.count("*").alias("n"))
-    return tally, rejected.orderBy(seq).limit(k), overflow(rejected, k, "remainder")
+    return tally, rejected.orderBy(*keys).limit(k), overflow(rejected, k, "remainder")

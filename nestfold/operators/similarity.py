@@ -200,11 +200,14 @@ def _char_counts(points: list[np.ndarray], columns: int = 64) -> np.ndarray:
     return out
 
 
-def _common_subsequence(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Longest common subsequence length of each pair (left[i], right[j]).
+def _share_subsequence(
+    left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray, need: np.ndarray
+) -> np.ndarray:
+    """Whether the longest common subsequence of each pair (left[i], right[j]) reaches ``need``.
 
     Bit-parallel over the right string (Hyyro, "Bit-parallel LCS-length computation revisited",
-    2004), with all pairs advanced together one left character at a time.
+    2004), with all pairs advanced together one left character at a time. Pairs that can no
+    longer get there are let go every 64 characters.
     """
     used = np.unique(j)
     alphabet = np.unique(np.concatenate([right[k] for k in used] or [np.zeros(0, np.uint32)]))
@@ -223,8 +226,21 @@ def _common_subsequence(left: list[np.ndarray], right: list[np.ndarray], i: np.n
         known = alphabet[at] == left[k] if len(alphabet) else np.zeros(len(at), bool)
         text_of[k, : len(at)] = np.where(known, at, len(alphabet))
     row_of = np.searchsorted(used, j)
+    size = np.array([len(p) for p in left])[i]
+    reached = np.zeros(len(i), dtype=bool)
+    slot = np.arange(len(i))
     v = np.full((words, len(i)), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for step in range(steps):
+    for step in range(steps + 1):
+        if step % 64 == 0 or step == steps:
+            common = np.bitwise_count(~v).sum(axis=0, dtype=np.int64)
+            done = common >= need
+            reached[slot[done]] = True
+            going = ~done & (common + size - step >= need)
+            if not going.any() or step == steps:
+                break
+            if not going.all():
+                i, row_of, size, need, slot = (x[going] for x in (i, row_of, size, need, slot))
+                v = v[:, going]
         m = masks[row_of, text_of[i, step]]
         carry = np.zeros(len(i), dtype=np.uint64)
         for w in range(words):
@@ -235,7 +251,7 @@ def _common_subsequence(left: list[np.ndarray], right: list[np.ndarray], i: np.n
             over |= bumped < total
             v[w] = bumped | (v[w] & ~u)
             carry = over.astype(np.uint64)
-    return np.bitwise_count(~v).sum(axis=0, dtype=np.int64)
+    return reached
 
 
 # Pairs advanced together, which bounds the arrays of a tile.
@@ -278,7 +294,7 @@ def compare_titles(
         i, j = i[keep], j[keep]
         if not len(i):
             continue
-        keep = _common_subsequence(pts_l, pts_r, i, j) >= required(i, j)
+        keep = _share_subsequence(pts_l, pts_r, i, j, required(i, j))
         for x, y in zip(i[keep], j[keep]):
             if last_l[x] > first_r[y] or not both_ways:
                 r = SequenceMatcher(None, lt[x], rt[y]).ratio()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from nestfold import schema
 from nestfold.functions import text
+from nestfold.session import cut
 
 
 def last_per_key(df: DataFrame, key: str | list[str], order: str | list[str], cols: list[str]) -> DataFrame:
@@ -219,9 +220,12 @@ def toggle_fold(
     marked = events.filter(F.col(kind).isin(on, off)).select(
         F.col(key).alias("key"), F.col(kind).alias("kind"), when.alias("at"), slot.alias("slot")
     )
-    slices = marked.groupBy("key", "slot").agg(
-        F.max(F.when(F.col("kind") == off, F.col("at"))).alias("last_off"),
-        F.min(F.when(F.col("kind") == on, F.col("at"))).alias("first_on"),
+    # One row per key and slice, read twice below.
+    slices = cut(
+        marked.groupBy("key", "slot").agg(
+            F.max(F.when(F.col("kind") == off, F.col("at"))).alias("last_off"),
+            F.min(F.when(F.col("kind") == on, F.col("at"))).alias("first_on"),
+        )
     )
     last = slices.groupBy("key").agg(
         F.max("last_off").alias("off_at"), F.max(F.when(F.col("last_off").isNotNull(), F.col("slot"))).alias("off_slot")

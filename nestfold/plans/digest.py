@@ -55,6 +55,8 @@ class DigestInputs:
 class DigestOutputs:
     cards: DataFrame
     rejected: DataFrame
+    rejected_tally: DataFrame
+    rejected_shown: DataFrame
     funnel: DataFrame
     clustered: DataFrame
     snapshot: DataFrame
@@ -79,7 +81,7 @@ def gate_candidates(inputs: DigestInputs, cfg: DigestConfig, as_of: datetime, bu
     visible = state.skip_antijoin(inputs.listings, inputs.skipped)
     ruled = rules.structural_filter(visible, cfg.filters, as_of)
     dropped = ruled.filter("rule_id is not null").select(
-        "listing_key", "seq", F.lit("structural").alias("stage"), "rule_id", F.col("reject_reason").alias("reason")
+        "listing_key", "seq", F.lit("structural").alias("stage"), F.lit(0).alias("stage_no"), "rule_id", F.col("reject_reason").alias("reason")
     )
     alive = ruled.filter("rule_id is null").drop("rule_id", "reject_reason")
     if inputs.detail_texts is not None:
@@ -102,7 +104,7 @@ def gate_candidates(inputs: DigestInputs, cfg: DigestConfig, as_of: datetime, bu
     )
     judged = cut(rules.facts_filter(rows, cfg.filters))
     no = judged.filter("verdict = 'rejected'").select(
-        "listing_key", "seq", F.lit("facts").alias("stage"), F.col("fact_rule").alias("rule_id"), F.element_at("hard", 1).alias("reason")
+        "listing_key", "seq", F.lit("facts").alias("stage"), F.lit(1).alias("stage_no"), F.col("fact_rule").alias("rule_id"), F.element_at("hard", 1).alias("reason")
     )
     maybe = judged.filter("verdict <> 'rejected'")
     walk_cache = inputs.walk_cache
@@ -116,7 +118,7 @@ def gate_candidates(inputs: DigestInputs, cfg: DigestConfig, as_of: datetime, bu
         maybe = maybe.withColumn("commute", F.lit(None).cast("map<string,int>"))
     gated = cut(rules.commute_gate(maybe, gating, cfg.filters.walk_min_max))
     far = gated.filter("gate_reason is not null").select(
-        "listing_key", "seq", F.lit("commute").alias("stage"), F.lit("commute").alias("rule_id"), F.col("gate_reason").alias("reason")
+        "listing_key", "seq", F.lit("commute").alias("stage"), F.when(F.col("verdict") == "passed", 2).otherwise(3).alias("stage_no"), F.lit("commute").alias("rule_id"), F.col("gate_reason").alias("reason")
     )
     candidates = gated.filter("gate_reason is null").withColumn(
         "stage", F.when(F.col("verdict") == "passed", "match").otherwise("near_miss")
@@ -175,9 +177,12 @@ def run_digest(
         ranked.filter("stage = 'near_miss'").select("listing_key", "price_eur", "stage")
     )
     rejected = gated.rejected
+    tally, shown, _ = rank.rejection_tally(rejected, cfg.rejected_shown, ["stage_no", "seq"])
     return DigestOutputs(
         cards=digest_rows(ranked, cfg, as_of, mode),
         rejected=rejected,
+        rejected_tally=tally,
+        rejected_shown=shown,
         funnel=metrics.funnel(
             rejected.select(F.concat(F.lit("rejected_"), "stage").alias("stage")).unionByName(
                 ranked.select("stage")
@@ -214,6 +219,14 @@ def digest_rows(ranked: DataFrame, cfg: DigestConfig, as_of: datetime, mode: str
         present.short_address(F.col("address"), F.col("place_names")).alias("place"),
         present.relative_time(F.col("created_at"), now).alias("posted"),
         present.bills_flag(e["bills_estimate_eur"]).alias("bills"),
+        F.coalesce(F.nullif(e["heating_type_confirmed"], F.lit("")), "heating_type").alias("heating"),
+        (F.coalesce("dishwasher", F.lit(False)) | F.coalesce(e["dishwasher"], F.lit(False))).alias("dishwasher"),
+        "elevator",
+        "floor",
+        "total_floors",
+        "is_agency",
+        F.array_join(e["red_flags"], "; ").alias("red_flags"),
+        F.coalesce(F.nullif(e["description_en"], F.lit("")), e["summary_en"]).alias("summary"),
         F.array_join("soft", "; ").alias("unconfirmed"),
         present.maps_url(F.col("lat"), F.col("lng"), F.col("address"), F.col("place_names")).alias("map_url"),
     ]

@@ -4,6 +4,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 
 from nestfold.operators import similarity
@@ -146,3 +147,22 @@ def test_hamming_join_equals_brute_force(spark, monkeypatch, limit):
     assert {(r.code_a, r.code_b) for r in two.collect()} == {
         (a, b) for a in seeds for b in codes if bits(a, b) <= 6
     }
+
+
+def test_common_subsequence_bound_equals_the_table():
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            diagonal = 0
+            for k, y in enumerate(b, 1):
+                diagonal, row[k] = row[k], diagonal + 1 if x == y else max(row[k], row[k - 1])
+        return row[-1]
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcč 😀") for _ in range(rng.randrange(0, 300))) for _ in range(25)]
+    points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
+    i, j = (x.ravel() for x in np.meshgrid(range(25), range(25)))
+    real = np.array([table(texts[a], texts[b]) for a, b in zip(i, j)])
+    for off in (-1, 0, 1):
+        got = similarity._share_subsequence(points, points, i, j, real + off)
+        assert (got == (off <= 0)).all()

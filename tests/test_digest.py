@@ -63,10 +63,7 @@ def test_clusters_cards_and_stamps(run):
     blind = lambda r: (r[0], r[1], None, None, *r[4:])
     assert not any(same_flat(as_row(r), blind(x)) for r in clustered for x in hidden)
 
-    groups = {}
-    for r in clustered:
-        groups.setdefault(r.cluster_id, []).append(r)
-    best = [min(g, key=lambda r: (SOURCE_RANK[r.source], -r.created_at.timestamp(), r.seq)) for g in groups.values()]
+    best = canonical_rows(clustered)
     known = {r.listing_key: (r.notified_at, r.notified_price, r.notified_stage) for r in inputs.snapshot.collect()}
     sent = [r for r in best if reason(r, known) is not None]
     tier = lambda r: 1 if r.pets_allowed or (r.extraction and r.extraction.pets_allowed == "yes") else 0
@@ -81,6 +78,26 @@ def test_clusters_cards_and_stamps(run):
     assert funnel["match"] == len(sent)
 
 
+def canonical_rows(clustered):
+    groups = {}
+    for r in clustered:
+        groups.setdefault(r.cluster_id, []).append(r)
+    return [min(g, key=lambda r: (SOURCE_RANK[r.source], -r.created_at.timestamp(), r.seq)) for g in groups.values()]
+
+
+def test_instant_mode_sends_only_rows_never_sent(run):
+    inputs, cfg, out = run
+    best = canonical_rows(out.clustered.collect())
+    known = {r.listing_key for r in inputs.snapshot.filter("notified_at is not null").collect()}
+    instant = digest.run_digest(inputs, cfg, AS_OF, mode="instant")
+    cards = instant.cards.collect()
+    sent = {c.listing_key for c in cards if c.section == "match"}
+    assert sent == {r.listing_key for r in best} - known and sent
+    assert not {c.listing_key for c in cards if c.section == "near_miss"} & known
+    stamped = instant.snapshot.filter(f"notified_at = timestamp '{AS_OF}' and notified_stage = 'match'")
+    assert {r.listing_key for r in stamped.collect()} >= {r.listing_key for r in best}
+
+
 def test_second_run_calls_nothing_and_sends_nothing(spark, run):
     inputs, cfg, out = run
     def never(rows):

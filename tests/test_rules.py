@@ -213,3 +213,14 @@ def test_config_defaults_of_a_sparse_document():
         {"filters": {"price_eur_max": 1000, "rooms_min": 1, "rooms_max": 3, "surface_m2_min": 50, "elevator_required": False, "freshness_days": 7}}
     )
     assert cfg.photo_required and not cfg.pets_required and cfg.heating_allowed == () and cfg.walk_min_max == 40
+
+
+def test_destination_tables_are_read_like_configuration(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [("park", 1.0, 2.0, False, 0.1), ("office", 3.0, 4.0, True, 0.5)],
+        "name string, lat double, lng double, gates boolean, score_weight double",
+    )
+    assert distance.load_destinations(rows) == [Destination("office", 3.0, 4.0, True, 0.5), Destination("park", 1.0, 2.0, False, 0.1)]
+    monkeypatch.setattr(distance, "MAX_DESTINATIONS", 1)
+    with pytest.raises(ValueError):
+        distance.load_destinations(rows)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
+import os
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime SQL settings. ``forceOptimizeSkewedJoin`` lets AQE split a hot join key even when
 # the join feeds an aggregate on the same key; LAST_WIN is the duplicate-label rule of
@@ -27,32 +30,73 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    _ship_package(spark)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and work tables.
 
-    Taken from ``spark.checkpoint.dir``. Only a local master may go without it: losing an
-    executor must never lose a cut, so a machine-local folder is refused on a cluster.
+    Taken from ``spark.checkpoint.dir``; where a session sets none, a folder in the
+    warehouse, which every executor reaches too. Never a machine-local temporary folder: losing
+    an executor must not lose a cut.
     """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    current = spark.sparkContext.getCheckpointDir()
-    if not folder and current:
-        return current
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
-        folder = tempfile.mkdtemp(prefix="nestfold-")
-    if current is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+        context.setCheckpointDir(folder)
     return folder
 
 
+def _path(spark: SparkSession, name: str):
+    """The Hadoop path of ``name`` and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+_SHIPPED: set[str] = set()
+_PREPARED: set[str] = set()
+
+
+def _ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application, whatever their working folder is."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(root):  # imported from a shipped archive already
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                archive.write(full, os.path.relpath(full, os.path.dirname(root)))
+    path, files = _path(spark, f"{_cut_dir(spark)}/nestfold-{app}.zip")
+    out = files.create(path, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path.makeQualified(files.getUri(), files.getWorkingDirectory()).toString())
+
+
 def _cut_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/cuts-{spark.sparkContext.applicationId}"
+    """The folder of this application's cuts; its files go when the application ends."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_dir(spark)}/cuts-{app}"
+    if app not in _PREPARED:
+        _PREPARED.add(app)
+        path, files = _path(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files that an operator writes, beside the cuts."""
+    return f"{_cut_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -62,24 +106,26 @@ def cut(df: DataFrame) -> DataFrame:
     ``checkpoint`` it also leaves behind the constraints of the plan, which grow with every
     round of an iteration.
     """
-    target = f"{_cut_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    target = work_folder(df.sparkSession, "cut")
     df.write.parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
 def forget_cuts(spark: SparkSession) -> None:
     """Delete the tables ``cut`` wrote for this application, once nothing reads them any more."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(_cut_dir(spark))
-    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+    path, files = _path(spark, _cut_dir(spark))
+    files.delete(path, True)
 
 
-# A joined side is broadcast only after its rows were counted and found below this.
+# A joined side is broadcast only after its rows and bytes were counted and found below these.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast when its counted size allows it, else a plain shuffle side."""
-    from pyspark.sql import functions as F
-
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast when its counted rows and bytes allow it, else a plain shuffle side."""
     small = cut(df)
-    return F.broadcast(small) if small.limit(max_rows + 1).count() <= max_rows else small
+    probe = small.limit(max_rows + 1)
+    size = F.sum(F.length(F.to_json(F.struct(*probe.columns))).cast("long")) if probe.columns else F.lit(0)
+    rows, held = probe.agg(F.count("*"), size).first()
+    return F.broadcast(small) if rows <= max_rows and (held or 0) <= max_bytes else small

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nestfold.llm import near_dup
-from nestfold.session import configure
+from nestfold.llm import near_dup, quality, tokens
+from nestfold.session import configure, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,3 +31,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query()
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
+HELD_OUT = 5  # of every five ids one, by checksum, is kept from training
+
+
+def held_out(id_col: str = "doc_id"):
+    """Whether an id is kept from training: crc32 of its text is a multiple of five. A null id is."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % HELD_OUT == 0
+
+
+def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with ``score``; labels are learnt from the ids that aren't held out, over ``documents``."""
+    labels = table(spark, sf_dir, "labels").filter(~held_out())
+    weights = quality.train(table(spark, sf_dir, "documents"), labels, "quality")
+    return quality.score(docs, weights)
+
+
+KEEP_SCORE = 0.3
+
+
+@query()
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), sf_dir)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"))
+
+
+@query()
+def op9_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Write the token ids of ``docs``, read the files back and return a digest of each document."""
+    folder = work_folder(docs.sparkSession, "tokens")
+    tokens.write_tokens(docs, folder)
+    return tokens.read_tokens(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -3,20 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nestfold.llm import near_dup
+from nestfold.llm import decontam, mixing, near_dup
+from nestfold.llm.queries import KEEP_SCORE, quality_scores, token_digests
 from nestfold.session import configure, cut
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    configure(spark)
+    scored = quality_scores(spark, docs, sf_dir, name="_score")
+    return scored.filter(F.col("_score") >= KEEP_SCORE).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
     configure(spark)
     gone = near_dup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(cut(gone), "doc_id", "left_anti")
+    return docs.join(cut(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    configure(spark)
+    found = decontam.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name="_hits")
+    return found.filter(F.size("_hits") == 0).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    configure(spark)
+    taken = mixing.take(docs, mixing.plan_mix(docs)).filter("mix.times > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.times")))).select(*docs.columns)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in Simple-8b files, read back."""
+    configure(spark)
+    return token_digests(docs)
 
 
 STAGES = [
+    ("quality classifier", quality_filter),
     ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixture),
+    ("token-ID / binary output", token_files),
 ]
 
 # Trained weights, MinHash and the tokenizer have no SQL form; tests hold the result against brute force.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestfold.llm import near_dup, quality, tokens
+from nestfold.llm import decontam, mixing, near_dup, quality, tokens
 from nestfold.session import configure, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,11 +41,11 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % HELD_OUT == 0
 
 
-def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with ``score``; labels are learnt from the ids that aren't held out, over ``documents``."""
+def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str, name: str = "score") -> DataFrame:
+    """``docs`` with their score; labels are learnt from the ids that aren't held out, over ``documents``."""
     labels = table(spark, sf_dir, "labels").filter(~held_out())
     weights = quality.train(table(spark, sf_dir, "documents"), labels, "quality")
-    return quality.score(docs, weights)
+    return quality.score(docs, weights, name=name)
 
 
 KEEP_SCORE = 0.3
@@ -67,3 +67,17 @@ def token_digests(docs: DataFrame) -> DataFrame:
     folder = work_folder(docs.sparkSession, "tokens")
     tokens.write_tokens(docs, folder)
     return tokens.read_tokens(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.col("hits.item_id").alias("item_ids"), F.col("hits.start").alias("starts"), F.col("hits.words").alias("words"), (F.size("hits") == 0).alias("kept"))
+
+
+@query()
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.take(docs, mixing.plan_mix(docs))
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.times") * F.col("mix.size")).alias("taken"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestfold.llm import decontam, mixing, near_dup, quality, tokens
+from nestfold.llm import decontam, mixing, near_dup, pii, quality, tokens
 from nestfold.session import configure, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,13 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.take(docs, mixing.plan_mix(docs))
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.times") * F.col("mix.size")).alias("taken"))
+
+
+@query()
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("pii", lambda s: s["kind"].isin([k.name for k in pii.KINDS if k.base]))
+    return found.select(
+        "doc_id", *(count(k.name) for k in pii.KINDS), F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("pii")).alias("spans"), F.array_max("pii.score").alias("max_score")
+    )

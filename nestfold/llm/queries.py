@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestfold.llm import decontam, mixing, near_dup, pii, quality, tokens
+from nestfold.llm import decontam, mixing, near_dup, pii, quality, sharding, tokens
 from nestfold.session import configure, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,9 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *(count(k.name) for k in pii.KINDS), F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("pii")).alias("spans"), F.array_max("pii.score").alias("max_score")
     )
+
+
+@query()
+def op6_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
+    return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestfold.llm import decontam, mixing, near_dup, pii, quality, sharding, tokens
+from nestfold.llm import decontam, mixing, near_dup, pii, quality, sharding, tokens, warc
 from nestfold.session import configure, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,20 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query(
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+    d AS (SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest,
+                 CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY payload) ELSE page_id END AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM d
+    """
+)
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_folder(configure(spark), "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.resolve_revisits(spark, warc.read_archives(spark, folder))

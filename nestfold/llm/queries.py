@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestfold.llm import decontam, mixing, near_dup, pii, quality, sharding, tokens, warc
+from nestfold.llm import decontam, mixing, near_dup, pii, quality, rules, sharding, tokens, warc
 from nestfold.session import configure, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,10 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(configure(spark), "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
     return warc.resolve_revisits(spark, warc.read_archives(spark, folder))
+
+
+@query()
+def op8_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(rules.count_signals(table(spark, sf_dir, "documents")))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select(F.col("id").alias("doc_id"), *counts, "base_failed", "failed", "kept")

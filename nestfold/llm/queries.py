@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestfold.llm import decontam, mixing, near_dup, pii, quality, rules, sharding, tokens, warc
+from nestfold.llm import decontam, licenses, mixing, near_dup, pii, quality, rules, sharding, tokens, warc
 from nestfold.session import configure, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,9 @@ def op8_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(rules.count_signals(table(spark, sf_dir, "documents")))
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judged.select(F.col("id").alias("doc_id"), *counts, "base_failed", "failed", "kept")
+
+
+@query()
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("licenses").alias("n_licenses"), *(F.col(f"licenses.{c}").alias(f"{c}s") for c in ("license", "start", "containment")))

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from nestfold.llm import decontam, mixing, near_dup
 from nestfold.llm.queries import KEEP_SCORE, quality_scores, token_digests
+from nestfold.llm.words import fresh
 from nestfold.session import configure, cut
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     configure(spark)
-    scored = quality_scores(spark, docs, sf_dir, name="_score")
-    return scored.filter(F.col("_score") >= KEEP_SCORE).select(*docs.columns)
+    name = fresh(docs.columns, "score")
+    return quality_scores(spark, docs, sf_dir, name=name).filter(F.col(name) >= KEEP_SCORE).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +28,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
     configure(spark)
-    found = decontam.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name="_hits")
-    return found.filter(F.size("_hits") == 0).select(*docs.columns)
+    name = fresh(docs.columns, "hits")
+    found = decontam.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name=name)
+    return found.filter(F.size(name) == 0).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     configure(spark)
-    taken = mixing.take(docs, mixing.plan_mix(docs)).filter("mix.times > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.times")))).select(*docs.columns)
+    name = fresh(docs.columns, "mix")
+    taken = mixing.take(docs, mixing.plan_mix(docs), name=name)
+    return taken.withColumn(name, F.explode(F.array_repeat(F.lit(1), F.col(f"{name}.times").cast("int")))).select(*docs.columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nestfold.llm.words import U64, hashes_of, mix, with_columns, words_of
+from nestfold.llm.words import U64, extended, hashes_of, mix, with_columns, words_of
 
 # Weight 5 of spans 5 to 9: the first is five words in a row, the others pass over a changed word.
 SEEDS = ("11111", "1101011", "1110011", "110010101")
@@ -139,8 +139,7 @@ def find_contamination(
     Null and empty texts and tests hit nothing. Rows that repeat are each looked at; tests that repeat each
     hit. No tests leave every array empty. Other columns are carried along; one called ``name`` is replaced.
     """
-    fields = [f for f in docs.schema.fields if f.name != name]
-    schema = type(docs.schema)(fields).add(name, T.ArrayType(HIT))
+    schema = extended(docs.schema, name, T.ArrayType(HIT))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("agreeing", pa.int32())]))
     out = docs.drop(name).withColumn(name, F.array().cast(T.ArrayType(HIT)))
     for block in _blocks(tests, test_id, test_text, block_bytes):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from nestfold.llm.words import U64, hashes_of, mix, seeds, windows_of, with_columns
+from nestfold.llm.words import U64, extended, hashes_of, mix, seeds, windows_of, with_columns
 
 SHINGLE = 5
 ROWS, BANDS = 2, 8
@@ -201,5 +201,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
             found += scanner.scan(some)
             yield with_columns(batch, {name: pa.array(found, _KIND)})
 
-    fields = [f for f in docs.schema.fields if f.name != name]
-    return docs.mapInArrow(run, type(docs.schema)(fields).add(name, T.ArrayType(HIT)))
+    return docs.mapInArrow(run, extended(docs.schema, name, T.ArrayType(HIT)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nestfold.llm.order import running_sum
+from nestfold.llm.words import fresh
 from nestfold.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,17 +83,22 @@ def plan_mix(
     return cut(out.select("source", F.col("size").alias("source_size"), "weight", "target", "whole", "last"))
 
 
-def take(docs: DataFrame, plan: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def take(
+    docs: DataFrame, plan: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", name: str = "mix"
+) -> DataFrame:
     """``docs`` with a struct ``mix``: ``size`` in words, ``times`` it is taken, its source's ``source_size`` and ``target``.
 
     Each row is told by itself and the plan, so repeated rows are taken alike and nothing but the plan, a
-    row for each source, is joined. A column called ``mix`` is replaced; others are carried along.
+    row for each source, is joined. A column called ``name`` is replaced; others are carried along.
     """
-    plan = plan.select(*(F.col(c).alias(f"_{c}") for c in plan.columns))
-    nth = _nth(docs, seed, id_col, text_col, source_col)
-    more = F.coalesce(nth <= F.col("_last"), F.lit(False)).cast("long")
+    docs = docs.drop(*(c for c in docs.columns if c.lower() == name.lower()))
+    there = {c: fresh(docs.columns, f"plan_{c}") for c in plan.columns}
+    more = F.coalesce(_nth(docs, seed, id_col, text_col, source_col) <= F.col(there["last"]), F.lit(False)).cast("long")
     made = F.struct(
-        word_count(F.col(text_col)).alias("size"), (F.col("_whole") + more).alias("times"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target")
+        word_count(F.col(text_col)).alias("size"),
+        (F.col(there["whole"]) + more).alias("times"),
+        F.col(there["source_size"]).alias("source_size"),
+        F.col(there["target"]).alias("target"),
     )
-    out = docs.drop("mix").join(plan, F.col(source_col).eqNullSafe(F.col("_source")), "left")
-    return out.withColumn("mix", made).select(*docs.drop("mix").columns, "mix")
+    out = docs.join(plan.withColumnsRenamed(there), F.col(source_col).eqNullSafe(F.col(there["source"])), "left")
+    return out.select(*docs.columns, made.alias(name))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from nestfold.llm.words import U64, hashes_of, mix, with_columns
+from nestfold.llm.words import U64, extended, hashes_of, mix, with_columns
 
 BITS = 18
 SCALE = 8.0  # a gram that is every word of a text has this value
@@ -114,7 +114,8 @@ def train(
     rows = texts.join(F.broadcast(sample), "id").select("nth", "label", "text")  # at most max_rows short rows
     made = rows.mapInArrow(_features, "nth long, label int, slots binary, vals binary")
     made = made.repartition(1).sortWithinPartitions("nth", "slots")
-    return np.frombuffer(made.mapInArrow(_train(alpha, beta, l1, l2, epochs), "weights binary").first()[0], np.float32)
+    learnt = made.mapInArrow(_train(alpha, beta, l1, l2, epochs), "weights binary").first()
+    return np.frombuffer(learnt[0], np.float32) if learnt else np.zeros((1 << BITS) + 1, np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -134,5 +135,4 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", name: st
                 out[k] = w[-1] + each * w[at].sum()
             yield with_columns(batch, {name: pa.array(1 / (1 + np.exp(-out)))})
 
-    fields = [f for f in docs.schema.fields if f.name != name]
-    return docs.mapInArrow(run, type(docs.schema)(fields).add(name, "double"))
+    return docs.mapInArrow(run, extended(docs.schema, name, "double"))

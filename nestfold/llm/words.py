@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.types import DataType, StructType
 from xxhash import xxh3_64_intdigest
 
 U64 = np.uint64
@@ -63,6 +64,20 @@ def binary(rows: list[bytes | None]) -> pa.Array:
 
 
 def with_columns(batch: pa.RecordBatch, made: dict[str, pa.Array]) -> pa.RecordBatch:
-    """The batch with the made columns behind it; one of the same name is replaced."""
-    kept = [n for n in batch.schema.names if n not in made]
+    """The batch with the made columns behind it; one of the same name, in any case, is replaced."""
+    names = {n.lower() for n in made}
+    kept = [n for n in batch.schema.names if n.lower() not in names]
     return pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + list(made.values()), kept + list(made))
+
+
+def extended(schema: StructType, name: str, kind: DataType | str) -> StructType:
+    """The schema of ``with_columns``' batches."""
+    return StructType([f for f in schema.fields if f.name.lower() != name.lower()]).add(name, kind)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as make it differ from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nestfold.functions.space import full_strip
+
 EARTH_KM = 6371.0
 
 
@@ -36,7 +38,7 @@ def place_key(
         F.concat(F.array(address), F.coalesce(place_names, F.array().cast("array<string>"))),
         lambda p: p.isNotNull() & (p != ""),
     )
-    text = F.trim(F.lower(F.array_join(named, " ")))
+    text = full_strip(F.lower(F.array_join(named, " ")))
     hashed = F.concat(F.lit("addr:"), F.substring(F.sha1(text), 1, 16))
     return F.coalesce(
         coord_cell(lat, lng, decimals),

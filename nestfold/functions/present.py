@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nestfold.functions.space import full_strip
+
 # Link shapes (fixed values).
 LISTING_BASE_A = "https://www.4zida.rs"
 RENT_BASE_B = "https://cityexpert.rs/izdavanje-nekretnina/beograd"
@@ -29,8 +31,8 @@ def listing_url_b(prop_id: Column, rent_or_sale: Column) -> Column:
 
 def short_address(address: Column, place_names: Column, city: str = "Belgrade") -> Column:
     """Street, smallest place if it is another name, and the city."""
-    street = F.trim(F.substring_index(address, ",", 1))
-    place = F.trim(F.try_element_at(place_names, F.lit(-1)))
+    street = full_strip(F.substring_index(address, ",", 1))
+    place = full_strip(F.try_element_at(place_names, F.lit(-1)))
     place = F.when(~place.eqNullSafe(street), F.nullif(place, F.lit("")))
     return F.concat_ws(", ", F.nullif(street, F.lit("")), place, F.lit(city))
 

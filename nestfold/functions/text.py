@@ -9,21 +9,16 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nestfold.functions.space import SPACE, full_strip
 from nestfold.functions.vocab import literal_map
 
-# Word and space classes, written out so that they mean the same for every script:
-# letters, digits and other numerals (so "m²" stays a word), underscore.
+# The word class, written out so that it means the same for every script: letters, digits and
+# other numerals (so "m²" stays a word), underscore.
 WORD = r"\p{L}\p{N}_"
-SPACE = r"\s\x{1c}-\x{1f}"
 
 # Named character references of HTML, from the standard library's table.
 ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
-_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-
-
-def full_strip(c: Column) -> Column:
-    """Drop leading and trailing whitespace of any script (``trim`` only drops spaces)."""
-    return F.regexp_replace(c, f"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
+_REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 
 
 def squeeze(c: Column) -> Column:
@@ -43,13 +38,12 @@ def content_hash(c: Column) -> Column:
 
 
 def _resolve_reference(ref: Column) -> Column:
-    body = F.substring(ref, 2, 1 << 20)
-    body = F.regexp_replace(body, ";$", "")
+    body = F.regexp_replace(ref, "^&|;$", "")
     is_hex = body.rlike("^#[xX]")
     is_num = body.startswith("#")
-    code = F.when(is_hex, F.conv(F.substring(body, 3, 10), 16, 10)).when(
-        is_num, F.substring(body, 2, 10)
-    ).try_cast("bigint")
+    digits = F.regexp_replace(body, "^#[xX]?0*", "")
+    code = F.when(is_hex & (F.length(digits) <= 8), F.conv(digits, 16, 10)).when(~is_hex & is_num, digits)
+    code = code.try_cast("bigint")
     valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
     return F.coalesce(char, F.when(~is_num, F.try_element_at(literal_map(ENTITIES), body)), ref)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nestfold.functions.space import full_strip
+
 # Raw heating term -> canonical term (fixed values).
 HEATING = {
     "district": "centralno",
@@ -76,8 +78,8 @@ def literal_map(table: dict) -> Column:
 
 
 def canonical(raw: Column, table: dict[str, str]) -> Column:
-    """Canonical term for a raw one, ignoring case and outer blanks; unknown gives null."""
-    return F.try_element_at(literal_map(table), F.lower(F.trim(raw)))
+    """Canonical term for a raw one, ignoring case and outer white space; unknown gives null."""
+    return F.try_element_at(literal_map(table), F.lower(full_strip(raw)))
 
 
 def yes_no(answer: Column) -> Column:

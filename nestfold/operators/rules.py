@@ -152,7 +152,7 @@ def canonicalize_vocab(
         return df.withColumn(out, vocab.canonical(F.col(col), table))
     terms = table.select(F.col("raw").alias("_raw"), F.col("canonical").alias(out))
     terms = broadcast_if_small(terms)
-    return df.join(terms, F.lower(F.trim(F.col(col))) == F.col("_raw"), "left").drop("_raw")
+    return df.join(terms, F.lower(text.full_strip(F.col(col))) == F.col("_raw"), "left").drop("_raw")
 
 
 def commute_gate(df: DataFrame, gating: list[str], max_min: int, commute: str = "commute") -> DataFrame:

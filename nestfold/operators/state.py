@@ -258,5 +258,5 @@ def click_dispatch(data: Column) -> Column:
     for prefix, name in cases:
         mine = F.coalesce(data.startswith(prefix), F.lit(False))
         kind = F.when(mine, name).otherwise(kind)
-        key = F.when(mine, F.substring(data, len(prefix) + 1, 1 << 20)).otherwise(key)
+        key = F.when(mine, F.substr(data, F.lit(len(prefix) + 1))).otherwise(key)
     return F.struct(kind.alias("kind"), key.alias("key"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 # Runtime SQL settings. ``forceOptimizeSkewedJoin`` lets AQE split a hot join key even when
 # the join feeds an aggregate on the same key; LAST_WIN is the duplicate-label rule of
-# the label/value pages.
+# the label/value pages; Arrow batches of whole texts stay at a few megabytes.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -20,6 +20,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),

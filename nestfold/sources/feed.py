@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nestfold.session import broadcast_if_small
+from nestfold.session import broadcast_if_small, cut
 
 
 def page_early_stop(
@@ -16,38 +16,35 @@ def page_early_stop(
     page: str,
     is_fresh: Column,
     is_last: Column | None = None,
-    max_page: int = 50,
+    max_page: int | None = None,
 ) -> DataFrame:
     """Fresh rows of the pages a newest-first reader would have visited.
 
     Reading stops at the first page without a fresh row, at a missing page, after a page
-    marked last, or at ``max_page``. The page facts are one partial aggregate per (source, page),
+    marked last, or at ``max_page`` where the caller gives one. The page facts are one partial aggregate per (source, page),
     so a source holding most rows still combines before the shuffle. The joined side has one row
     per source and is broadcast once its count is known, so the rows are not moved at all.
     """
     last = F.lit(False) if is_last is None else is_last
-    pages = (
-        rows.filter(F.col(page).between(1, max_page))
+    allowed = F.col(page) >= 1 if max_page is None else F.col(page).between(1, max_page)
+    pages = cut(
+        rows.filter(allowed)
         .groupBy(source, page)
         .agg(F.max(is_fresh).alias("any_fresh"), F.max(last).alias("any_last"))
     )
+    # A page without a successor ends an unbroken run; the first such page ends the run from 1.
+    ahead = pages.select(source, (F.col(page) - 1).cast(dict(pages.dtypes)[page]).alias(page))
+    ends = pages.join(ahead, [source, page], "left_anti").groupBy(source).agg(F.min(page).alias("last_unbroken"))
+    never = F.lit((1 << 31) - 1)
     stop = pages.groupBy(source).agg(
-        F.coalesce(
-            F.min(F.when(~F.col("any_fresh"), F.col(page))), F.lit(max_page + 1)
-        ).alias("first_stale"),
-        F.coalesce(F.min(F.when(F.col("any_last"), F.col(page))), F.lit(max_page)).alias("last_page"),
-        F.sort_array(F.collect_set(page)).alias("seen"),
+        F.min(page).alias("first_page"),
+        F.coalesce(F.min(F.when(~F.col("any_fresh"), F.col(page))), never).alias("first_stale"),
+        F.coalesce(F.min(F.when(F.col("any_last"), F.col(page))), never).alias("last_page"),
     )
-    # Pages are read from 1 up: the first gap is where page numbers leave 1, 2, 3, ...
-    gap = F.aggregate(
-        "seen", F.lit(0).cast("bigint"), lambda acc, p: F.when(p == acc + 1, acc + 1).otherwise(acc)
-    )
-    stop = stop.select(source, "first_stale", "last_page", gap.alias("last_unbroken"))
-    limit = F.least(F.col("first_stale") - 1, F.col("last_page"), F.col("last_unbroken"))
-    visited = rows.join(broadcast_if_small(stop), source).filter(
-        is_fresh & F.col(page).between(1, max_page) & (F.col(page) <= limit)
-    )
-    return visited.drop("first_stale", "last_page", "last_unbroken")
+    reach = F.when(F.col("first_page") == 1, F.least(F.col("first_stale") - 1, "last_page", "last_unbroken")).otherwise(0)
+    stop = stop.join(ends, source).select(source, reach.alias("_reach"))
+    visited = rows.join(broadcast_if_small(stop), source)
+    return visited.filter(is_fresh & allowed & (F.col(page) <= F.col("_reach"))).drop("_reach")
 
 
 def quarantine_split(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:

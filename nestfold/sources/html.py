@@ -58,33 +58,72 @@ def extract_kv_pairs(
     return df.select(*(keep or []), kv_pairs(F.col(html_col), pair_re).alias(out))
 
 
-# Page structure of the HTML sources (fixed values).
-LIST_B_HEAD = r'<[a-z]+[^>]*class="[^"]*\boffer-body\b[^"]*"[^>]*>'
+# --- patterns built from names ---------------------------------------------------------------
+
+
+def tag_of(name: str, holds: str = "") -> str:
+    """An opening tag of that name (any, if empty) whose attributes match ``holds``."""
+    return rf"<{name or '[a-z][a-z0-9]*'}\b(?=[^>]*{holds})[^>]*>" if holds else rf"<{name or '[a-z][a-z0-9]*'}\b[^>]*>"
+
+
+def of_class(name: str, tag: str = "") -> str:
+    """An opening tag that has the class ``name`` among its classes."""
+    return tag_of(tag, rf"""\sclass=["'](?:[^"']*\s)?{name}(?:\s[^"']*)?["']""")
+
+
+def attr(name: str) -> str:
+    """The value of an attribute, in either quotes."""
+    return rf"""\s{name}=["']([^"']*)["']"""
+
+
+def json_field(name: str, value: str = '"([^"]*)"') -> str:
+    """A field of a JSON object inside a text."""
+    return rf'"{name}"\s*:\s*{value}'
+
+
+def inner(opening: str, closing: str) -> str:
+    """What stands between an opening tag and the first ``closing`` behind it."""
+    return rf"(?s){opening}(.*?){closing}"
+
+
+def text_after(opening: str) -> str:
+    """The text between an opening tag and the next tag."""
+    return rf"{opening}([^<]*)"
+
+
+# Names in the pages of the HTML sources (fixed values).
 LIST_B_BASE = "https://www.nekretnine.rs"
-DETAIL_B_PAIR = r"(?s)<span>([^<]+):</span><br\s*/?>(.*?)</span>"
-LIST_C_HEAD = r'<[a-z]+[^>]*class="[^"]*\bproduct-item\b[^"]*"[^>]*>'
 LIST_C_BASE = "https://www.halooglasi.com"
-POST_HEAD = r'<div class="tgme_widget_message[^"]*"[^>]*data-post="[^"/]+/[0-9]+"[^>]*>'
-DETAIL_TEXT_LIMIT = 2000
+LIST_B_CARD, LIST_B_TITLE, LIST_B_META, LIST_B_PLACE = "offer-body", "offer-title", "offer-meta-info", "offer-location"
+EXTRAS_HEADING, LIFT = "Dodatna opremljenost", "Lift"
+LIST_C_CARD, LIST_C_FEATURES, LIST_C_PLACES = "product-item", "product-features", "subtitle-places"
+POST_TEXT = "tgme_widget_message_text"
+
+LIST_B_HEAD = of_class(LIST_B_CARD)
+DETAIL_B_PAIR = inner(r"<span>\s*([^<:]+?)\s*:\s*</span>\s*<br\s*/?>", "</span>")
+LIST_C_HEAD = of_class(LIST_C_CARD)
+POST_HEAD = tag_of("div", attr("data-post"))
 
 
 def cards_b(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """List pages of source B to cards; a card without link or date is dropped."""
     keep = keep or []
     b = F.col("block")
+    heading = F.regexp_extract(b, inner(of_class(LIST_B_TITLE), "</a>"), 1)
     rows = extract_blocks(pages, html_col, LIST_B_HEAD, {}, keep).withColumn(
-        "anchor",
-        F.regexp_extract(b, r'(?s)class="[^"]*\boffer-title\b[^"]*".*?(<a\b[^>]*>.*?</a>)', 1),
+        "anchor", F.concat(F.regexp_extract(heading, f"(?s)({tag_of('a')}.*)$", 1), F.lit("</a>"))
     )
-    tag = text.unescape(F.regexp_extract("anchor", r"(?s)^<a\b([^>]*)>", 1))
-    href = found(tag, r"href=[\"']([^\"']+)")
+    # The link and, in its script, the facts of the card.
+    raw_tag = F.regexp_extract("anchor", f"^({tag_of('a')})", 1)
+    tag = text.unescape(raw_tag)
+    href = text.unescape(found(raw_tag, attr("href")))
     title = text.strip_markup(F.col("anchor"))
-    currency = F.coalesce(found(tag, r'"currency":"([^"]+)"'), F.lit("EUR"))
-    price = F.coalesce(found(tag, r'"price":"([0-9]+)"').try_cast("double"), F.lit(0.0))
-    m2 = F.translate(found(tag, r'"item_category4":"([0-9]+(?:[.,][0-9]+)?)"'), ",", ".")
-    kind = F.coalesce(found(tag, r'"item_category2":"([^"]+)"'), F.lit(""))
-    meta = found(b, r'class="[^"]*\boffer-meta-info\b[^"]*"[^>]*>([^<]*)')
-    place = found(b, r'class="[^"]*\boffer-location\b[^"]*"[^>]*>([^<]*)')
+    currency = F.coalesce(found(tag, json_field("currency")), F.lit("EUR"))
+    price = F.coalesce(found(tag, json_field("price")).try_cast("double"), F.lit(0.0))
+    m2 = F.translate(found(tag, json_field("item_category4")), ",", ".")
+    kind = F.coalesce(found(tag, json_field("item_category2")), F.lit(""))
+    meta = found(b, text_after(of_class(LIST_B_META)))
+    place = found(b, text_after(of_class(LIST_B_PLACE)))
     cards = rows.select(
         *keep,
         "block_no",
@@ -107,19 +146,20 @@ def details_b(pages: DataFrame, html_col: str = "html", url_col: str = "url") ->
     rows = pages.select(url_col, h, kv_pairs(h, DETAIL_B_PAIR).alias("_pairs"))
     fact = lambda label: F.nullif(F.try_element_at(pairs, F.lit(label)), F.lit(""))
     spot = parse.parse_floor(fact("Sprat"), "listed")
-    body = F.regexp_extract(h, r'(?s)class="[^"]*\bdescription\b[^"]*"[^>]*>(.*?)</div>', 1)
+    body = F.regexp_extract(h, inner(of_class("description"), "</div>"), 1)
+    # The items listed under the heading, up to the next heading.
+    extras = F.get(F.split(F.get(F.split(h, EXTRAS_HEADING, 2), F.lit(1)), r"<h[1-6]\b", 2), F.lit(0))
+    items = F.transform(F.regexp_extract_all(extras, F.lit(inner(tag_of("li"), "</li>")), F.lit(1)), text.clean_inline)
     words = text.full_strip(text.unescape(F.regexp_replace(body, "<[^>]+>", " ")))
     return rows.select(
         url_col,
         spot["floor"].alias("floor"),
         spot["total"].alias("total_floors"),
-        h.rlike(r"(?s)Dodatna opremljenost.{0,5000}>\s*Lift\s*<").alias("elevator"),
+        F.coalesce(F.array_contains(items, LIFT), F.lit(False)).alias("elevator"),
         fact("Grejanje").alias("heating_type"),
         fact("Opremljenost").alias("furnished"),
-        F.substring(words, 1, DETAIL_TEXT_LIMIT).alias("description"),
-        text.unescape(
-            found(h, r'<meta[^>]*property="og:image"[^>]*content="([^"]*)"')
-        ).alias("image_url"),
+        words.alias("description"),
+        text.unescape(found(found(h, f"({tag_of('meta', 'og:image')})"), attr("content"))).alias("image_url"),
         fact("Adresa").alias("address"),
     )
 
@@ -131,7 +171,7 @@ def same_floor(floor: Column, total: Column) -> Column:
 def card_detail_join(cards: DataFrame, details: DataFrame, on: str = "url") -> DataFrame:
     """Cards with their detail page; a card whose detail is missing is dropped."""
     places = F.slice(
-        F.filter(F.transform(F.split("location", ","), lambda p: F.trim(p)), lambda p: p != ""), 1, 3
+        F.filter(F.transform(F.split("location", ","), text.full_strip), lambda p: p != ""), 1, 3
     )
     return cards.join(details, on, "inner").select(
         "id",
@@ -160,23 +200,22 @@ def card_detail_join(cards: DataFrame, details: DataFrame, on: str = "url") -> D
 def listings_c(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """List pages of source C straight to listings; inserts without id or link are dropped."""
     b = F.col("block")
-    item_re = r"(?s)<li[^>]*>(.*?)</li>"
-    feature_list = F.regexp_extract(b, r'(?s)class="[^"]*\bproduct-features\b[^"]*"[^>]*>(.*?)</ul>', 1)
-    legend_first = r'(?s)class="[^"]*\blegend\b[^"]*"[^>]*>([^<]*)'
-    value_first = r'(?s)class="[^"]*\bvalue-wrapper\b[^"]*"[^>]*>([^<]*)'
-    place_list = F.regexp_extract(b, r'(?s)class="[^"]*\bsubtitle-places\b[^"]*"[^>]*>(.*?)</ul>', 1)
+    item_re = inner(tag_of("li"), "</li>")
+    feature_list = F.regexp_extract(b, inner(of_class(LIST_C_FEATURES), "</ul>"), 1)
+    legend_first, value_first = text_after(of_class("legend")), text_after(of_class("value-wrapper"))
+    place_list = F.regexp_extract(b, inner(of_class(LIST_C_PLACES), "</ul>"), 1)
     rows = extract_blocks(
         pages,
         html_col,
         LIST_C_HEAD,
         {
-            "id": r'^<[^>]*data-id="([^"]+)"',
-            "link": r'(?s)(<a\b[^>]*class="[^"]*\ba-images\b[^"]*"[^>]*>.*?</a>)',
-            "price": r'(?s)class="[^"]*\bcentral-feature\b[^"]*".*?<span[^>]*data-value="([^"]*)"',
-            "title": r'(?s)class="[^"]*\bproduct-title\b[^"]*".*?<a\b[^>]*>([^<]*)',
-            "published": r'<span[^>]*class="[^"]*\bpublish-date\b[^"]*"[^>]*>([^<]*)',
-            "owner": r'data-field-name="oglasivac_nekretnine_s"[^>]*data-field-value="([^"]*)"',
-            "body": r'class="[^"]*\btext-description-list\b[^"]*"[^>]*>([^<]*)',
+            "id": f"^<[^>]*{attr('data-id')}",
+            "link": f"(?s)({of_class('a-images', 'a')}.*?</a>)",
+            "price": f"(?s){of_class('central-feature')}.*?<span[^>]*{attr('data-value')}",
+            "title": f"(?s){of_class('product-title')}.*?{text_after(tag_of('a'))}",
+            "published": text_after(of_class("publish-date", "span")),
+            "owner_tag": f"({tag_of('', 'oglasivac_nekretnine_s')})",
+            "body": text_after(of_class("text-description-list")),
         },
     )
     rows = rows.withColumn(
@@ -202,7 +241,7 @@ def listings_c(pages: DataFrame, html_col: str = "html") -> DataFrame:
     )
     feature = lambda name: F.try_element_at("features", F.lit(name))
     spot = parse.parse_floor(feature("Spratnost"), "roman")
-    href = text.unescape(found(F.col("link"), r'^<a\b[^>]*href="([^"]+)"'))
+    href = text.unescape(found(F.col("link"), f"^<a\\b[^>]*{attr('href')}"))
     plain = lambda c: text.full_strip(text.unescape(F.coalesce(F.col(c), F.lit(""))))
     out = rows.select(
         "id",
@@ -222,8 +261,8 @@ def listings_c(pages: DataFrame, html_col: str = "html") -> DataFrame:
         plain("body").alias("description"),
         F.get("places", F.size("places") - 1).alias("address"),
         F.col("places").alias("place_names"),
-        text.unescape(found(F.col("link"), r'(?s)<img[^>]*src="([^"]+)"')).alias("image_url"),
-        F.coalesce(F.col("owner") == "agencija", F.lit(False)).alias("is_agency"),
+        text.unescape(found(F.col("link"), f"<img[^>]*{attr('src')}")).alias("image_url"),
+        F.coalesce(found(F.col("owner_tag"), attr("data-field-value")) == "agencija", F.lit(False)).alias("is_agency"),
         parse.parse_dotted_date(F.col("published")).alias("created_at"),
     )
     return out.filter(
@@ -240,23 +279,22 @@ def extract_posts(
     """
     keep = keep or []
     channel = F.col(channel_col)
+    address = lambda b: F.regexp_extract(b, attr("data-post"), 1)  # noqa: E731  channel/number
 
     def read(b: Column) -> Column:
-        body = found(b, r'(?s)<div class="tgme_widget_message_text[^"]*"[^>]*>(.*?)</div>')
-        photos = F.filter(
-            F.regexp_extract_all(b, F.lit(r"background-image:url\('([^']+)'\)"), F.lit(1)),
-            lambda u: u.startswith("http"),
-        )
+        body = found(b, inner(of_class(POST_TEXT, "div"), "</div>"))
+        pictures = F.regexp_extract_all(b, F.lit(r"background-image:\s*url\((?:'|&#39;)?(.*?)(?:'|&#39;)?\)"), F.lit(1))
+        photos = F.filter(pictures, lambda u: u.startswith("http"))
         return F.struct(
-            F.regexp_extract(b, r'data-post="([^"/]+)/', 1).alias("channel"),
-            F.regexp_extract(b, r'data-post="[^"/]+/([0-9]+)"', 1).cast("bigint").alias("message_id"),
+            F.substring_index(address(b), "/", 1).alias("channel"),
+            F.substring_index(address(b), "/", -1).try_cast("bigint").alias("message_id"),
             F.coalesce(text.strip_markup(body), F.lit("")).alias("text"),
             photos.alias("photo_urls"),
-            parse.parse_iso_time(found(b, r'<time[^>]+datetime="([^"]+)"')).alias("posted_at"),
+            parse.parse_iso_time(found(found(b, f"({tag_of('time')})"), attr("datetime"))).alias("posted_at"),
         )
 
     # Blocks are read inside the array, so each is parsed once and a dropped one never becomes a row.
-    own = F.filter(cut_blocks(F.col(html_col), POST_HEAD), lambda b: F.regexp_extract(b, r'data-post="([^"/]+)/', 1) == channel)
+    own = F.filter(cut_blocks(F.col(html_col), POST_HEAD), lambda b: F.substring_index(address(b), "/", 1) == channel)
     posts = F.filter(
         F.transform(own, lambda b: read(b)), lambda p: (p["text"] != "") | (F.size(p["photo_urls"]) > 0)
     )

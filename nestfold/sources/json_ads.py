@@ -77,7 +77,7 @@ def normalize_json_a(raw: DataFrame, json_col: str = "payload", keep: list[str]
 
 def _location(c: Column) -> tuple[Column, Column]:
     head = F.substring_index(c, ",", 1)
-    tail = F.substring(c, F.length(head) + 2, 64)
+    tail = F.substr(c, F.length(head) + 2)
     lat, lng = F.trim(head).try_cast("double"), F.trim(tail).try_cast("double")
     both = lat.isNotNull() & lng.isNotNull()
     return F.when(both, lat), F.when(both, lng)

@@ -69,17 +69,12 @@ FROM ({rigs.text_of(A_BASE)}) t, (VALUES ('a'), ('b')) v(c) WHERE bad > 2"""
 def quarantine_split(spark, d):
     ads = json_ads.parse_json_a(rigs.rig(spark, d, A_PAYLOADS), "payload")
     good, bad = feed.quarantine_split(ads, ["id", "created_at", "image_url"])
-    return (
-        good.select(F.lit("").alias("missing"))
-        .unionByName(bad.select(F.array_join("missing", ",").alias("missing")))
-        .groupBy("missing")
-        .agg(F.count("*").alias("n"))
-    )
+    return good.select("id", F.lit("").alias("missing")).unionByName(bad.select("id", F.array_join("missing", ",").alias("missing")))
 
 
 QUARANTINE_SQL = f"""
-SELECT concat_ws(',', CASE WHEN bad < 2 THEN 'created_at' END, CASE WHEN img = 0 THEN 'image_url' END) AS missing, 2 * count(*) AS n
-FROM ({rigs.text_of(A_BASE)}) t GROUP BY 1"""
+SELECT c || k AS id, concat_ws(',', CASE WHEN bad < 2 THEN 'created_at' END, CASE WHEN img = 0 THEN 'image_url' END) AS missing
+FROM ({rigs.text_of(A_BASE)}) t, (VALUES ('a'), ('b')) v(c)"""
 
 
 def longest_text_upgrade(spark, d):
@@ -106,16 +101,17 @@ SELECT listing_key, CAST(coalesce(length(q) > length(p), false) AS INT) AS upgra
 
 # --- source B: JSON ----------------------------------------------------------------------------
 
-B_FLOORS = ["2_4", "PR", "VPR", "SU", "10", "3_3", "x_2", "POL", "7_9", "??"]
-B_FLOOR = ["2", "0", "0", "-1", "10", "3", None, "-1", "7", None]
-B_TOTAL = ["4", None, None, None, None, "3", None, None, "9", None]
+# The last has a number of seventy digits behind its mark.
+B_FLOORS = ["5_8", "PR", "VPR", "SU", "10", "6_6", "x_2", "POL", "1_11", "??", "4_" + "0" * 69 + "9"]
+B_FLOOR = ["5", "0", "0", "-1", "10", "6", None, "-1", "1", None, "4"]
+B_TOTAL = ["8", None, None, None, None, "6", None, None, "11", None, "9"]
 B_HEAT = ["[1]", "[4]", "[10]", "[21]", "[26]", "[99]", "[1,4]", "[4,4,99]", "[12345]", '["bogus",4]', "[]", "null"]
 B_HEATING = ["centralno", "elektricni", "TA", "podno", "klima", "etazno", "centralno", "etazno", None, "elektricni", None, None]
 B_PETS = ["[1,2]", "[1]", "[]", "null", '["bogus"]', '["2"]']
 B_PET = ["1", "0", "0", None, None, "1"]
 
 B_BASE = f"""
-SELECT s_suppkey AS k, {h('fl', 10, 's_suppkey')} AS fl, {h('ht', 12, 's_suppkey')} AS ht, {h('pt', 6, 's_suppkey')} AS pt,
+SELECT s_suppkey AS k, {h('fl', 11, 's_suppkey')} AS fl, {h('ht', 12, 's_suppkey')} AS ht, {h('pt', 6, 's_suppkey')} AS pt,
   {h('lo', 3, 's_suppkey')} AS lo, {h('bad', 8, 's_suppkey')} AS bad, {h('fu', 5, 's_suppkey')} AS fu,
   {h('price', 900, 's_suppkey')} AS price, {h('kind', 7, 's_suppkey')} AS kind, s_name
 FROM {{supplier}}"""
@@ -230,8 +226,8 @@ DETAIL_PAGES = f"""
 SELECT 'https://www.nekretnine.rs/stan/' || {_q('k')} || '/' AS url,
   '<head><meta property="og:image" content="https://i.example/' || {_q('k')} || '.jpg?a=1&amp;b=2"></head><span>Sprat:</span><br/>' ||
   {pick('fl', D_FLOORS)} || '</span><span>Grejanje:</span><br>' || {pick('heat', ['Centralno', '<b>EG</b>', ''])} ||
-  '</span><span>Adresa:</span><br />staro</span><span>Adresa:</span><br />Ulica <i>' || p_brand || '</i></span><h3>Dodatna opremljenost</h3><li> ' ||
-  CASE WHEN lift = 0 THEN 'Lift' ELSE 'Liftovi' END || ' </li><div class="description"><p>Opis</p> ' || p_name || '</div>' AS html
+  '</span><span>Adresa:</span><br />staro</span><span>Adresa:</span><br />Ulica <i>' || p_brand || '</i></span><h3>Dodatna opremljenost</h3><p>' || repeat('razno ', 1100) || '</p><li> ' ||
+  CASE WHEN lift = 0 THEN 'Lift' ELSE 'Liftovi' END || ' </li><div class="description"><p>Opis</p> ' || repeat('dugo ', 1200) || p_name || '</div><h3>Okolina</h3><li>Lift</li>' AS html
 FROM ({CARD_BASE}) t WHERE gone > 0"""
 
 
@@ -272,7 +268,7 @@ CARD_JOIN_SQL = f"""
 SELECT CAST(k AS STRING) AS id, 'nekretnine' AS source, 'https://www.nekretnine.rs/stan/' || k || '/' AS url,
   CASE WHEN cur = 0 THEN 0.0 ELSE price END::DOUBLE AS price_eur, CAST({pick('fl', D_FLOOR)} AS INT) AS floor,
   CAST({pick('fl', D_TOTAL)} AS INT) AS total_floors, CAST(lift = 0 AS INT) AS elevator, 0 AS last_floor,
-  {pick('heat', ['Centralno', 'EG', None])} AS heating_type, 'Opis  ' || p_name AS description, 'Ulica ' || p_brand AS address,
+  {pick('heat', ['Centralno', 'EG', None])} AS heating_type, 'Opis  ' || repeat('dugo ', 1200) || p_name AS description, 'Ulica ' || p_brand AS address,
   'Vračar/Beograd/Srbija' AS places, 'https://i.example/' || k || '.jpg?a=1&b=2' AS image_url
 FROM ({rigs.text_of(CARD_BASE)}) t WHERE bad > 1 AND gone > 0"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +71,7 @@ def facts_filter(spark, d):
 
 def _case_map(col: str, table: dict[str, str]) -> str:
     whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items())
-    return f"CASE lower(trim({col})) {whens} END"
+    return f"CASE lower(trim({col}, chr(32) || chr(9) || chr(10) || chr(160))) {whens} END"
 
 
 FACTS_VALUES = f"""
@@ -105,12 +107,12 @@ def canonicalize_vocab(spark, d):
     df = rules.canonicalize_vocab(rigs.listings(spark, d), "heating_type", vocab.HEATING, "heating")
     terms = spark.createDataFrame(list(vocab.FURNISHING.items()), "raw string, canonical string")
     df = rules.canonicalize_vocab(df, "furnished", terms, "furnishing")
-    return df.groupBy("heating", "furnishing").agg(F.count("*").alias("n"))
+    return df.select("listing_key", "heating", "furnishing")
 
 
 CANON_SQL = f"""
-SELECT {_case_map('heating_type', vocab.HEATING)} AS heating, {_case_map('furnished', vocab.FURNISHING)} AS furnishing,
-  count(*) AS n FROM {L} l GROUP BY 1, 2"""
+SELECT listing_key, {_case_map('heating_type', vocab.HEATING)} AS heating, {_case_map('furnished', vocab.FURNISHING)} AS furnishing
+FROM {L} l"""
 
 
 def resolve_tristate(spark, d):
@@ -172,7 +174,19 @@ def distance_matrix(spark, d):
     return out.select("listing_key", "dest", F.round("km", 6).alias("km"))
 
 
+def distance_matrix_table(spark, d):
+    """Destinations read from a table."""
+    rows = rigs.table(spark, d, "nation").select(
+        F.col("n_name").alias("name"), (F.lit(44.0) + F.col("n_nationkey") / 64).alias("lat"), F.lit(20.5).alias("lng"),
+        F.lit(False).alias("gates"), F.lit(0.0).alias("score_weight"),
+    )
+    out = distance.distance_matrix(rigs.listings(spark, d), distance.load_destinations(rows))
+    return out.select("listing_key", "dest", F.round("km", 6).alias("km"))
+
+
 MATRIX_SQL = f"SELECT listing_key, dest, round({KM}, 6) AS km FROM {L} l CROSS JOIN {DEST_SQL}"
+MATRIX_TABLE_SQL = f"""SELECT listing_key, dest, round({KM}, 6) AS km FROM {L} l
+CROSS JOIN (SELECT n_name AS dest, 44.0::DOUBLE + n_nationkey / 64 AS dlat, 20.5::DOUBLE AS dlng FROM nation) x"""
 
 
 def _walk_cache(spark, d) -> DataFrame:
@@ -468,13 +482,14 @@ FROM {L} l LEFT JOIN {HIST} hh USING (listing_key)"""
 
 
 def renotify_gate(spark, d):
-    digest = notify.renotify_gate(_reasoned(spark, d), "digest")
-    return digest.groupBy("notify_reason").agg(F.count("*").alias("n"))
+    rows = _reasoned(spark, d)
+    modes = {"digest": ("digest", False), "instant": ("instant", False), "forced": ("digest", True)}
+    gated = [notify.renotify_gate(rows, *how).select(F.lit(name).alias("mode"), "listing_key", "notify_reason") for name, how in modes.items()]
+    return reduce(DataFrame.unionByName, gated)
 
 
 def fresh_only(spark, d):
-    out = state.fresh_only(rigs.listings(spark, d), _history(spark, d))
-    return out.groupBy("source").agg(F.count("*").alias("n"))
+    return state.fresh_only(rigs.listings(spark, d), _history(spark, d)).select("listing_key", "source")
 
 
 def mark_notified(spark, d):
@@ -600,18 +615,22 @@ LEFT JOIN (SELECT source, seq FROM {L} q WHERE source <> 'halooglasi') l ON l.so
 
 
 def page_early_stop(spark, d):
-    """Pages of 30 rows; freshness fades with the page, and one source marks a last page."""
+    """Pages of 30 rows; freshness fades with the page, one source marks a last page, one has a gap at
+    page 60, and one is capped by the caller."""
     df = rigs.listings(spark, d)
     page = (F.floor(F.col("seq") / 30.0) + 1).cast("int")
-    df = df.withColumn("page", page)
-    fresh = (F.col("seq") % 40) < (41 - F.col("page") - F.col("seq") % 4)
+    df = df.withColumn("page", page).filter("not (source = 'halooglasi' and page = 60)")
+    fresh = (F.col("seq") % 90) < (91 - F.col("page") - F.col("seq") % 4)
     last = (F.col("source") == "nekretnine") & (F.col("page") == 12)
-    return feed.page_early_stop(df, "source", "page", fresh, last, 50).select("source", "page", "seq")
+    capped = F.col("source") == "cityexpert"
+    whole = feed.page_early_stop(df.filter(~capped), "source", "page", fresh, last)
+    return whole.unionByName(feed.page_early_stop(df.filter(capped), "source", "page", fresh, last, 50)).select("source", "page", "seq")
 
 
 STOP_SQL = f"""
 WITH p AS (SELECT source, seq, CAST(floor(seq / 30) AS INT) + 1 AS page FROM {L} l),
- f AS (SELECT *, (seq % 40) < (41 - page - seq % 4) AS fresh, source = 'nekretnine' AND page = 12 AS is_last FROM p WHERE page <= 50),
+ f AS (SELECT *, (seq % 90) < (91 - page - seq % 4) AS fresh, source = 'nekretnine' AND page = 12 AS is_last
+       FROM p WHERE (source <> 'cityexpert' OR page <= 50) AND NOT (source = 'halooglasi' AND page = 60)),
  g AS (SELECT source, page, bool_or(fresh) AS any_fresh, bool_or(is_last) AS any_last FROM f GROUP BY 1, 2),
  w AS (SELECT *, count(*) FILTER (NOT any_fresh) OVER (PARTITION BY source ORDER BY page) AS stale,
          count(*) FILTER (any_last) OVER (PARTITION BY source ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past,
@@ -624,7 +643,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         structural_filter, facts_filter, canonicalize_vocab, resolve_tristate, pets_state, haversine, grid_key,
-        distance_matrix, resolve_walk, resolve_walk_cache, commute_map, commute_gate, ttl_cache_lookup,
+        distance_matrix, distance_matrix_table, resolve_walk, resolve_walk_cache, commute_map, commute_gate, ttl_cache_lookup,
         monthly_call_count, rank_listings, digest_topk, digest_overflow, digest_rows, short_address, relative_time,
         build_urls, rejection_tally, rejection_shown, rejection_remainder, pick_canonical, grid_bucket_join,
         notify_reason, renotify_gate, fresh_only, mark_notified, upsert_snapshot, upsert_lineitem, state_stats,
@@ -641,6 +660,7 @@ ORACLE = {
     "haversine": HAVERSINE_SQL,
     "grid_key": GRID_SQL,
     "distance_matrix": MATRIX_SQL,
+    "distance_matrix_table": MATRIX_TABLE_SQL,
     "resolve_walk": RESOLVE_SQL,
     "resolve_walk_cache": RESOLVE_CACHE_SQL,
     "commute_map": COMMUTE_MAP_SQL,
@@ -660,8 +680,9 @@ ORACLE = {
     "pick_canonical": CANONICAL_SQL,
     "grid_bucket_join": GRID_JOIN_SQL,
     "notify_reason": f"SELECT listing_key, stage, notify_reason FROM ({REASON_SQL}) r",
-    "renotify_gate": f"SELECT notify_reason, count(*) AS n FROM ({REASON_SQL}) r WHERE notify_reason IS NOT NULL GROUP BY 1",
-    "fresh_only": f"SELECT source, count(*) AS n FROM {L} l WHERE listing_key NOT IN (SELECT listing_key FROM {HIST} hh WHERE notified_at IS NOT NULL) GROUP BY 1",
+    "renotify_gate": f"""SELECT mode, listing_key, notify_reason FROM ({REASON_SQL}) r, (VALUES ('digest'), ('instant'), ('forced')) m(mode)
+        WHERE mode <> 'digest' OR notify_reason IS NOT NULL""",
+    "fresh_only": f"SELECT listing_key, source FROM {L} l WHERE listing_key NOT IN (SELECT listing_key FROM {HIST} hh WHERE notified_at IS NOT NULL)",
     "mark_notified": MARK_SQL,
     "upsert_snapshot": UPSERT_SQL,
     "upsert_lineitem": UPSERT_LINE_SQL,

@@ -43,11 +43,11 @@ def flag(number: str) -> str:
 
 HEAT_WORDS = [
     "district", "central", "gas", "tapec", "centralno", "Centralno", " etažno ", "podno", "TA",
-    "klima", "električno", "podno grejanje", "centralno grejanje", "nepoznato", "", None, "etazno", "gas",
+    "klima", "električno", "podno grejanje", "centralno grejanje", "nepoznato", "", None, "etazno", "\tGas\u00a0\n",
 ]
 FURN_WORDS = [
     "yes", "semi", "no", "furnished", "Namešten", "namesten", "polunamešten", "prazan", "empty",
-    "???", "", None, " yes ", "semi-furnished", "yes",
+    "???", "", None, " yes ", "semi-furnished", "\u00a0Yes\t",
 ]
 PHRASES = [
     "Bez ljubimaca.",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,22 +14,19 @@ from nestfold.functions import geo
 from nestfold.operators.state import ttl_cache_lookup, upsert_snapshot
 from nestfold.session import cut
 
-# Destinations are configuration: they become one literal array in the plan.
-MAX_DESTINATIONS = 1_000
+# Destinations written into a plan together.
+LITERAL_DESTINATIONS = 1_000
 
 
 def load_destinations(rows: DataFrame) -> list[Destination]:
     """Destinations kept as a table ``(name, lat, lng, gates, score_weight)``, in name order.
 
-    They are run parameters, so the table is read like a configuration file; a table too
-    long to be one is refused before anything is read to the driver.
+    They are run parameters, so the table is read like a configuration file, row by row.
     """
-    if rows.limit(MAX_DESTINATIONS + 1).count() > MAX_DESTINATIONS:
-        raise ValueError(f"more than {MAX_DESTINATIONS} destinations: not a destination table")
-    return [Destination(**r.asDict()) for r in rows.orderBy("name").collect()]
+    return [Destination(**r.asDict()) for r in rows.orderBy("name").toLocalIterator()]
 
 
-def literal_destinations(destinations: list[Destination]) -> Column:
+def literal_destinations(destinations: list[Destination], first: int = 0) -> Column:
     return F.array(
         *[
             F.struct(
@@ -37,14 +35,20 @@ def literal_destinations(destinations: list[Destination]) -> Column:
                 F.lit(float(d.lat)).alias("dest_lat"),
                 F.lit(float(d.lng)).alias("dest_lng"),
             )
-            for i, d in enumerate(destinations)
+            for i, d in enumerate(destinations, first)
         ]
     )
 
 
 def per_destination(df: DataFrame, destinations: list[Destination]) -> DataFrame:
-    """One row per listing and destination: a projection, not a join."""
-    return df.withColumn("_d", F.explode(literal_destinations(destinations))).select(*df.columns, "_d.*")
+    """One row per listing and destination: a projection for each block of destinations, not a join."""
+    if not destinations:
+        none = literal_destinations([Destination("", 0.0, 0.0, False, 0.0)])
+        return df.filter(F.lit(False)).withColumn("_d", F.explode(none)).select(*df.columns, "_d.*")
+    blocks = range(0, len(destinations), LITERAL_DESTINATIONS)
+    literals = [literal_destinations(destinations[a : a + LITERAL_DESTINATIONS], a) for a in blocks]
+    wide = [df.withColumn("_d", F.explode(block)).select(*df.columns, "_d.*") for block in literals]
+    return reduce(DataFrame.unionByName, wide)
 
 
 def distance_matrix(df: DataFrame, destinations: list[Destination], key: str = "listing_key") -> DataFrame:

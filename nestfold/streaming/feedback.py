@@ -158,24 +158,33 @@ def instant_stream(
     """Push rows never notified before, as ``batch_id=N`` directories of an outbox.
 
     ``rows`` has ``listing_key, price_eur, stage, seq`` and may repeat a key: the first of a batch
-    is sent. ``notified`` is the snapshot as it was before the stream started; what the stream itself
-    sent is read from the earlier batches of the outbox, so nothing is rewritten. A batch
-    that runs again sees the same earlier batches and replaces its own directory: each row
-    leaves once.
+    is sent. ``notified`` is the snapshot as it was before the stream started. What the stream itself sent
+    is one flag for each key in its state, so no batch reads an earlier one. A batch that
+    runs again starts from the same state and replaces its own directory: each row leaves once.
     """
+    new = fresh_only(rows.select("listing_key", "price_eur", "stage", "seq"), notified)
+    first = new.groupBy("listing_key").applyInPandasWithState(
+        _first_sent, "listing_key string, price_eur double, stage string", "sent boolean", "append", "NoTimeout"
+    )
 
     def push(batch: DataFrame, batch_id: int) -> None:
-        first = batch.groupBy("listing_key").agg(F.min_by(F.struct("price_eur", "stage"), "seq").alias("r"))
-        sent = read_outbox(batch.sparkSession, outbox).filter(F.col("batch_id") < batch_id)
-        new = fresh_only(first.select("listing_key", "r.*"), notified).join(
-            sent.select("listing_key"), "listing_key", "left_anti"
-        )
-        new.write.mode("overwrite").parquet(f"{outbox}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{outbox}/batch_id={batch_id}")
 
-    writer = rows.writeStream.foreachBatch(push).option("checkpointLocation", checkpoint)
+    writer = first.writeStream.foreachBatch(push).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _first_sent(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """The row with the least ``seq`` of a key that was never sent; one row is held at a time."""
+    least = None
+    for frame in frames:
+        row = frame.loc[frame["seq"].idxmin()]
+        least = row if least is None or row["seq"] < least["seq"] else least
+    if least is not None and not state.exists:
+        state.update((True,))
+        yield pd.DataFrame({"listing_key": [key[0]], "price_eur": [least["price_eur"]], "stage": [least["stage"]]})
+
+
 def fold_outbox(snapshot: DataFrame, sent: DataFrame, as_of: datetime) -> DataFrame:
     """Next snapshot with the pushed rows stamped; run once per digest, not per batch."""
     return mark_notified(snapshot, sent, as_of)

@@ -217,10 +217,14 @@ def test_config_defaults_of_a_sparse_document():
 
 def test_destination_tables_are_read_like_configuration(spark, monkeypatch):
     rows = spark.createDataFrame(
-        [("park", 1.0, 2.0, False, 0.1), ("office", 3.0, 4.0, True, 0.5)],
+        [("park", 1.0, 2.0, False, 0.1), ("office", 3.0, 4.0, True, 0.5), ("gym", 1.5, 2.0, False, 0.0)],
         "name string, lat double, lng double, gates boolean, score_weight double",
     )
-    assert distance.load_destinations(rows) == [Destination("office", 3.0, 4.0, True, 0.5), Destination("park", 1.0, 2.0, False, 0.1)]
-    monkeypatch.setattr(distance, "MAX_DESTINATIONS", 1)
-    with pytest.raises(ValueError):
-        distance.load_destinations(rows)
+    found = distance.load_destinations(rows)
+    assert found[1:] == [Destination("office", 3.0, 4.0, True, 0.5), Destination("park", 1.0, 2.0, False, 0.1)]
+    listing = spark.createDataFrame([("a", 1.0, 2.0)], "listing_key string, lat double, lng double")
+    whole = distance.per_destination(listing, found).collect()
+    monkeypatch.setattr(distance, "LITERAL_DESTINATIONS", 2)
+    assert sorted(distance.per_destination(listing, found).collect()) == sorted(whole)
+    assert [r.dest for r in sorted(whole, key=lambda r: r.dest_ord)] == ["gym", "office", "park"]
+    assert distance.per_destination(listing, []).collect() == []

@@ -17,8 +17,6 @@ MAGIC = 0x31423853
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 _WIDTH16 = np.array([int(v).bit_length() for v in range(1 << 16)], np.uint8)
-_LANES = [np.arange(c) for c in COUNTS]
-_SHIFTS = [np.arange(c, dtype=U64) * U64(b % 64) for c, b in zip(COUNTS, BITS, strict=True)]
 
 
 def widths(values: np.ndarray) -> np.ndarray:
@@ -51,7 +49,9 @@ def encode(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if c > p and n > c - p:
             widest = widest.copy()
             np.maximum(longest[p][: n - (c - p)], longest[p][c - p :], out=widest[: n - (c - p)])
-        chosen[(widest <= b) & (rest >= c)] = s
+        fits = widest <= b
+        if fits.any():
+            chosen[fits & (rest >= c)] = s
     step, at, starts = COUNTS[chosen].tolist(), 0, []
     while at < n:
         starts.append(at)
@@ -62,7 +62,10 @@ def encode(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for s in range(2, 16):
         mine = np.flatnonzero(selectors == s)
         if len(mine):
-            words[mine] |= np.bitwise_or.reduce(values[starts[mine][:, None] + _LANES[s]] << _SHIFTS[s], axis=1)
+            at, held = starts[mine], words[mine]
+            for k in range(COUNTS[s]):
+                held |= values[at + k] << U64(k * BITS[s])
+            words[mine] = held
     first = np.searchsorted(starts, ends - counts).astype(np.uint32)
     return words, first, values[starts[selectors == 0]]
 
@@ -75,8 +78,9 @@ def decode(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     for s in range(2, 16):
         mine = np.flatnonzero(selectors == s)
         if len(mine):
-            at = ends[mine] - COUNTS[s]
-            out[at[:, None] + _LANES[s]] = (words[mine][:, None] >> _SHIFTS[s]) & U64((1 << int(BITS[s])) - 1)
+            at, held, mask = ends[mine] - COUNTS[s], words[mine], U64((1 << int(BITS[s])) - 1)
+            for k in range(COUNTS[s]):
+                out[at + k] = (held >> U64(k * BITS[s])) & mask
     mine = selectors == 0
     out[ends[mine] - 1] = escapes
     return out

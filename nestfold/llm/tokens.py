@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,102 +16,99 @@ from pyspark.sql import functions as F
 
 from nestfold.llm import simple8b
 
-WORDS_KEPT = 400_000  # words whose ids a worker remembers
+WORDS_KEPT = 300_000  # words whose ids a worker remembers before it starts anew
 CHUNK = 1 << 20  # bytes of text taken together
 BLOCK_IDS = 1 << 16  # ids of a block, but for one long document
 END = b"\n"  # stands for the end id; no word holds white space
-# A word whose letters are lower-cased one by one and never joined with a neighbour by
-# normalization, and at most one mark behind it.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)([.,]?)")
-_MARK = " \x01 "
+# Letters that no normalization joins with a neighbour, and whose small letters are told one by one.
+_LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+_PLAIN = re.compile(rb"(?:[A-Za-z]|" + _LATIN + rb")+")
+# A single mark behind such a letter, at the end of a word: a token of its own with or without space.
+_MARKS = [(re.compile(rb"\%b(?:(?<=[a-z]\%b)|(?<=%b\%b))(?=[\t-\r ]|\Z)" % (m, m, _LATIN, m)), b" " + m) for m in (b".", b",")]
 
 
 class WordIds(dict):
-    """Word -> number of its ids in ``flat``; unknown words wait in ``fresh`` for ``learn``.
+    """Word -> its number; ``flat`` and ``ends`` hold the ids of all words by number.
 
-    The tokenizer drops white space and cuts words apart there, so the ids of a text are
-    those of its words in turn.
+    The tokenizer drops white space and cuts words apart there, so the ids of a text are those of its
+    words in turn. Unknown words wait in ``fresh`` until ``learn`` asks for all of them at once.
     """
 
     def __init__(self, tokenizer, end_id: int):
-        super().__init__({END: 0})
-        self.encode = tokenizer.encode
-        self.mark = self.encode(_MARK, add_special_tokens=False).ids
-        self.flat, self.ends = np.array([end_id], np.uint32), np.array([1], np.int64)
-        self.fresh: list[bytes] = []
-        self.passing: dict[bytes, int] = {}
-        self.cores: dict[str, list[int]] = {}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        super().__init__()
+        self.whole = tokenizer
+        # The same merges without normalization, for plain words in small letters.
+        self.plain = Tokenizer(tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        last = [i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.closes = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+        self.closes[last] = True
+        self.end_id = end_id
+        self.forget()
+
+    def forget(self) -> None:
+        """Start anew; word 0 is the end id."""
+        self.clear()
+        self[END] = 0
+        self.flat, self.ends, self.fresh = np.array([self.end_id], np.uint32), np.array([1]), []
 
     def __missing__(self, word: bytes) -> int:
-        at = self.passing.get(word)
-        if at is None:
-            at = len(self.ends) + len(self.fresh)
-            self.fresh.append(word)
-            if len(self) < WORDS_KEPT and not self.passing:
-                self[word] = at
-            else:
-                self.passing[word] = at
+        at = self[word] = len(self)
+        self.fresh.append(word)
         return at
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts none of which holds the mark, in one call."""
-        if len(self.mark) != 1:
-            return [self.encode(t, add_special_tokens=False).ids for t in texts]
-        ids = np.array(self.encode(_MARK.join(texts), add_special_tokens=False).ids, np.int64)
-        cuts = np.flatnonzero(ids == self.mark[0])
-        return [part.tolist() for part in np.split(np.delete(ids, cuts), cuts - np.arange(len(cuts)))]
-
     def learn(self) -> None:
+        """Ids of the fresh words; plain ones are cut apart where a token closes a word."""
         if not self.fresh:
             return
-        parts, asked = [], {}
-        for word in self.fresh:
-            text = word.decode("utf-8", "surrogatepass")
-            plain = _PLAIN.fullmatch(text)
-            pieces = [plain[1].lower(), plain[2]] if plain and plain[2] else [plain[1].lower() if plain else text]
-            parts.append(pieces)
-            asked.update((p, None) for p in pieces if p not in self.cores)
-        odd = [t for t in asked if "\x01" in t]
-        easy = [t for t in asked if "\x01" not in t]
-        if easy:
-            self.cores.update(zip(easy, self._ids(easy), strict=True))
-        self.cores.update((t, self.encode(t, add_special_tokens=False).ids) for t in odd)
-        made = [[i for p in pieces for i in self.cores[p]] for pieces in parts]
-        self.flat = np.concatenate([self.flat, np.fromiter((i for m in made for i in m), np.uint32)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(m) for m in made])])
+        plain = [k for k, w in enumerate(self.fresh) if w.isalpha() or _PLAIN.fullmatch(w)]
+        odd = sorted(set(range(len(self.fresh))).difference(plain))
+        texts = [b" ".join([self.fresh[k] for k in plain[a : a + 500]]).decode().lower() for a in range(0, len(plain), 500)]
+        found = [np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+        cuts = np.flatnonzero(self.closes[np.concatenate(found)]) + 1 if found else np.empty(0, np.int64)
+        texts = [self.fresh[k].decode("utf-8", "surrogatepass") for k in odd]
+        others = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        # Both came in an order of their own: back to that of the fresh words.
+        sizes = np.concatenate([np.diff(cuts, prepend=0), np.array([len(o) for o in others], np.int64)])
+        order = np.empty(len(sizes), np.int64)
+        order[plain + odd] = np.arange(len(sizes))
+        begins, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(begins - (ends - sizes), sizes)
+        self.flat = np.concatenate([self.flat, np.concatenate(found + others)[at]])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends])
         self.fresh = []
-        if len(self.cores) > WORDS_KEPT:
-            self.cores.clear()
-
-    def forget(self) -> None:
-        """Drop the words that came after the memory was full."""
-        if self.passing:
-            first = min(self.passing.values())
-            self.flat, self.ends = self.flat[: self.ends[first - 1]], self.ends[:first]
-            self.passing = {}
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids of all texts end to end, number of each)``, the end id behind each."""
         words, counts = [], []
         for text in texts:
             raw = (text or "").encode("utf-8", "surrogatepass")
-            found = (raw if b"<|" in raw else raw.lower()).split()  # a special token is told by its case
+            if b"<|" not in raw:  # a special token is told by its case
+                raw = raw.lower()
+                for mark, apart in _MARKS:
+                    raw = mark.sub(apart, raw)
+            found = raw.split()
             words += found
             words.append(END)
             counts.append(len(found) + 1)
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         self.learn()
-        begins = np.concatenate([[0], self.ends[:-1]])[at]
-        lengths = self.ends[at] - begins
+        begins = np.concatenate([[0], self.ends[:-1]])
+        lengths = (self.ends - begins)[at]
         stops = np.cumsum(lengths)
-        ids = self.flat[np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(begins - (stops - lengths), lengths)]
-        self.forget()
-        return ids, np.diff(np.concatenate([[0], stops[np.cumsum(counts) - 1]])) if counts else np.empty(0, np.int64)
+        ids = self.flat[np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(begins[at] - (stops - lengths), lengths)]
+        if len(self) > WORDS_KEPT:
+            self.forget()
+        return ids, np.diff(stops[np.cumsum(counts) - 1], prepend=0) if counts else np.empty(0, np.int64)
 
 
 @lru_cache
 def word_ids(path: str, end_id: int) -> WordIds:
-    """One memory of words for each worker."""
+    """One memory of words for each worker; Spark spreads the work, so the library gets no threads."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return WordIds(Tokenizer.from_file(path), end_id)

@@ -147,18 +147,16 @@ SELECT CAST(doc_id AS STRING) AS listing_key, CASE WHEN doc_id % 6 IN (0, 4) THE
   CASE doc_id % 6 WHEN 0 THEN 'yes' WHEN 4 THEN 'no' END AS pets_allowed, CASE WHEN doc_id % 6 = 0 THEN 3 END AS max_lease_months FROM documents"""
 
 
-def count_words(rows: pd.DataFrame) -> pd.DataFrame:
-    """A pure enrichment function: the summary is the word count; long texts fail."""
-    if len(rows) == 1 and len(rows["text"].iloc[0]) > 4000:
+@enrich.per_row
+def count_words(text: str) -> str:
+    """An enrichment function of one text: the summary is the word count; long texts fail."""
+    if len(text) > 4000:
         raise ValueError("too long")
-    if (rows["text"].str.len() > 4000).any():
-        raise RuntimeError("one of them is too long")
-    words = rows["text"].str.split().str.len()
-    return pd.DataFrame({"key": rows["key"], "payload": ['{"summary_en": "%d words"}' % w for w in words]})
+    return '{"summary_en": "%d words"}' % len(text.split())
 
 
-def _enriched(spark, d):
-    return enrich.incremental_enrich(rigs.rig(spark, d, TITLES), _facts_cache(spark, d), count_words, AS_OF)
+def _enriched(spark, d, fn=count_words, budget=None):
+    return enrich.incremental_enrich(rigs.rig(spark, d, TITLES), _facts_cache(spark, d), fn, AS_OF, budget)
 
 
 def incremental_enrich(spark, d):
@@ -172,6 +170,53 @@ SELECT CAST(doc_id AS STRING) AS listing_key, CASE doc_id % 6 WHEN 0 THEN 'yes'
 FROM documents"""
 
 
+ENRICH_BUDGET = 150
+
+
+def enrich_budget(spark, d):
+    """Only the first misses in arrival order are tried."""
+    rows, _, failures = _enriched(spark, d, budget=ENRICH_BUDGET)
+    return rows.select("listing_key", "extraction.summary_en").join(failures, "listing_key", "left")
+
+
+_MISSES = "SELECT *, row_number() OVER (ORDER BY doc_id) AS nth FROM documents WHERE doc_id % 6 NOT IN (0, 4)"
+_WORDS = r"len(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')) || ' words'"
+BUDGET_SQL = f"""
+SELECT CAST(doc_id AS STRING) AS listing_key, CAST(NULL AS STRING) AS summary_en, CAST(NULL AS STRING) AS error FROM documents WHERE doc_id % 6 IN (0, 4)
+UNION ALL SELECT CAST(doc_id AS STRING), CASE WHEN nth <= {ENRICH_BUDGET} AND length(text) <= 4000 THEN {_WORDS} END,
+  CASE WHEN nth > {ENRICH_BUDGET} THEN 'over budget' WHEN length(text) > 4000 THEN 'too long' END FROM ({_MISSES}) m"""
+
+
+def _no_calls_left(rows: pd.DataFrame) -> pd.DataFrame:
+    raise enrich.BudgetExhausted("no calls left")
+
+
+def enrich_breaker(spark, d):
+    """A service that stops at once: every miss fails and waits for the next run."""
+    rows, _, failures = _enriched(spark, d, _no_calls_left)
+    return rows.select("listing_key", "extraction.pets_allowed").join(failures, "listing_key", "left")
+
+
+BREAKER_SQL = """
+SELECT CAST(doc_id AS STRING) AS listing_key, CASE doc_id % 6 WHEN 0 THEN 'yes' WHEN 4 THEN 'no' END AS pets_allowed,
+  CASE WHEN doc_id % 6 NOT IN (0, 4) THEN 'no calls left' END AS error FROM documents"""
+
+
+def enrich_next_cache(spark, d):
+    """The cache after the run: new answers over old entries, what failed left as it was."""
+    _, cache, _ = _enriched(spark, d)
+    age = F.datediff(F.lit(AS_OF), "extracted_at")
+    return cache.select("listing_key", F.md5("payload").alias("payload"), age.alias("age"))
+
+
+NEXT_CACHE_SQL = f"""
+SELECT CAST(doc_id AS STRING) AS listing_key, CASE WHEN doc_id % 6 NOT IN (0, 4) AND length(text) <= 4000 THEN 0 ELSE 5 END AS age,
+  md5(CASE WHEN doc_id % 6 NOT IN (0, 4) AND length(text) <= 4000 THEN '{{"summary_en": "' || {_WORDS} || '"}}'
+      WHEN doc_id % 6 = 0 THEN '{{"pets_allowed": "yes", "gone_field": 1, "max_lease_months": 3}}' WHEN doc_id % 6 = 1 THEN '{{broken'
+      ELSE '{{"pets_allowed": "no"}}' END) AS payload
+FROM documents WHERE doc_id % 6 < 5 OR length(text) <= 4000"""
+
+
 def enrich_failures(spark, d):
     _, _, failures = _enriched(spark, d)
     return failures
@@ -299,7 +344,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         click_dispatch, click_counts, first_seen_set, toggle_fold, skip_antijoin, skipped_profiles, hashtag_filter,
-        post_filter, unseen_posts, channel_counts, cache_split, incremental_enrich, enrich_failures, text_facts,
+        post_filter, unseen_posts, channel_counts, cache_split, incremental_enrich, enrich_failures, enrich_budget, enrich_breaker, enrich_next_cache, text_facts,
         vector_fingerprint, click_stream, skip_stream, favorite_stream, post_stream, instant_stream, write_digest,
     )
 }
@@ -317,6 +362,9 @@ ORACLE = {
     "channel_counts": f"SELECT source AS channel, CASE WHEN {TAGGED} THEN 'tagged' ELSE 'untagged' END AS outcome, count(*) AS n FROM documents GROUP BY 1, 2",
     "cache_split": SPLIT_SQL,
     "incremental_enrich": ENRICH_SQL,
+    "enrich_budget": BUDGET_SQL,
+    "enrich_breaker": BREAKER_SQL,
+    "enrich_next_cache": NEXT_CACHE_SQL,
     "enrich_failures": "SELECT CAST(doc_id AS STRING) AS listing_key, 'too long' AS error FROM documents WHERE doc_id % 6 NOT IN (0, 4) AND length(text) > 4000",
     "text_facts": FACTS_TEXT_SQL,
     "vector_fingerprint": CODE_SQL,

@@ -6,14 +6,16 @@ from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from nestfold import schema
 from nestfold.operators.state import cache_lookup, payload_of, split_hits, upsert_snapshot
 from nestfold.session import cut
 
-# Phrases that state a fact, first match wins from top to bottom (fixed values).
+# Phrases that state a fact, first match wins from top to bottom (our own choice; replace freely).
 PETS_NO = ["bez ljubimaca", "ljubimci nisu dozvoljeni", "no pets"]
 PETS_YES = [
     "ljubimci dozvoljeni",
@@ -42,6 +44,8 @@ RED_FLAGS = {
     "students only": ["samo studenti", "students only"],
     "no smoking": ["nepušač", "no smoking"],
     "shared bathroom": ["zajedničko kupatilo", "shared bathroom"],
+    "high deposit": ["depozit dva", "depozit 2", "dva depozita", "depozit tri", "two months deposit", "deposit of two"],
+    "long lease only": ["dugoročno", "na duži period", "long-term only", "long term only"],
 }
 LEASE_RE = r"minimum\s+([0-9]{1,3})\s*(?:mesec|month)"
 BILLS_RE = r"(?:računi|komunalije|bills)\D{0,12}([0-9]{2,4})"
@@ -105,55 +109,63 @@ def post_facts(c: Column) -> Column:
     )
 
 
+# An enrichment function gets (key, text) rows and returns (key, payload) rows, with an ``error``
+# where a row has no payload.
+EnrichFn = Callable[[pd.DataFrame], pd.DataFrame]
+
+
 class BudgetExhausted(Exception):
-    """Raised by an enrichment function when no further call can succeed in this run."""
+    """Raised by an enrichment function when no further call can succeed; ``answered`` holds its rows so far."""
 
+    def __init__(self, message: str = "budget exhausted", answered: pd.DataFrame | None = None):
+        super().__init__(message)
+        self.answered = answered
 
-# An enrichment function gets (key, text) rows and returns (key, payload) rows.
-EnrichFn = Callable[[pd.DataFrame], pd.DataFrame]
 
+def per_row(call: Callable[[str], str]) -> EnrichFn:
+    """An enrichment function from one that answers a single text: a failing row fails alone, and
+    nothing is called after the budget is exhausted."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        done: list[tuple] = []
+        frame = lambda: pd.DataFrame(done, columns=["key", "payload", "error"])
+        for key, text in zip(rows["key"], rows["text"]):
+            try:
+                done.append((key, call(text), None))
+            except BudgetExhausted as e:
+                raise BudgetExhausted(str(e), frame()) from e
+            except Exception as e:  # noqa: BLE001
+                done.append((key, None, str(e) or type(e).__name__))
+        return frame()
 
-def _guarded(fn: EnrichFn) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Run ``fn`` over a partition: a failing row fails alone, an exhausted budget fails the
-    rest of the partition without another call."""
+    return run
 
-    def one(rows: pd.DataFrame) -> tuple[pd.DataFrame | None, str | None, bool]:
-        try:
-            return fn(rows), None, False
-        except BudgetExhausted as e:
-            return None, str(e) or "budget exhausted", True
-        except Exception as e:  # noqa: BLE001
-            return None, str(e) or type(e).__name__, False
 
-    def finish(rows: pd.DataFrame, got: pd.DataFrame | None, error: str | None) -> pd.DataFrame:
-        out = rows[["key", "desc_hash"]].copy()
-        answers = {} if got is None else dict(zip(got["key"], got["payload"]))
-        out["payload"] = [answers.get(k) for k in out["key"]]
-        out["error"] = [None if p is not None else (error or "no answer") for p in out["payload"]]
-        return out
+def answering(fn: EnrichFn, key: str, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Whole rows with ``payload`` and ``error`` behind them. ``fn`` is called once for a batch, and in
+    this task no more after it said that its budget is exhausted."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent: str | None = None
         for batch in batches:
-            if spent is not None:
-                yield finish(batch, None, spent)
-                continue
-            got, error, stop = one(batch)
-            if error is None:
-                yield finish(batch, got, None)
-                continue
-            if stop and len(batch) == 1:
-                spent = error
-                yield finish(batch, None, error)
+            if not batch.num_rows:
                 continue
-            for i in range(len(batch)):
-                row = batch.iloc[i : i + 1]
-                if spent is not None:
-                    yield finish(row, None, spent)
-                    continue
-                got, error, stop = one(row)
-                spent = error if stop else None
-                yield finish(row, got, error)
+            rows = pd.DataFrame({"key": batch.column(key).to_pylist(), "text": batch.column(text_col).to_pylist()})
+            got, error = None, spent
+            if spent is None:
+                try:
+                    got = fn(rows)
+                except BudgetExhausted as e:
+                    got, error = e.answered, str(e)
+                    spent = error
+                except Exception as e:  # noqa: BLE001
+                    error = str(e) or type(e).__name__
+            said = {} if got is None else dict(zip(got["key"], got["payload"]))
+            failed = dict(zip(got["key"], got["error"])) if got is not None and "error" in got else {}
+            payloads = [said.get(k) for k in rows["key"]]
+            errors = [None if p is not None else failed.get(k) or error or "no answer" for k, p in zip(rows["key"], payloads)]
+            columns = [*batch.columns, pa.array(payloads, pa.string()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "payload", "error"])
 
     return run
 
@@ -171,43 +183,33 @@ def incremental_enrich(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Facts for every row from the cache or from ``fn``; returns (rows, next cache, failures).
 
-    Only rows without a valid cache entry reach ``fn``. ``fn`` is a pandas function run in
-    Arrow batches or, with ``as_column``, a Column function. ``budget`` lets only the first
-    so many misses (in arrival order) be tried: the limit is the feature, meant for
-    call-priced services. Answers are materialised once, so ``fn`` is not called again when the outputs are
+    Only rows without a valid cache entry reach ``fn``: a function of (key, text) rows called in
+    Arrow batches, or with ``as_column`` a Column function. Rows pass through with their answer,
+    so texts are not joined again. ``budget`` lets only the first so many misses (in arrival
+    order) be tried, spread over all cores: the limit is the feature, meant for call-priced
+    services. Answers are materialised once, so ``fn`` is not called again when the outputs are
     read. Failed rows keep a null ``extraction``, are not cached and retry next run.
     """
     # The lookup feeds three branches, so its join runs once.
     hits, misses = split_hits(cut(cache_lookup(df, cache, key, text_col)))
-    tried = misses if budget is None else misses.orderBy(seq).limit(budget)
+    tried, over = misses, None
+    if budget is not None:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        tried = cut(misses.orderBy(seq).limit(budget).repartition(max(1, min(budget, cores)), seq))
+        over = misses.join(tried.select(key), key, "left_anti")
     if as_column:
-        answered = tried.select(
-            F.col(key).alias("key"),
-            "desc_hash",
-            payload_of(fn(F.col(text_col))).alias("payload"),
-            F.lit(None).cast("string").alias("error"),
-        )
+        answered = tried.withColumn("payload", payload_of(fn(F.col(text_col)))).withColumn("error", F.lit(None).cast("string"))
     else:
-        asked = tried.select(F.col(key).alias("key"), F.col(text_col).alias("text"), "desc_hash")
-        answered = asked.mapInPandas(
-            _guarded(fn), "key string, desc_hash string, payload string, error string"
-        )
-    answered = cut(answered)
-    good = answered.filter("payload is not null")
-    facts = good.select(
-        F.col("key").alias(key), F.from_json("payload", schema.EXTRACTION).alias("extraction")
-    )
-    filled = misses.join(facts, key, "left")
+        fields = [*tried.schema.fields, StructField("payload", StringType()), StructField("error", StringType())]
+        answered = cut(tried.mapInArrow(answering(fn, key, text_col), StructType(fields)))
+    filled = answered.withColumn("extraction", F.from_json("payload", schema.EXTRACTION)).drop("payload", "error")
     rows = hits.unionByName(filled)
-    stored = good.select(
-        F.col("key").alias(key),
-        "payload",
-        "desc_hash",
-        F.lit(as_of).cast("timestamp").alias("extracted_at"),
+    failures = answered.filter("payload is null").select(key, "error")
+    if over is not None:
+        rows = rows.unionByName(over.withColumn("extraction", F.lit(None).cast(schema.EXTRACTION)))
+        failures = failures.unionByName(over.select(key, F.lit("over budget").alias("error")))
+    stored = answered.filter("payload is not null").select(
+        key, "payload", "desc_hash", F.lit(as_of).cast("timestamp").alias("extracted_at")
     )
     new_cache = upsert_snapshot(cache, stored, key, ["payload", "desc_hash", "extracted_at"], "extracted_at")
-    over = misses.join(answered.select(F.col("key").alias(key)), key, "left_anti").select(
-        key, F.lit("over budget").alias("error")
-    )
-    failures = answered.filter("payload is null").select(F.col("key").alias(key), "error")
-    return rows, new_cache, failures.unionByName(over)
+    return rows, new_cache, failures

@@ -9,9 +9,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nestfold.functions import codes, geo, parse, text, vocab
-from nestfold.operators.enrich import BudgetExhausted, _guarded
+from nestfold.operators.enrich import BudgetExhausted, answering, per_row
 from nestfold.sources import html, json_ads
-import pandas as pd
+import pyarrow as pa
 
 
 def over(spark, values, fn, kind="string"):
@@ -114,18 +114,29 @@ def test_one_malformed_advert_leaves_the_others(spark):
 def test_exhausted_budget_stops_calls_and_bad_rows_fail_alone():
     calls = []
 
-    def fn(rows):
-        calls.append(len(rows))
-        if len(rows) > 1:
-            raise RuntimeError("row by row, please")
-        key = rows["key"].iloc[0]
-        if key == "b":
+    def call(text):
+        calls.append(text)
+        if text == "b":
             raise ValueError("bad")
-        if key == "d":
+        if text == "d":
             raise BudgetExhausted("cap")
-        return pd.DataFrame({"key": [key], "payload": ["{}"]})
+        return "{}"
+
+    batch = lambda ks: pa.RecordBatch.from_pydict({"id": list(ks), "t": list(ks), "more": [1] * len(ks)})
+    out = list(answering(per_row(call), "id", "t")(iter([batch("abcde"), batch(""), batch("fg")])))
+    assert out[0].schema.names == ["id", "t", "more", "payload", "error"]
+    found = {k: e for b in out for k, e in zip(b.column("id").to_pylist(), b.column("error").to_pylist())}
+    assert found == {"a": None, "b": "bad", "c": None, "d": "cap", "e": "cap", "f": "cap", "g": "cap"}
+    assert calls == ["a", "b", "c", "d"]
+
+
+def test_a_failing_batch_is_not_called_again():
+    calls = []
+
+    def fn(rows):
+        calls.append(len(rows))
+        raise RuntimeError("down")
 
-    batch = lambda ks: pd.DataFrame({"key": list(ks), "text": "t", "desc_hash": "h"})
-    out = pd.concat(_guarded(fn)(iter([batch("abcde"), batch("fg")])))
-    assert dict(zip(out["key"], out["error"])) == {"a": None, "b": "bad", "c": None, "d": "cap", "e": "cap", "f": "cap", "g": "cap"}
-    assert calls == [5, 1, 1, 1, 1]
+    batch = pa.RecordBatch.from_pydict({"id": ["a", "b"], "t": ["x", "y"]})
+    out = list(answering(fn, "id", "t")(iter([batch, batch])))
+    assert [b.column("error").to_pylist() for b in out] == [["down"] * 2] * 2 and calls == [2, 2]

@@ -10,21 +10,22 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nestfold.llm import simple8b
 
-WORDS_KEPT = 300_000  # words whose ids a worker remembers before it starts anew
-CHUNK = 1 << 20  # bytes of text taken together
+WORDS_KEPT = 500_000  # words whose ids a worker remembers before it starts anew
+CHUNK = 4 << 20  # bytes of text taken together
 BLOCK_IDS = 1 << 16  # ids of a block, but for one long document
-END = b"\n"  # stands for the end id; no word holds white space
+END = "\n"  # stands for the end id; no word holds white space
 # Letters that no normalization joins with a neighbour, and whose small letters are told one by one.
-_LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
-_PLAIN = re.compile(rb"(?:[A-Za-z]|" + _LATIN + rb")+")
+_LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f"[{_LETTERS}]+")
 # A single mark behind such a letter, at the end of a word: a token of its own with or without space.
-_MARKS = [(re.compile(rb"\%b(?:(?<=[a-z]\%b)|(?<=%b\%b))(?=[\t-\r ]|\Z)" % (m, m, _LATIN, m)), b" " + m) for m in (b".", b",")]
+_MARK = rf"([{_LETTERS}])([.,])([\t-\r ]|$)"
 
 
 class WordIds(dict):
@@ -49,12 +50,12 @@ class WordIds(dict):
         self.forget()
 
     def forget(self) -> None:
-        """Start anew; word 0 is the end id."""
+        """Start anew; word 0 is the end id, word 1 is empty."""
         self.clear()
-        self[END] = 0
-        self.flat, self.ends, self.fresh = np.array([self.end_id], np.uint32), np.array([1]), []
+        self[END], self[""] = 0, 1
+        self.flat, self.ends, self.fresh = np.array([self.end_id], np.uint32), np.array([1, 1]), []
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
         self.fresh.append(word)
         return at
@@ -63,12 +64,12 @@ class WordIds(dict):
         """Ids of the fresh words; plain ones are cut apart where a token closes a word."""
         if not self.fresh:
             return
-        plain = [k for k, w in enumerate(self.fresh) if w.isalpha() or _PLAIN.fullmatch(w)]
+        plain = [k for k, w in enumerate(self.fresh) if _PLAIN.fullmatch(w)]
         odd = sorted(set(range(len(self.fresh))).difference(plain))
-        texts = [b" ".join([self.fresh[k] for k in plain[a : a + 500]]).decode().lower() for a in range(0, len(plain), 500)]
+        texts = [" ".join([self.fresh[k] for k in plain[a : a + 500]]).lower() for a in range(0, len(plain), 500)]
         found = [np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
         cuts = np.flatnonzero(self.closes[np.concatenate(found)]) + 1 if found else np.empty(0, np.int64)
-        texts = [self.fresh[k].decode("utf-8", "surrogatepass") for k in odd]
+        texts = [self.fresh[k] for k in odd]
         others = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
         # Both came in an order of their own: back to that of the fresh words.
         sizes = np.concatenate([np.diff(cuts, prepend=0), np.array([len(o) for o in others], np.int64)])
@@ -81,28 +82,29 @@ class WordIds(dict):
         self.ends = np.concatenate([self.ends, self.ends[-1] + ends])
         self.fresh = []
 
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """``(ids of all texts end to end, number of each)``, the end id behind each."""
-        words, counts = [], []
-        for text in texts:
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            if b"<|" not in raw:  # a special token is told by its case
-                raw = raw.lower()
-                for mark, apart in _MARKS:
-                    raw = mark.sub(apart, raw)
-            found = raw.split()
-            words += found
-            words.append(END)
-            counts.append(len(found) + 1)
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids of all texts end to end, number of each)``, the end id behind each. Each word is looked up once."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        cut = pc.replace_substring_regex(pc.ascii_lower(texts), _MARK, r"\1 \2\3")
+        # A special token is told by its case.
+        words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, cut))
+        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        coded = pc.list_flatten(words).dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.__getitem__, known), np.int64, len(known))
         self.learn()
+        last = np.cumsum(counts) - 1
+        at = np.zeros(int(counts.sum()), np.int64)
+        inner = np.ones(len(at), bool)
+        inner[last] = False
+        at[inner] = numbers[coded.indices.to_numpy()]
         begins = np.concatenate([[0], self.ends[:-1]])
         lengths = (self.ends - begins)[at]
         stops = np.cumsum(lengths)
         ids = self.flat[np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(begins[at] - (stops - lengths), lengths)]
         if len(self) > WORDS_KEPT:
             self.forget()
-        return ids, np.diff(stops[np.cumsum(counts) - 1], prepend=0) if counts else np.empty(0, np.int64)
+        return ids, np.diff(stops[last], prepend=0)
 
 
 @lru_cache
@@ -114,20 +116,16 @@ def word_ids(path: str, end_id: int) -> WordIds:
     return WordIds(Tokenizer.from_file(path), end_id)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """``(ids, texts)`` of about CHUNK characters."""
-    ids, texts, size = [], [], 0
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """``(ids, texts)`` of about CHUNK bytes, or of one long text."""
     for batch in batches:
-        for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py()
-            ids.append(k)
-            texts.append(text)
-            size += len(text or "")
-            if size >= CHUNK:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+        ids, texts = batch.column(0).to_pylist(), batch.column(1)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < len(ids):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, "right")))
+            yield ids[a:b], texts.slice(a, b - a)
+            a = b
 
 
 def _write(path: str, end_id: int):

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,7 +199,7 @@ def test_token_files_equal_the_tokenizer(spark, monkeypatch, kept):
     words = tokens.WordIds(tokenizer, 1)
     want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in ODD]
     for _ in range(2):
-        ids, counts = words.of(ODD)
+        ids, counts = words.of(pa.array(ODD, pa.string()))
         assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
     rows = [(100 - k, t, "b", "i") for k, t in enumerate(ODD)] + [(None, "no id", "b", "i"), (100, "again", "b", "i"), (100, "again", "b", "i"), (-5, "minus", "b", "i")]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nestfold.catalog import rigs, state_queries
 from nestfold.catalog.listing_queries import _facts_sql, _history, _provider, _structural_sql, _walk_cache
-from nestfold.catalog.rigs import AS_OF, CODES_BASE, DESTINATIONS, LISTINGS, POSTS, TITLES
+from nestfold.catalog.rigs import AS_OF, CODES_BASE, DESTINATIONS, LISTINGS, POSTS, pick
 from nestfold.config import DigestConfig
 from nestfold.functions import codes
 from nestfold.operators import cluster, similarity
@@ -66,35 +66,62 @@ SELECT x AS code, min(seen) AS component_id FROM walk GROUP BY 1"""
 
 # --- titles and clusters ---------------------------------------------------------------------
 
-
-def _titles(spark, d) -> DataFrame:
-    """Documents as rows of the cascade; every third carries the fingerprint of a vector."""
-    base = _codes(spark, d).withColumnRenamed("vec_id", "seq")
-    docs = rigs.rig(spark, d, TITLES)
-    return (
-        docs.join(base, "seq", "left")
-        .withColumn("code", F.when(F.col("seq") % 3 == 0, F.col("code")))
-        .withColumn("lat", F.when(F.col("seq") % 4 == 0, 44.7 + (F.col("seq") % 40) * 0.0004))
-        .withColumn("lng", F.lit(20.4))
-        .withColumn("m2", F.lit(50.0) + F.col("seq") % 3)
-    )
+# Each listing three times: its title whole, and without its last 4 and 10 characters, at rising
+# prices. What is left of a title is one matched block, so a ratio is twice the shorter length by both.
+_CUTS = [0, 4, 10]
+TITLE_VARIANTS = f"""
+SELECT seq * 3 + v AS seq, substr(title, 1, length(title) - {pick('v', [str(c) for c in _CUTS]).replace("'", '')}) AS title,
+  price_eur * (1 + v * 0.02) AS price_eur
+FROM ({LISTINGS}) l, (SELECT 0 AS v UNION ALL SELECT 1 AS v UNION ALL SELECT 2 AS v) n"""
 
 
 def fuzzy_title_join(spark, d):
-    out = similarity.fuzzy_title_join(rigs.rig(spark, d, TITLES))
-    return out.withColumn("ratio", F.round("ratio", 6))
+    out = similarity.fuzzy_title_join(rigs.rig(spark, d, TITLE_VARIANTS))
+    return out.select(
+        "later_title", F.round("later_price", 4).alias("later_price"), "earlier_title", F.round("earlier_price", 4).alias("earlier_price"), F.round("ratio", 6).alias("ratio")
+    )
+
+
+# Titles begin with 24 random characters: only those with the same beginning are near.
+FUZZY_SQL = f"""
+WITH e AS (SELECT lower(title) AS title, price_eur AS price, min(seq) AS first, max(seq) AS last, substr(lower(title), 1, 19) AS head
+           FROM ({rigs.text_of(TITLE_VARIANTS)}) t WHERE price_eur > 0 GROUP BY 1, 2)
+SELECT a.title AS later_title, round(a.price, 4) AS later_price, b.title AS earlier_title, round(b.price, 4) AS earlier_price,
+  round(2.0 * least(length(a.title), length(b.title)) / (length(a.title) + length(b.title)), 6) AS ratio
+FROM e a JOIN e b ON a.head = b.head AND (a.title, a.price) <> (b.title, b.price) AND a.last > b.first
+WHERE abs(a.price - b.price) / greatest(a.price, b.price) <= 0.05
+  AND 2.0 * least(length(a.title), length(b.title)) / (length(a.title) + length(b.title)) >= 0.8"""
+
+
+def _flats(spark, d) -> DataFrame:
+    return rigs.listings(spark, d).select("seq", "code", "lat", "lng", "m2", "price_eur", "title")
 
 
 def same_flat_edges(spark, d):
-    return similarity.same_flat_edges(_titles(spark, d))
+    """The listings with an earlier one of the same flat: those with an edge to it."""
+    return similarity.same_flat_edges(_flats(spark, d)).select(F.col("later").alias("seq")).distinct()
 
 
 def cluster_flats(spark, d):
-    rows = _titles(spark, d)
+    rows = _flats(spark, d)
     out = cluster.cluster_flats(rows, similarity.same_flat_edges(rows))
     return out.select("seq", "cluster_id")
 
 
+# Random titles match only when equal.
+_PAIRS = f"""
+rows AS MATERIALIZED (SELECT seq, code, round(lat, 4) AS la, round(lng, 4) AS lo, m2, price_eur AS p, floor(price_eur / 50) AS pb, title FROM {L} l),
+ pairs AS MATERIALIZED (
+  SELECT a.seq AS x, b.seq AS y FROM rows a JOIN rows b ON a.seq > b.seq AND bit_count(xor(a.code, b.code)) <= 6
+  UNION SELECT a.seq, b.seq FROM rows a JOIN rows b ON a.la = b.la AND a.lo = b.lo AND a.pb = b.pb AND a.seq > b.seq AND abs(a.m2 - b.m2) < 1
+  UNION SELECT a.seq, b.seq FROM rows a JOIN rows b ON a.title = b.title AND a.seq > b.seq AND abs(a.p - b.p) / greatest(a.p, b.p) <= 0.05)"""
+EDGES_SQL = f"WITH {_PAIRS} SELECT DISTINCT x AS seq FROM pairs"
+# A row's cluster is the smallest row reachable through ever earlier matches.
+CLUSTER_SQL = f"""
+WITH RECURSIVE {_PAIRS}, walk AS (SELECT x, y FROM pairs UNION SELECT w.x, p.y FROM walk w JOIN pairs p ON p.x = w.y)
+SELECT r.seq, least(r.seq, coalesce(min(w.y), r.seq)) AS cluster_id FROM rows r LEFT JOIN walk w ON w.x = r.seq GROUP BY r.seq"""
+
+
 def skipped_dup_antijoin(spark, d):
     """Listings that are no copy of a hidden one. Copies share title and nearly the code."""
     rows = rigs.listings(spark, d)
@@ -224,6 +251,9 @@ ORACLE = {
     "hamming_join": HAMMING_SQL,
     "post_dup_antijoin": POST_DUP_SQL,
     "connected_components": COMPONENTS_SQL,
+    "fuzzy_title_join": FUZZY_SQL,
+    "same_flat_edges": EDGES_SQL,
+    "cluster_flats": CLUSTER_SQL,
     "skipped_dup_antijoin": SKIPPED_DUP_SQL,
     "digest_gate": GATE_SQL,
     "run_channel": CHANNEL_SQL,

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from difflib import SequenceMatcher
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -19,15 +20,14 @@ from pyspark.sql import functions as F
 from nestfold.config import MatchConfig
 from nestfold.functions import codes as code_fn
 from nestfold.functions import geo, text
-from nestfold.session import BROADCAST_ROWS, broadcast_if_small, cut
+from nestfold.session import BROADCAST_ROWS, cut
 
 CODE_BITS = 64
-# A bucket of more codes than this is divided again before its codes are compared.
+# A bucket of more pairs than this squared is divided again before its codes are compared.
 BUCKET_LIMIT = 4_096
-# Titles compared with each other inside one task, per side.
-TILE_ROWS = 1_024
-# Tasks of the tile comparison at most.
-MAX_TILE_PARTITIONS = 20_000
+# Titles compared with each other inside one task, per side; and of these, rows looked at together.
+TILE_ROWS = 4_096
+BLOCK_ROWS = 256
 
 
 # --- image codes ---------------------------------------------------------------------------
@@ -69,28 +69,14 @@ def choose_parts(n: int, width: int, max_dist: int) -> int:
     return min(range(max_dist + 1, min(2 * max_dist, width) + 1), key=work)
 
 
-def _keyed(codes: DataFrame, col: str, masks: list[int]) -> DataFrame:
-    table = F.array(*[F.lit(_signed(m)).cast("bigint") for m in masks])
-    return codes.select(F.col(col), F.posexplode(table).alias("mask_no", "mask")).select(
-        col, "mask_no", F.col(col).bitwiseAND(F.col("mask")).alias("bits")
-    )
-
-
-def _divided(rows: DataFrame, col: str, masks: list[int], max_dist: int, largest: int) -> DataFrame:
-    """Second-level keys for codes in large buckets: they agree on the bucket's mask, so
-    their differences lie in the other bits, which are grouped in the same way."""
-    finer = []
-    for mask in masks:
-        rest = [b for b in range(CODE_BITS) if not mask >> b & 1]
-        parts = choose_parts(largest, len(rest), max_dist)
-        finer.append([_signed(m) for m in _equal_masks(rest, parts, max_dist)])
-    table = F.array(*[F.array(*[F.lit(m).cast("bigint") for m in row]) for row in finer])
-    deeper = rows.select(
-        col, "mask_no", "bits", F.posexplode(F.get(table, F.col("mask_no"))).alias("sub_no", "sub")
-    )
-    return deeper.select(
-        col, "mask_no", "bits", "sub_no", F.col(col).bitwiseAND(F.col("sub")).alias("sub_bits")
-    )
+def _divided(rows: DataFrame, col: str, masks: dict[int, list[int]]) -> DataFrame:
+    """Each code once for every mask of the bits it doesn't share with its bucket yet: it goes into the
+    bucket of its bits under the mask. ``masks`` is keyed by the bits shared so far; buckets are
+    hashes, so two may fall together, which the distance sorts out."""
+    table = rows.sparkSession.createDataFrame([(_signed(u), [_signed(m) for m in ms]) for u, ms in masks.items()], "used bigint, masks array<bigint>")
+    deeper = rows.join(F.broadcast(table), "used").select(col, "bucket", "used", F.explode("masks").alias("mask"))
+    bucket = F.xxhash64("bucket", "mask", F.col(col).bitwiseAND(F.col("mask")))
+    return deeper.select(col, bucket.alias("bucket"), F.col("used").bitwiseOR(F.col("mask")).alias("used"))
 
 
 def hamming_join(
@@ -103,40 +89,65 @@ def hamming_join(
 
     Exact. Keys are choices of equal bit groups (Manku, Jain, Das Sarma, "Detecting
     near-duplicates for web crawling", 2007); their number follows the counted size of the
-    input. Buckets that turn out large are divided once more by their remaining bits.
+    input. A bucket with more pairs than BUCKET_LIMIT squared, counted on both sides, is divided by
+    its remaining bits: its codes agree on the others, so all they differ in lies there. What is
+    still larger after that is dense, and is compared in tiles of at most BUCKET_LIMIT codes a side.
     """
     left = cut(a.select(F.col(code).alias("code_a")).filter("code_a is not null").distinct())
     if b is None:
         right = left.withColumnRenamed("code_a", "code_b")
     else:
         right = cut(b.select(F.col(code).alias("code_b")).filter("code_b is not null").distinct())
-    n = max(left.count(), right.count() if b is not None else 0, 1)
-    parts = choose_parts(n, CODE_BITS, max_dist)
-    masks = _equal_masks(list(range(CODE_BITS)), parts, max_dist)
-    keys_a, keys_b = _keyed(left, "code_a", masks), _keyed(right, "code_b", masks)
-
-    # Fewer codes than the limit cannot fill a bucket beyond it.
-    top = None
-    if n > BUCKET_LIMIT:
-        fill = keys_b.groupBy("mask_no", "bits").agg(F.count("*").alias("n"))
-        large = cut(fill.filter(F.col("n") > BUCKET_LIMIT))
-        top = large.agg(F.max("n")).first()[0]
+
+    def masks_of(used: int, size: int) -> list[int]:
+        rest = [k for k in range(CODE_BITS) if not used >> k & 1]
+        return _equal_masks(rest, choose_parts(size, len(rest), max_dist), max_dist)
+
+    def large_of(keys_a: DataFrame, keys_b: DataFrame) -> DataFrame:
+        """Buckets with too many pairs, and the tiles of either side."""
+        sides = keys_a.select("bucket", F.lit(1).alias("x"), F.lit(0).alias("y"))
+        sides = sides.unionByName(keys_b.select("bucket", F.lit(0).alias("x"), F.lit(1).alias("y"))) if b is not None else sides.withColumn("y", F.lit(1))
+        fill = sides.groupBy("bucket").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+        tiles = lambda c: F.ceil(F.col(c) / F.lit(BUCKET_LIMIT)).cast("int")
+        return cut(fill.filter(F.col("x") * F.col("y") > BUCKET_LIMIT**2).select("bucket", "x", "y", tiles("x").alias("p"), tiles("y").alias("q")))
+
+    start = {0: masks_of(0, max(left.count(), right.count() if b is not None else 0, 1))}
+    whole = lambda rows, col: rows.select(col, F.lit(0).cast("bigint").alias("bucket"), F.lit(0).cast("bigint").alias("used"))
+    keys_a, keys_b = _divided(whole(left, "code_a"), "code_a", start), _divided(whole(right, "code_b"), "code_b", start)
+    pairs = []
+
+    def join(x: DataFrame, y: DataFrame, on: list[str]) -> None:
+        pairs.append(x.join(y.drop("used"), on).select("code_a", "code_b"))
+
+    def split(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Join what is in no large bucket; return the keys of the others."""
+        spot = large.select("bucket")  # a written table: Spark broadcasts it by its size, or shuffles
+        join(keys_a.join(spot, "bucket", "left_anti"), keys_b.join(spot, "bucket", "left_anti"), ["bucket"])
+        return keys_a.join(spot, "bucket", "left_semi"), keys_b.join(spot, "bucket", "left_semi")
+
+    large = large_of(keys_a, keys_b)
+    top = large.agg(F.max(F.greatest("x", "y"))).first()[0]
     if top is None:
-        pairs = keys_a.join(keys_b, ["mask_no", "bits"])
+        join(keys_a, keys_b, ["bucket"])
     else:
-        spot = broadcast_if_small(large.select("mask_no", "bits"))
-        on = ["mask_no", "bits"]
-        plain = keys_a.join(spot, on, "left_anti").join(keys_b.join(spot, on, "left_anti"), on)
-        deep_a = _divided(keys_a.join(spot, on, "left_semi"), "code_a", masks, max_dist, top)
-        deep_b = _divided(keys_b.join(spot, on, "left_semi"), "code_b", masks, max_dist, top)
-        deep = deep_a.join(deep_b, [*on, "sub_no", "sub_bits"])
-        pairs = plain.select("code_a", "code_b").unionByName(deep.select("code_a", "code_b"))
+        keys_a, keys_b = split(large)
+        # Of the choices of bit groups those that lead to a large bucket; a choice that leaves few bits isn't divided.
+        used = {r.used % (1 << CODE_BITS) for r in keys_a.select("used").distinct().collect()}
+        masks = {u: masks_of(u, top) if CODE_BITS - u.bit_count() > max_dist else [u] for u in used}
+        keys_a, keys_b = cut(_divided(keys_a, "code_a", masks)), cut(_divided(keys_b, "code_b", masks))
+        large = large_of(keys_a, keys_b).select("bucket", "p", "q")
+        keys_a, keys_b = split(large)
+        part = lambda col, n: F.pmod(F.xxhash64(col), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        tiled_a = keys_a.join(large, "bucket").withColumn("i", part("code_a", "p")).withColumn("j", every("q"))
+        tiled_b = keys_b.join(large, "bucket").withColumn("j", part("code_b", "q")).withColumn("i", every("p"))
+        join(tiled_a, tiled_b.drop("p", "q"), ["bucket", "i", "j"])
     near = code_fn.hamming(F.col("code_a"), F.col("code_b")) <= max_dist
     if b is None:
         near = near & (F.col("code_a") < F.col("code_b"))
     return (
-        pairs.filter(near)
-        .select("code_a", "code_b")
+        reduce(DataFrame.unionByName, pairs)
+        .filter(near)
         .distinct()
         .withColumn("dist", code_fn.hamming(F.col("code_a"), F.col("code_b")).cast("int"))
     )
@@ -190,13 +201,23 @@ def title_entries(df: DataFrame, title: str = "title", price: str = "price_eur",
     return rows.groupBy("title", "price").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
 
 
-def _char_counts(points: list[np.ndarray], columns: int = 64) -> np.ndarray:
-    """Hashed character counts per string. Hashing only ever raises the overlap of two
+def _char_counts(points: list[np.ndarray], columns: int = 32) -> np.ndarray:
+    """Hashed character counts, a row for each column. Hashing only ever raises the overlap of two
     strings, so a filter built on it drops nothing that could match."""
-    out = np.zeros((len(points), columns), dtype=np.int32)
-    if sum(len(p) for p in points):
+    longest = max((len(p) for p in points), default=0)
+    out = np.zeros((columns, len(points)), dtype=np.uint8 if longest < 256 else np.int32)
+    if longest:
         rows = np.repeat(np.arange(len(points)), [len(p) for p in points])
-        np.add.at(out, (rows, np.concatenate(points) % columns), 1)
+        np.add.at(out, (np.concatenate(points) % columns, rows), 1)
+    return out
+
+
+def _shared_chars(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashed characters that each pair shares: a sum of columns, no pair is listed for it."""
+    out = np.zeros((left.shape[1], right.shape[1]), dtype=np.result_type(left, right))
+    for a, b in zip(left, right):
+        if a.any() and b.any():
+            out += np.minimum(a[:, None], b[None, :])
     return out
 
 
@@ -280,20 +301,24 @@ def compare_titles(
     def required(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return np.ceil(ratio * (ll[i] + rl[j]) / 2 - 1e-9)
 
-    top = np.maximum(lp[:, None], rp[None, :])
-    ok = np.abs(lp[:, None] - rp[None, :]) / top <= pct
-    ok &= np.minimum(ll[:, None], rl[None, :]) >= np.ceil(ratio * (ll[:, None] + rl[None, :]) / 2 - 1e-9)
-    if same:
-        ok &= np.tri(len(lt), len(rt), -1, dtype=bool)
-    all_i, all_j = np.nonzero(ok)
+    kept_i, kept_j = [], []
+    for at in range(0, len(lt), BLOCK_ROWS):
+        block = slice(at, at + BLOCK_ROWS)
+        top = np.maximum(lp[block, None], rp[None, :])
+        ok = np.abs(lp[block, None] - rp[None, :]) / top <= pct
+        need = np.ceil(ratio * (ll[block, None] + rl[None, :]) / 2 - 1e-9)
+        ok &= np.minimum(ll[block, None], rl[None, :]) >= need
+        if same:
+            ok &= np.tri(*ok.shape, at - 1, dtype=bool)
+        if ok.any():
+            ok &= _shared_chars(chars_l[:, block], chars_r) >= need
+        i, j = np.nonzero(ok)
+        kept_i.append(i + at)
+        kept_j.append(j)
+    all_i, all_j = (np.concatenate([np.empty(0, np.int64), *k]) for k in (kept_i, kept_j))
     out: list[tuple] = []
     for start in range(0, len(all_i), PAIR_BATCH):
         i, j = all_i[start : start + PAIR_BATCH], all_j[start : start + PAIR_BATCH]
-        shared = np.minimum(chars_l[i], chars_r[j]).sum(axis=1, dtype=np.int64)
-        keep = shared >= required(i, j)
-        i, j = i[keep], j[keep]
-        if not len(i):
-            continue
         keep = _share_subsequence(pts_l, pts_r, i, j, required(i, j))
         for x, y in zip(i[keep], j[keep]):
             if last_l[x] > first_r[y] or not both_ways:
@@ -405,7 +430,7 @@ def fuzzy_title_join(
     # Tiles are small in bytes but heavy in work: an explicit count keeps the engine from
     # packing them into few tasks.
     floor = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = int(min(max(floor, (tiles or 1) // 4), MAX_TILE_PARTITIONS))
+    parts = max(floor, (tiles or 1) // 4)
     rows = on_left.unionByName(on_right).repartition(parts, *tile)
     return rows.groupBy(*tile).applyInPandas(compare, out)
 

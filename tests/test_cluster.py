@@ -149,6 +149,19 @@ def test_hamming_join_equals_brute_force(spark, monkeypatch, limit):
     }
 
 
+def test_hot_buckets_of_either_side_are_divided(spark, monkeypatch):
+    """Many codes on the left and few on the right, all alike in their high bits, then in more of them."""
+    monkeypatch.setattr(similarity, "BUCKET_LIMIT", 32)
+    rng = random.Random(4)
+    lefts = {rng.getrandbits(20) for _ in range(150)} | {(7 << 40) | rng.getrandbits(12) for _ in range(100)}
+    rights = set(rng.sample(sorted(lefts), 5)) | {rng.getrandbits(12) for _ in range(3)}
+    frame = lambda cs: spark.createDataFrame([(c,) for c in cs], "code long")
+    got = similarity.hamming_join(frame(lefts), frame(rights))
+    assert {(r.code_a, r.code_b) for r in got.collect()} == {(a, b) for a in lefts for b in rights if bits(a, b) <= 6}
+    both = similarity.hamming_join(frame(lefts), max_dist=3)
+    assert {(r.code_a, r.code_b) for r in both.collect()} == {(a, b) for a in lefts for b in lefts if a < b and bits(a, b) <= 3}
+
+
 def test_common_subsequence_bound_equals_the_table():
     def table(a, b):
         row = [0] * (len(b) + 1)

@@ -160,7 +160,7 @@ def _inputs(spark, d) -> digest.DigestInputs:
 def digest_gate(spark, d):
     """Rejections of the rule and facts stages of the pipeline, facts taken from the text."""
     gated = digest.gate_candidates(_inputs(spark, d), CFG, AS_OF)
-    return gated.rejected.filter("stage <> 'commute'").groupBy("stage", "rule_id").agg(F.count("*").alias("n"))
+    return gated.rejected.filter("stage <> 'commute'").select("stage", "rule_id", "listing_key")
 
 
 # The two phrases of a listing's description, as facts.
@@ -187,10 +187,10 @@ def _over_text(sql: str) -> str:
 GATE_SQL = f"""
 WITH v AS (SELECT listing_key, rule_id FROM ({_structural_sql(CFG.filters)}) s WHERE listing_key NOT IN ({state_queries.SKIPPED_SQL})),
  f AS (SELECT listing_key, hard[1] AS why FROM ({_over_text(_facts_sql(False))}) q WHERE verdict = 'rejected')
-SELECT 'structural' AS stage, rule_id, count(*) AS n FROM v WHERE rule_id IS NOT NULL GROUP BY 2
+SELECT 'structural' AS stage, rule_id, listing_key FROM v WHERE rule_id IS NOT NULL
 UNION ALL
-SELECT 'facts', CASE WHEN why LIKE 'pets%' THEN 'pets' WHEN why LIKE 'heating%' THEN 'heating' WHEN why LIKE 'furnishing%' THEN 'furnishing' ELSE 'lease' END, count(*)
-FROM v JOIN f USING (listing_key) WHERE rule_id IS NULL GROUP BY 2"""
+SELECT 'facts', CASE WHEN why LIKE 'pets%' THEN 'pets' WHEN why LIKE 'heating%' THEN 'heating' WHEN why LIKE 'furnishing%' THEN 'furnishing' ELSE 'lease' END, listing_key
+FROM v JOIN f USING (listing_key) WHERE rule_id IS NULL"""
 
 
 def run_digest(spark, d):

@@ -19,6 +19,7 @@ from nestfold.config import Destination, DigestConfig
 from nestfold.functions import present, vocab
 from nestfold.operators import cluster, distance, enrich, metrics, notify, rank, rules, similarity, state
 from nestfold.session import cut
+from nestfold.sources import feed, json_ads
 
 # Listing columns a run overwrites in the snapshot; first sight, code and stamps are kept.
 LISTING_STATE = [
@@ -49,6 +50,8 @@ class DigestInputs:
     enrich_fn: "enrich.EnrichFn | Callable[[Column], Column]" = enrich.text_facts
     enrich_is_column: bool = True
     detail_texts: DataFrame | None = None
+    sources: tuple[str, ...] = tuple(vocab.SOURCE_RANK)
+    source_errors: dict[str, str] | None = None
 
 
 @dataclass
@@ -58,6 +61,9 @@ class DigestOutputs:
     rejected_tally: DataFrame
     rejected_shown: DataFrame
     funnel: DataFrame
+    health: DataFrame
+    dedup: DataFrame
+    overflow: DataFrame
     clustered: DataFrame
     snapshot: DataFrame
     extraction_cache: DataFrame
@@ -85,15 +91,13 @@ def gate_candidates(inputs: DigestInputs, cfg: DigestConfig, as_of: datetime, bu
     )
     alive = ruled.filter("rule_id is null").drop("rule_id", "reject_reason")
     if inputs.detail_texts is not None:
-        from nestfold.sources.json_ads import with_detail_text
-
         # Only rows of source A that say nothing about pets need their full text.
         wanted = inputs.detail_texts.join(
             alive.filter("source = '4zida' and pets_allowed is null").select("listing_key"),
             "listing_key",
             "left_semi",
         )
-        alive = with_detail_text(alive, wanted, "listing_key").drop("upgraded")
+        alive = json_ads.with_detail_text(alive, wanted, "listing_key").drop("upgraded")
     rows, extraction_cache, failures = enrich.incremental_enrich(
         alive,
         inputs.extraction_cache,
@@ -177,17 +181,24 @@ def run_digest(
         ranked.filter("stage = 'near_miss'").select("listing_key", "price_eur", "stage")
     )
     rejected = gated.rejected
-    tally, shown, _ = rank.rejection_tally(rejected, cfg.rejected_shown, ["stage_no", "seq"])
+    tally, first_rejected, _ = rank.rejection_tally(rejected, cfg.rejected_shown, ["stage_no", "seq"])
+    # The row of each cluster that stands for it, with its reason.
+    standing = reasoned.filter("stage = 'match'").select("seq", F.lit(True).alias("is_canonical"), "notify_reason")
+    marked = clustered.select("seq", "cluster_id", "code").join(standing, "seq", "left")
+    shown = F.when(F.col("stage") == "match", cfg.top_matches).otherwise(cfg.top_near)
     return DigestOutputs(
         cards=digest_rows(ranked, cfg, as_of, mode),
         rejected=rejected,
         rejected_tally=tally,
-        rejected_shown=shown,
+        rejected_shown=first_rejected,
         funnel=metrics.funnel(
             rejected.select(F.concat(F.lit("rejected_"), "stage").alias("stage")).unionByName(
                 ranked.select("stage")
             )
         ),
+        health=feed.source_health(inputs.listings, list(inputs.sources), inputs.source_errors),
+        dedup=metrics.dedup_stats(marked),
+        overflow=ranked.groupBy(F.col("stage").alias("section")).agg(F.greatest(F.count("*") - F.first(shown), F.lit(0)).alias("overflow")),
         clustered=clustered,
         snapshot=notify.mark_notified(
             state.upsert_snapshot(seen, gated.candidates.filter("code is not null"), "listing_key", ["code"], "seq", insert=False),

@@ -1,9 +1,12 @@
 """The digest pipeline on the listing rig against plain Python over the same rows."""
 
 import os
+from collections import Counter
+from dataclasses import replace
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from nestfold.catalog import match_queries
 from nestfold.catalog.rigs import AS_OF, DESTINATIONS
@@ -85,6 +88,36 @@ def canonical_rows(clustered):
     return [min(g, key=lambda r: (SOURCE_RANK[r.source], -r.created_at.timestamp(), r.seq)) for g in groups.values()]
 
 
+def test_health_copies_and_overflow(run):
+    inputs, cfg, out = run
+    listed = Counter(r.source for r in inputs.listings.select("source").collect())
+    assert {r.source: (r.n, r.error) for r in out.health.collect()} == {s: (listed[s], None) for s in inputs.sources}
+    clustered = out.clustered.collect()
+    best = canonical_rows(clustered)
+    state = {r.listing_key: (r.notified_at, r.notified_price, r.notified_stage) for r in inputs.snapshot.collect()}
+    dedup = out.dedup.first()
+    assert dedup.phashed == sum(r.code is not None for r in clustered) and dedup.clusters == len(best)
+    assert dedup.suppressed == sum(reason(r, state) is None for r in best)
+    sent = {r.stage: r.n for r in out.funnel.collect()}
+    assert {r.section: r.overflow for r in out.overflow.collect()} == {
+        s: max(0, sent[s] - k) for s, k in (("match", cfg.top_matches), ("near_miss", cfg.top_near)) if s in sent
+    }
+
+
+def test_detail_texts_reach_the_facts(spark, run):
+    """Rows of one source that say nothing about pets take their full text; others keep theirs."""
+    inputs, cfg, _ = run
+    details = inputs.listings.select("listing_key", F.lit("x" * 500 + " samo studenti").alias("detail"))
+    gated = digest.gate_candidates(replace(inputs, detail_texts=details), cfg, AS_OF)
+    rows = gated.candidates.select("source", "pets_allowed", F.array_contains("extraction.red_flags", "students only").alias("flag")).collect()
+    upgraded = [r.flag for r in rows if r.source == "4zida" and r.pets_allowed is None]
+    assert upgraded and all(upgraded)
+    plain = digest.gate_candidates(inputs, cfg, AS_OF).candidates
+    flags = {r.listing_key: r.description for r in plain.filter("source <> '4zida'").select("listing_key", "description").collect()}
+    kept = {r.listing_key: r.description for r in gated.candidates.filter("source <> '4zida'").select("listing_key", "description").collect()}
+    assert kept == flags
+
+
 def test_instant_mode_sends_only_rows_never_sent(run):
     inputs, cfg, out = run
     best = canonical_rows(out.clustered.collect())

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +10,7 @@ from nestfold.catalog import rigs
 from nestfold.catalog.rigs import AS_OF, CLICKS, LISTINGS, POSTS, TITLES, pick
 from nestfold.functions import codes, text
 from nestfold.operators import enrich, metrics, rules, state
-from nestfold.session import configure, shared_dir
+from nestfold.session import configure, work_folder
 from nestfold.streaming import feedback
 
 L = f"({rigs.text_of(LISTINGS)})"
@@ -263,12 +261,9 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def _work(spark) -> str:
+def _work(spark: SparkSession) -> str:
     """A new folder of the shared one for each run of a stream."""
-    base = shared_dir(spark)
-    if base.startswith("file:"):
-        base = base[5:]
-    return tempfile.mkdtemp(prefix="stream-", dir=base) if "://" not in base else f"{base}/stream-{pd.Timestamp.now().value}"
+    return work_folder(configure(spark), "stream")
 
 
 def _click_rows(events: DataFrame) -> DataFrame:

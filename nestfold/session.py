@@ -97,7 +97,7 @@ def _cut_dir(spark: SparkSession) -> str:
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder for files that an operator writes, beside the cuts."""
-    return f"{_cut_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_cut_dir(spark)}/work/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -113,8 +113,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def forget_cuts(spark: SparkSession) -> None:
-    """Delete the tables ``cut`` wrote for this application, once nothing reads them any more."""
-    path, files = _path(spark, _cut_dir(spark))
+    """Delete the tables and files written so far for this application, once nothing reads them any more."""
+    path, files = _path(spark, f"{_cut_dir(spark)}/work")
     files.delete(path, True)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from nestfold.llm import simple8b
 
 WORDS_KEPT = 500_000  # words whose ids a worker remembers before it starts anew
-CHUNK = 4 << 20  # bytes of text taken together
+CHUNK = 2 << 20  # bytes of text taken together
 BLOCK_IDS = 1 << 16  # ids of a block, but for one long document
 END = "\n"  # stands for the end id; no word holds white space
 # Letters that no normalization joins with a neighbour, and whose small letters are told one by one.

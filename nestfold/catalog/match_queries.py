@@ -66,13 +66,13 @@ SELECT x AS code, min(seen) AS component_id FROM walk GROUP BY 1"""
 
 # --- titles and clusters ---------------------------------------------------------------------
 
-# Each listing three times: its title whole, and without its last 4 and 10 characters, at rising
-# prices. What is left of a title is one matched block, so a ratio is twice the shorter length by both.
+# Every listing's title whole, or without its last 4 or 10 characters, at rising prices; copies differ in
+# it. What is left of a title is one matched block, so a ratio is twice the shorter length by both.
 _CUTS = [0, 4, 10]
 TITLE_VARIANTS = f"""
-SELECT seq * 3 + v AS seq, substr(title, 1, length(title) - {pick('v', [str(c) for c in _CUTS]).replace("'", '')}) AS title,
-  price_eur * (1 + v * 0.02) AS price_eur
-FROM ({LISTINGS}) l, (SELECT 0 AS v UNION ALL SELECT 1 AS v UNION ALL SELECT 2 AS v) n"""
+SELECT seq, substr(title, 1, length(title) - {pick('seq % 3', [str(c) for c in _CUTS]).replace("'", '')}) AS title,
+  price_eur * (1 + seq % 3 * 0.02) AS price_eur
+FROM ({LISTINGS}) l"""
 
 
 def fuzzy_title_join(spark, d):

@@ -17,13 +17,15 @@ from nestfold.session import cut
 WINDOW = 5
 SKETCH = 2048  # size of a sketch: a group of fewer rows is held exactly
 
-# Ratio -> (what it is, how far beyond the quartiles in quartile ranges, least room beyond the
-# quartiles, whether small values are odd as well).
+# Ratio -> (what it is, how far beyond the quartiles in quartile ranges, the quantile that passes in any case, whether
+# small values are odd as well). Most texts repeat nothing and good ones a little, so that quartiles say nothing there
+# and only the last hundredth of a group is odd; any symbol is odd where three quarters of the texts have none.
+# Symbols are no part of a word's length, so that they are told once, as symbols.
 RATIOS: dict[str, tuple[str, float, float, bool]] = {
-    "word_length": ("word_chars / n_words", 3.0, 3.0, True),
-    "symbol_share": ("n_symbols / word_chars", 3.0, 0.1, False),
-    "dup_line_share": ("n_dup_lines / greatest(n_lines, 1)", 3.0, 0.5, False),
-    "repeat_share": ("n_repeat_words / n_words", 3.0, 0.2, False),
+    "word_length": ("(word_chars - n_symbols) / n_words", 3.0, 0.9, True),
+    "symbol_share": ("n_symbols / word_chars", 3.0, 0.75, False),
+    "dup_line_share": ("n_dup_lines / greatest(n_lines, 1)", 3.0, 0.99, False),
+    "repeat_share": ("n_repeat_words / n_words", 3.0, 0.99, False),
 }
 
 
@@ -76,9 +78,9 @@ def count_signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def thresholds(counted: DataFrame, least_rows: int = 100) -> DataFrame:
-    """``(lang, source, fences)``: for each ratio the least and the largest value that passes, rounded to hundredths.
+    """``(lang, source, fences)``: for each ratio the least and the largest value that passes, rounded outward to hundredths.
 
-    A group of fewer than ``least_rows`` texts takes the fences of its language, and a language of fewer those
+    They are drawn from the quantiles alone, without a least distance. A group of fewer than ``least_rows`` texts takes the fences of its language, and a language of fewer those
     of all texts.
     """
     ratios = counted.select("lang", "source", *(F.expr(f"cast({what} as double)").alias(name) for name, (what, *_) in RATIOS.items()))
@@ -86,11 +88,11 @@ def thresholds(counted: DataFrame, least_rows: int = 100) -> DataFrame:
 
     def fences(merged: DataFrame, keys: list[str], name: str) -> DataFrame:
         def of(r: str) -> Column:
-            _, times, room, low = RATIOS[r]
-            q1, q3 = (F.kll_sketch_get_quantile_double(r, F.lit(q)) for q in (0.25, 0.75))
-            beyond = F.greatest((q3 - q1) * times, F.lit(room))
-            floor = F.round(q1 - beyond, 2) if low else F.lit(None).cast("double")
-            return F.struct(floor.alias("lo"), F.round(q3 + beyond, 2).alias("hi")).alias(r)
+            _, times, tail, low = RATIOS[r]
+            q1, q3, first, last = (F.kll_sketch_get_quantile_double(r, F.lit(q)) for q in (0.25, 0.75, 1 - tail, tail))
+            beyond = (q3 - q1) * times
+            floor = F.floor(F.least(q1 - beyond, first) * 100) / 100 if low else F.lit(None).cast("double")
+            return F.struct(floor.alias("lo"), (F.ceil(F.greatest(q3 + beyond, last) * 100) / 100).alias("hi")).alias(r)
 
         return merged.select(*keys, F.col("n").alias(f"n_{name}"), F.struct(*map(of, RATIOS)).alias(name))
 

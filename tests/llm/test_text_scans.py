@@ -113,6 +113,27 @@ def test_fences_follow_the_group(spark):
     assert rules.judge(rules.count_signals(frame(spark, []))).collect() == []
 
 
+def test_each_ratio_rejects_outliers_that_pass_the_base_rules(spark):
+    """One text in 150 is odd in one ratio, by less than any fixed distance would tell."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    lines = lambda n=10: [" ".join(word(rng.randint(5, 6)) for _ in range(12)) for _ in range(n)]
+    rows = ["\n".join(lines()) for _ in range(600)]
+    short = "ok so\nok so\n"  # a line twice, too short for a window of five words
+    twice = lines()[0].split()[:6]
+    odd = {
+        "word_length": ["\n".join(" ".join(word(7) for _ in range(12)) for _ in range(10)), "\n".join(" ".join(word(4) for _ in range(12)) for _ in range(10))],
+        "symbol_share": [rows[0].replace(" ", "# ", 20)],
+        "dup_line_share": [short + rows[1]],
+        "repeat_share": [" ".join(twice) + " zz " + rows[2].replace("\n", " ") + " " + " ".join(twice)],
+    }
+    want = {len(rows) + k: [name] for k, (name, _) in enumerate((n, t) for n, texts in odd.items() for t in texts)}
+    rows += [t for texts in odd.values() for t in texts]
+    got = rules.judge(rules.count_signals(frame(spark, list(enumerate(rows))))).collect()
+    assert {r.id: r.failed for r in got if r.failed} == want and not any(r.base_failed for r in got)
+    assert {r.id for r in got if not r.kept} == set(want)
+
+
 # Licenses.
 
 

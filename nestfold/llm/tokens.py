@@ -26,6 +26,9 @@ _LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"[{_LETTERS}]+")
 # A single mark behind such a letter, at the end of a word: a token of its own with or without space.
 _MARK = rf"([{_LETTERS}])([.,])([\t-\r ]|$)"
+# A capital and a mark that joins it: some (J and a caron, H and a line below) have one letter for both only when
+# small, and the tokenizer joins before it makes small.
+_JOINED = r"[A-Z]\p{M}"
 
 
 class WordIds(dict):
@@ -85,7 +88,8 @@ class WordIds(dict):
     def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids of all texts end to end, number of each)``, the end id behind each. Each word is looked up once."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        cut = pc.replace_substring_regex(pc.ascii_lower(texts), _MARK, r"\1 \2\3")
+        small = pc.if_else(pc.match_substring_regex(texts, _JOINED), texts, pc.ascii_lower(texts))
+        cut = pc.replace_substring_regex(small, _MARK, r"\1 \2\3")
         # A special token is told by its case.
         words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, cut))
         counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1

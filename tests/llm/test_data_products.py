@@ -218,6 +218,17 @@ def test_token_files_equal_the_tokenizer(spark, monkeypatch, kept):
     assert not any(texts.values())
 
 
+def test_capitals_are_joined_with_marks_before_they_are_made_small():
+    """J and a caron, H and a line below and so on are one letter only when small."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"Plain Words. {c}{m}ola, SO{c}{m}. {c.lower()}{m}ola E\u0301 {c}." for c in "HJTWYA" for m in ("\u0331", "\u030c", "\u0308", "\u030a", "\u0344", "\u0323\u0308", "\u0301")]
+    ids, counts = tokens.WordIds(tokenizer, 1).of(pa.array([*texts, None, "no mark J"], pa.string()))
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in [*texts, "", "no mark J"]]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_token_files_of_nothing(spark):
     folder = work_folder(spark, "tokens")
     tokens.write_tokens(spark.createDataFrame([], "doc_id long, text string"), folder)

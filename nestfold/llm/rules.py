@@ -1,7 +1,7 @@
 """Quality rules in DataFrame functions alone, with adaptive thresholds from mergeable quantile sketches.
 
 Counts are made inside each row. Their ratios go into one quantile sketch for each language and source; sketches
-merge into those of a language and of all, which stand in for groups too small to tell. The fences
+merge into those of a language and of all, which the quantiles of small groups are blended with by their rows. The fences
 drawn from the quantiles are joined back to the counts.
 """
 
@@ -80,31 +80,43 @@ def count_signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def thresholds(counted: DataFrame, least_rows: int = 100) -> DataFrame:
     """``(lang, source, fences)``: for each ratio the least and the largest value that passes, rounded outward to hundredths.
 
-    They are drawn from the quantiles alone, without a least distance. A group of fewer than ``least_rows`` texts takes the fences of its language, and a language of fewer those
-    of all texts.
+    They are drawn from the quantiles alone, without a least distance. Quantiles of a group of n texts, fewer
+    than ``least_rows``, count n / ``least_rows`` and those of its language the rest; a language of
+    fewer is blended so with all texts.
     """
     ratios = counted.select("lang", "source", *(F.expr(f"cast({what} as double)").alias(name) for name, (what, *_) in RATIOS.items()))
     sketched = cut(ratios.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(r, F.lit(SKETCH)).alias(r) for r in RATIOS)))
 
-    def fences(merged: DataFrame, keys: list[str], name: str) -> DataFrame:
+    def quantiles(merged: DataFrame, keys: list[str], name: str) -> DataFrame:
         def of(r: str) -> Column:
-            _, times, tail, low = RATIOS[r]
-            q1, q3, first, last = (F.kll_sketch_get_quantile_double(r, F.lit(q)) for q in (0.25, 0.75, 1 - tail, tail))
-            beyond = (q3 - q1) * times
-            floor = F.floor(F.least(q1 - beyond, first) * 100) / 100 if low else F.lit(None).cast("double")
-            return F.struct(floor.alias("lo"), (F.ceil(F.greatest(q3 + beyond, last) * 100) / 100).alias("hi")).alias(r)
+            tail = RATIOS[r][2]
+            got = (F.kll_sketch_get_quantile_double(r, F.lit(q)) for q in (1 - tail, 0.25, 0.75, tail))
+            return F.array(*got).alias(r)
 
         return merged.select(*keys, F.col("n").alias(f"n_{name}"), F.struct(*map(of, RATIOS)).alias(name))
 
     def merge(keys: list[str]) -> DataFrame:
         return sketched.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(r).alias(r) for r in RATIOS))
 
-    own = fences(sketched, ["lang", "source"], "own")
-    by_lang = fences(merge(["lang"]), ["lang"], "shared").withColumnRenamed("lang", "_lang")
-    over_all = fences(merge([]), [], "overall")  # one row
+    def blend(r: str) -> Column:
+        own, shared, overall = (F.col(name)[r] for name in ("own", "shared", "overall"))
+        mine, lang = (F.least(F.col(n) / least_rows, F.lit(1.0)) for n in ("n_own", "n_shared"))
+        # Weights of exactly 1 and 0 leave a quantile as it is.
+        toward = lambda w, x, y: F.zip_with(x, y, lambda a, b: w * a + (1 - w) * b)
+        return toward(mine, own, toward(lang, shared, overall)).alias(r)
+
+    def fence(r: str) -> Column:
+        _, times, _, low = RATIOS[r]
+        first, q1, q3, last = (F.col(r)[k] for k in range(4))
+        beyond = (q3 - q1) * times
+        floor = F.floor(F.least(q1 - beyond, first) * 100) / 100 if low else F.lit(None).cast("double")
+        return F.struct(floor.alias("lo"), (F.ceil(F.greatest(q3 + beyond, last) * 100) / 100).alias("hi")).alias(r)
+
+    own = quantiles(sketched, ["lang", "source"], "own")
+    by_lang = quantiles(merge(["lang"]), ["lang"], "shared").withColumnRenamed("lang", "_lang")
+    over_all = quantiles(merge([]), [], "overall").drop("n_overall")  # one row
     out = own.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang"))).crossJoin(F.broadcast(over_all))
-    chosen = F.when(F.col("n_own") >= least_rows, F.col("own")).when(F.col("n_shared") >= least_rows, F.col("shared")).otherwise(F.col("overall"))
-    return out.select("lang", "source", chosen.alias("fences"))
+    return out.select("lang", "source", *map(blend, RATIOS)).select("lang", "source", F.struct(*map(fence, RATIOS)).alias("fences"))
 
 
 def judge(counted: DataFrame, least_words: int = 10, repeat_percent: int = 20, least_rows: int = 100) -> DataFrame:

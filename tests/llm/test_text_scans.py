@@ -134,6 +134,18 @@ def test_each_ratio_rejects_outliers_that_pass_the_base_rules(spark):
     assert {r.id for r in got if not r.kept} == set(want)
 
 
+def test_fences_of_small_groups_move_with_their_rows(spark):
+    """Words of 4 letters in the small group, of 6 in its language: fences move a little with each row, without a jump."""
+    ddl = "lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+    tops = {}
+    for n in (1, 25, 50, 99, 100, 150):
+        rows = [("en", "big", 100, 600, 0, 5, 0, 0)] * 10_000 + [("en", "small", 100, 400, 0, 5, 0, 0)] * n
+        drawn = {r.source: r.fences for r in rules.thresholds(spark.createDataFrame(rows, ddl)).collect()}
+        assert (drawn["big"].word_length.lo, drawn["big"].word_length.hi) == (6.0, 6.0)
+        tops[n] = drawn["small"].word_length.hi
+    assert tops == pytest.approx({1: 5.98, 25: 5.5, 50: 5.0, 99: 4.02, 100: 4.0, 150: 4.0}, abs=0.011)
+
+
 # Licenses.
 
 

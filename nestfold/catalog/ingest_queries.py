@@ -218,16 +218,29 @@ SELECT k, '<div class="x"><div class="offer-body big"><h2 class="offer-title"><a
   CASE WHEN bad = 0 THEN '' ELSE ' href="/stan/' || {_q('k')} || '/"' END ||
   ' onclick="push({{{{&quot;price&quot;:&quot;' || {_q('price')} || '&quot;,&quot;currency&quot;:&quot;' ||
   CASE WHEN cur = 0 THEN 'RSD' ELSE 'EUR' END || '&quot;,&quot;item_category4&quot;:&quot;' || {_q('30 + k % 50')} ||
-  ',5&quot;,&quot;item_category2&quot;:&quot;Stan u zgradi&quot;}}}})"> ' || {pick('t', D_TITLES)} || ' ' || p_name ||
+  ',5&quot;,&quot;item_category2&quot;:&quot;Stan u zgradi&quot;}}}})"> ' || {pick('t', D_TITLES)} || CASE WHEN k % 5 = 0 THEN ' <b>' || p_name || '</b>' ELSE ' ' || p_name END ||
   ' </a></h2><p class="offer-location"> Vračar, Beograd, , Srbija, Evropa </p><div class="offer-meta-info">' ||
   CASE WHEN bad = 1 THEN 'juče' ELSE ' objavljen ' || {_q('day')} || '.05.2026 ' END ||
   '</div></div><div class="offer-body"><h2>oglas</h2></div></div>' AS html FROM ({CARD_BASE}) t"""
+# Descriptions: plain, with nested elements and a second one that is never closed, with a comment and a ">" in an attribute.
+D_TEXTS = [
+    "<div class=\"description\"><p>Opis</p> ' || repeat('dugo ', 1200) || p_name || '</div>",
+    '<div class="big description"><p>Lep stan.</p><div>Lista<ul><li>a<li>b</ul></div>Bez &quot;ljubimaca&quot;, <br>minimum 18 meseci.</div><p class=description>Jos <b>' "' || p_name || '",
+    "<section class=\"x description\"><SECTION title=\"a>b\">Prvi</SECTION><!-- </section> --><hr/>Drugi<br>' || p_name || '</section>",
+]
+D_READ = ["'Opis  ' || repeat('dugo ', 1200) || p_name", "'Lep stan. Lista a b Bez \"ljubimaca\",  minimum 18 meseci. Jos  ' || p_name", "'Prvi Drugi ' || p_name"]
+
+
+def _by_k(values: list[str]) -> str:
+    return f"CASE k % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
 DETAIL_PAGES = f"""
 SELECT 'https://www.nekretnine.rs/stan/' || {_q('k')} || '/' AS url,
   '<head><meta property="og:image" content="https://i.example/' || {_q('k')} || '.jpg?a=1&amp;b=2"></head><span>Sprat:</span><br/>' ||
   {pick('fl', D_FLOORS)} || '</span><span>Grejanje:</span><br>' || {pick('heat', ['Centralno', '<b>EG</b>', ''])} ||
   '</span><span>Adresa:</span><br />staro</span><span>Adresa:</span><br />Ulica <i>' || p_brand || '</i></span><h3>Dodatna opremljenost</h3><p>' || repeat('razno ', 1100) || '</p><li> ' ||
-  CASE WHEN lift = 0 THEN 'Lift' ELSE 'Liftovi' END || ' </li><div class="description"><p>Opis</p> ' || repeat('dugo ', 1200) || p_name || '</div><h3>Okolina</h3><li>Lift</li>' AS html
+  CASE WHEN lift = 0 THEN 'Lift' ELSE 'Liftovi' END || ' </li>' || {_by_k(["'" + t + "'" for t in D_TEXTS])} || '<h3>Okolina</h3><li>Lift</li>' AS html
 FROM ({CARD_BASE}) t WHERE gone > 0"""
 
 
@@ -248,7 +261,7 @@ def extract_cards(spark, d):
 
 
 CARDS_SQL = f"""
-SELECT CAST(k AS STRING) AS id, 'https://www.nekretnine.rs/stan/' || k || '/' AS url, replace({pick('t', D_TITLES)}, '&amp;', '&') || ' ' || p_name AS title,
+SELECT CAST(k AS STRING) AS id, 'https://www.nekretnine.rs/stan/' || k || '/' AS url, replace({pick('t', D_TITLES)}, '&amp;', '&') || CASE WHEN k % 5 = 0 THEN '  ' ELSE ' ' END || p_name AS title,
   CASE WHEN cur = 0 THEN 0.0 ELSE price END::DOUBLE AS price_eur, 30.5::DOUBLE + k % 50 AS m2, CAST({pick('t', D_ROOMS)} AS DOUBLE) AS rooms,
   'Vračar, Beograd, , Srbija, Evropa' AS location, '2026-05-' || day AS posted
 FROM ({rigs.text_of(CARD_BASE)}) t WHERE bad > 1"""
@@ -268,7 +281,7 @@ CARD_JOIN_SQL = f"""
 SELECT CAST(k AS STRING) AS id, 'nekretnine' AS source, 'https://www.nekretnine.rs/stan/' || k || '/' AS url,
   CASE WHEN cur = 0 THEN 0.0 ELSE price END::DOUBLE AS price_eur, CAST({pick('fl', D_FLOOR)} AS INT) AS floor,
   CAST({pick('fl', D_TOTAL)} AS INT) AS total_floors, CAST(lift = 0 AS INT) AS elevator, 0 AS last_floor,
-  {pick('heat', ['Centralno', 'EG', None])} AS heating_type, 'Opis  ' || repeat('dugo ', 1200) || p_name AS description, 'Ulica ' || p_brand AS address,
+  {pick('heat', ['Centralno', 'EG', None])} AS heating_type, {_by_k(D_READ)} AS description, 'Ulica ' || p_brand AS address,
   'Vračar/Beograd/Srbija' AS places, 'https://i.example/' || k || '.jpg?a=1&b=2' AS image_url
 FROM ({rigs.text_of(CARD_BASE)}) t WHERE bad > 1 AND gone > 0"""
 

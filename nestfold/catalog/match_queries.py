@@ -12,6 +12,7 @@ from nestfold.config import DigestConfig
 from nestfold.functions import codes
 from nestfold.operators import cluster, similarity
 from nestfold.plans import channel, digest
+from nestfold.session import cut
 
 L = f"({rigs.text_of(LISTINGS)})"
 
@@ -98,8 +99,20 @@ def _flats(spark, d) -> DataFrame:
 
 
 def same_flat_edges(spark, d):
-    """The listings with an earlier one of the same flat: those with an edge to it."""
-    return similarity.same_flat_edges(_flats(spark, d)).select(F.col("later").alias("seq")).distinct()
+    """Of each listing with an earlier one of the same flat its edge to the nearest, with the layer, and how many of
+    all its edges aren't pairs of their layer."""
+    flats = _flats(spark, d)
+    edges = cut(similarity.same_flat_edges(flats))
+    sides = [F.struct(*flats.columns).alias(n) for n in ("a", "b")]
+    a, b = F.col("a"), F.col("b")
+    coded = F.bit_count(a["code"].bitwiseXOR(b["code"])) <= 6
+    cell = lambda r: F.struct(F.round(r["lat"], 4), F.round(r["lng"], 4), F.floor(r["price_eur"] / 50))
+    near = (cell(a) == cell(b)) & (F.abs(a["m2"] - b["m2"]) < 1)
+    titled = (a["title"] == b["title"]) & (F.abs(a["price_eur"] - b["price_eur"]) / F.greatest(a["price_eur"], b["price_eur"]) <= 0.05)
+    right = F.coalesce(F.when(F.col("layer") == 1, coded).when(F.col("layer") == 2, near).when(F.col("layer") == 3, titled), F.lit(False))
+    whole = edges.join(flats.select(F.col("seq").alias("later"), sides[0]), "later").join(flats.select(F.col("seq").alias("earlier"), sides[1]), "earlier")
+    nearest = F.max(F.struct("earlier", "layer")).alias("e")
+    return whole.groupBy("later").agg(nearest, F.count_if(~right).alias("wrong")).select("later", "e.earlier", "e.layer", "wrong")
 
 
 def cluster_flats(spark, d):
@@ -112,10 +125,12 @@ def cluster_flats(spark, d):
 _PAIRS = f"""
 rows AS MATERIALIZED (SELECT seq, code, round(lat, 4) AS la, round(lng, 4) AS lo, m2, price_eur AS p, floor(price_eur / 50) AS pb, title FROM {L} l),
  pairs AS MATERIALIZED (
-  SELECT a.seq AS x, b.seq AS y FROM rows a JOIN rows b ON a.seq > b.seq AND bit_count(xor(a.code, b.code)) <= 6
-  UNION SELECT a.seq, b.seq FROM rows a JOIN rows b ON a.la = b.la AND a.lo = b.lo AND a.pb = b.pb AND a.seq > b.seq AND abs(a.m2 - b.m2) < 1
-  UNION SELECT a.seq, b.seq FROM rows a JOIN rows b ON a.title = b.title AND a.seq > b.seq AND abs(a.p - b.p) / greatest(a.p, b.p) <= 0.05)"""
-EDGES_SQL = f"WITH {_PAIRS} SELECT DISTINCT x AS seq FROM pairs"
+  SELECT a.seq AS x, b.seq AS y, 1 AS layer FROM rows a JOIN rows b ON a.seq > b.seq AND bit_count(xor(a.code, b.code)) <= 6
+  UNION SELECT a.seq, b.seq, 2 FROM rows a JOIN rows b ON a.la = b.la AND a.lo = b.lo AND a.pb = b.pb AND a.seq > b.seq AND abs(a.m2 - b.m2) < 1
+  UNION SELECT a.seq, b.seq, 3 FROM rows a JOIN rows b ON a.title = b.title AND a.seq > b.seq AND abs(a.p - b.p) / greatest(a.p, b.p) <= 0.05)"""
+# Edges are sparse, but the nearest earlier match of a row is always among them, with the first layer that finds it.
+EDGES_SQL = f"""WITH {_PAIRS}
+SELECT x AS later, y AS earlier, min(layer) AS layer, CAST(0 AS BIGINT) AS wrong FROM pairs GROUP BY x, y QUALIFY y = max(y) OVER (PARTITION BY x)"""
 # A row's cluster is the smallest row reachable through ever earlier matches.
 CLUSTER_SQL = f"""
 WITH RECURSIVE {_PAIRS}, walk AS (SELECT x, y FROM pairs UNION SELECT w.x, p.y FROM walk w JOIN pairs p ON p.x = w.y)

@@ -8,7 +8,7 @@ title/price), never on rows. However many rows share a signature, they are one e
 from __future__ import annotations
 
 import math
-from difflib import SequenceMatcher
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from nestfold.config import MatchConfig
 from nestfold.functions import codes as code_fn
 from nestfold.functions import geo, text
+from nestfold.operators.ratio import ratios
 from nestfold.session import BROADCAST_ROWS, cut
 
 CODE_BITS = 64
@@ -201,23 +202,32 @@ def title_entries(df: DataFrame, title: str = "title", price: str = "price_eur",
     return rows.groupBy("title", "price").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
 
 
-def _char_counts(points: list[np.ndarray], columns: int = 32) -> np.ndarray:
-    """Hashed character counts, a row for each column. Hashing only ever raises the overlap of two
-    strings, so a filter built on it drops nothing that could match."""
-    longest = max((len(p) for p in points), default=0)
-    out = np.zeros((columns, len(points)), dtype=np.uint8 if longest < 256 else np.int32)
-    if longest:
-        rows = np.repeat(np.arange(len(points)), [len(p) for p in points])
-        np.add.at(out, (np.concatenate(points) % columns, rows), 1)
-    return out
-
-
-def _shared_chars(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Hashed characters that each pair shares: a sum of columns, no pair is listed for it."""
-    out = np.zeros((left.shape[1], right.shape[1]), dtype=np.result_type(left, right))
-    for a, b in zip(left, right):
-        if a.any() and b.any():
-            out += np.minimum(a[:, None], b[None, :])
+def _char_bits(left: list[np.ndarray], right: list[np.ndarray], words: int = 2, columns: int = 64) -> tuple[tuple, tuple]:
+    """For either side (bit rows, characters not told by them): a bit says that a text has a hashed character more than
+    k times. Of all such bits those are told that split the texts most evenly. Two texts share at most their
+    common bits and the smaller of what is untold, so a bound built on it drops nothing that could match."""
+    every = [*left, *right]
+    sizes = np.array([len(p) for p in every], np.int64)
+    counts = np.zeros((columns, len(every)), np.int32)
+    if sizes.sum():
+        np.add.at(counts, (np.concatenate(every) % columns, np.repeat(np.arange(len(every)), sizes)), 1)
+    told = [(c, k, (counts[c] > k).mean()) for c in range(columns) for k in range(min(8, int(counts[c].max(initial=0))))]
+    told = sorted(told, key=lambda t: abs(t[2] - 0.5))[: 64 * words]
+    bits = np.zeros((words, len(every)), np.uint64)
+    for n, (c, k, _) in enumerate(told):
+        bits[n // 64] |= (counts[c] > k).astype(np.uint64) << np.uint64(n % 64)
+    rest = sizes - np.bitwise_count(bits).sum(0, dtype=np.int64)
+    rest = rest.astype(np.uint8 if sizes.max(initial=0) < 256 else np.int32)
+    n = len(left)
+    return (bits[:, :n], rest[:n]), (bits[:, n:], rest[n:])
+
+
+def _shared_chars(left: tuple, right: tuple, block: slice) -> np.ndarray:
+    """An upper bound of the characters that each pair shares."""
+    (a, rest_a), (b, rest_b) = left, right
+    out = np.minimum(rest_a[block, None], rest_b[None, :])
+    for x, y in zip(a, b, strict=True):
+        out += np.bitwise_count(x[block, None] & y[None, :])
     return out
 
 
@@ -277,61 +287,270 @@ def _share_subsequence(
 
 # Pairs advanced together, which bounds the arrays of a tile.
 PAIR_BATCH = 65_536
+# Candidates of an entry up to which all are looked at together.
+FEW = 64
+
+
+class TitleTile:
+    """Two sets of title entries, and what can be said of their pairs."""
+
+    def __init__(self, left: pd.DataFrame, right: pd.DataFrame, ratio: float, pct: float):
+        self.ratio, self.pct = ratio, pct
+        self.titles = [side["title"].tolist() for side in (left, right)]
+        self.prices = [side["price"].to_numpy(float) for side in (left, right)]
+        self.points = [[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in ts] for ts in self.titles]
+        self.sizes = [np.array([len(p) for p in ps], dtype=np.int64) for ps in self.points]
+        self.bits = _char_bits(*self.points)
+
+    def required(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Matched characters that a pair needs."""
+        return np.ceil(self.ratio * (self.sizes[0][i] + self.sizes[1][j]) / 2 - 1e-9)
+
+    def bounded(self, block: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a block of the left side that price, length and shared characters allow."""
+        (la, lb), (pa, pb) = self.sizes, self.prices
+        need = np.ceil(self.ratio * np.arange(int(la.max(initial=0) + lb.max(initial=0)) + 1) / 2 - 1e-9)
+        need = need.astype(np.uint8 if need[-1] < 256 else np.int32)
+        i, j = np.nonzero(_shared_chars(*self.bits, block) >= need[la[block, None] + lb[None, :]])
+        i += block.start
+        near = (np.minimum(la[i], lb[j]) >= self.required(i, j)) & (np.abs(pa[i] - pb[j]) / np.maximum(pa[i], pb[j]) <= self.pct)
+        return i[near], j[near]
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(self.titles[0]), BLOCK_ROWS):
+            yield self.bounded(slice(at, min(at + BLOCK_ROWS, len(self.titles[0]))))
+
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of all blocks. Few in a block are mostly chance, which the common subsequence tells away; such blocks
+        are looked at together."""
+        few: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def told() -> tuple[np.ndarray, np.ndarray]:
+            i, j = (np.concatenate([np.empty(0, np.int64), *(f[k] for f in few)]) for k in (0, 1))
+            few.clear()
+            some = _share_subsequence(*self.points, i, j, self.required(i, j))
+            return i[some], j[some]
+
+        for i, j in self.blocks():
+            if len(i) >= FEW * BLOCK_ROWS:
+                yield i, j
+                continue
+            few.append((i, j))
+            if sum(len(x) for x, _ in few) >= PAIR_BATCH:
+                yield told()
+        yield told()
+
+    def matching(self, i: np.ndarray, j: np.ndarray, turned: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The places among the pairs of those that match, and their ratios; ``turned`` takes the right title as the later one.
+
+        The ratio is twice the matched characters over both lengths, and matched blocks keep their order, so no ratio
+        exceeds what the common subsequence allows. The exact ratio runs on what is left.
+        """
+        at, found = [np.empty(0, np.int64)], [np.empty(0)]
+        for start in range(0, len(i), PAIR_BATCH):
+            x, y = i[start : start + PAIR_BATCH], j[start : start + PAIR_BATCH]
+            keep = np.flatnonzero(_share_subsequence(*self.points, x, y, self.required(x, y)))
+            texts = [[side[k] for k in rows[keep].tolist()] for side, rows in zip(self.points, (x, y), strict=True)]
+            r = ratios(*(reversed(texts) if turned else texts))
+            at.append(start + keep[r >= self.ratio])
+            found.append(r[r >= self.ratio])
+        return np.concatenate(at), np.concatenate(found)
+
+
+def _entry_rows(tile: TitleTile, later: int, i: np.ndarray, j: np.ndarray, found: np.ndarray) -> pd.DataFrame:
+    """``(later, earlier, ratio)`` rows of pairs; ``later`` is the side of the later title."""
+    rows = (i, j)
+    side = lambda k: (np.array(tile.titles[k], object)[rows[k]], tile.prices[k][rows[k]])
+    (lt, lp), (et, ep) = side(later), side(1 - later)
+    return pd.DataFrame({"later_title": lt, "later_price": lp, "earlier_title": et, "earlier_price": ep, "ratio": found})
 
 
 def compare_titles(
     left: pd.DataFrame, right: pd.DataFrame, same: bool, both_ways: bool, ratio: float, pct: float
 ) -> pd.DataFrame:
-    """Title pairs of one tile that match, as ``(later, earlier, ratio)`` entry rows.
+    """Title pairs of one tile that match, as ``(later, earlier, ratio)`` entry rows: lossless bounds
+    first (price, length, shared characters, common subsequence), then the exact ratio."""
+    tile = TitleTile(left, right, ratio, pct)
+    pairs = [tuple(np.array(x, np.int64) for x in p) for p in tile.blocks()]
+    i, j = (np.concatenate([np.empty(0, np.int64), *(p[k] for p in pairs)]) for k in (0, 1))
+    if same:
+        i, j = i[i >= j], j[i >= j]
+    first, last = ([side[c].to_numpy() for side in (left, right)] for c in ("first", "last"))
+    out = []
+    for turned in (False, True) if both_ways else (False,):
+        possible = np.ones(len(i), bool) if not both_ways else (last[1][j] > first[0][i] if turned else last[0][i] > first[1][j])
+        if same:
+            possible &= i != j  # an entry and itself are equal
+        x, y = i[possible], j[possible]
+        at, found = tile.matching(x, y, turned)
+        out.append(_entry_rows(tile, int(turned), x[at], y[at], found))
+    return pd.concat(out)
+
+
+def _bits_of(flags: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
 
-    Lossless bounds first: price, length, shared characters, common subsequence. The ratio is
-    twice the matched characters over both lengths, and matched blocks keep their order, so no ratio
-    exceeds what the common subsequence allows. The exact ratio runs on what is left.
+
+def link_titles(left: pd.DataFrame, right: pd.DataFrame, same: bool, ratio: float, pct: float) -> pd.DataFrame:
+    """Of the matching pairs of one tile as many as reachability through ever earlier rows needs.
+
+    An entry all of whose rows arrive after those of another, and that is led to it by links already found (each again
+    between entries that don't overlap in time), needs no link to it, matching or not. So the
+    entries go in order of arrival, each asks for its nearest candidates first and only for those it isn't led
+    to yet, and a group of n titles that are all alike asks for and leaves about n pairs. Entries that
+    overlap in time are always asked for, both ways.
     """
-    lt, rt = left["title"].tolist(), right["title"].tolist()
-    ll = np.array([len(t) for t in lt], dtype=np.int64)
-    rl = np.array([len(t) for t in rt], dtype=np.int64)
-    lp, rp = left["price"].to_numpy(float), right["price"].to_numpy(float)
-    points = lambda ts: [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in ts]
-    pts_l, pts_r = points(lt), points(rt)
-    chars_l, chars_r = _char_counts(pts_l), _char_counts(pts_r)
-    first_l, last_l = left["first"].to_numpy(), left["last"].to_numpy()
-    first_r, last_r = right["first"].to_numpy(), right["last"].to_numpy()
-
-    def required(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.ceil(ratio * (ll[i] + rl[j]) / 2 - 1e-9)
-
-    kept_i, kept_j = [], []
-    for at in range(0, len(lt), BLOCK_ROWS):
-        block = slice(at, at + BLOCK_ROWS)
-        top = np.maximum(lp[block, None], rp[None, :])
-        ok = np.abs(lp[block, None] - rp[None, :]) / top <= pct
-        need = np.ceil(ratio * (ll[block, None] + rl[None, :]) / 2 - 1e-9)
-        ok &= np.minimum(ll[block, None], rl[None, :]) >= need
+    tile = TitleTile(left, right, ratio, pct)
+    nl, nr = len(left), 0 if same else len(right)
+    first = np.concatenate([left["first"].to_numpy(), right["first"].to_numpy()[:nr]])
+    last = np.concatenate([left["last"].to_numpy(), right["last"].to_numpy()[:nr]])
+    place = np.empty(nl + nr, np.int64)  # of an entry in the order of arrival
+    order = np.lexsort((last, first))
+    place[order] = np.arange(nl + nr)
+    right_place = place[:nl] if same else place[nl:]
+    asks: dict[int, int] = {}  # entry -> candidates that lie wholly before it, as bits
+    over: list[tuple[np.ndarray, np.ndarray]] = []
+    for i, j in tile.candidates():
         if same:
-            ok &= np.tri(*ok.shape, at - 1, dtype=bool)
-        if ok.any():
-            ok &= _shared_chars(chars_l[:, block], chars_r) >= need
-        i, j = np.nonzero(ok)
-        kept_i.append(i + at)
-        kept_j.append(j)
-    all_i, all_j = (np.concatenate([np.empty(0, np.int64), *k]) for k in (kept_i, kept_j))
-    out: list[tuple] = []
-    for start in range(0, len(all_i), PAIR_BATCH):
-        i, j = all_i[start : start + PAIR_BATCH], all_j[start : start + PAIR_BATCH]
-        keep = _share_subsequence(pts_l, pts_r, i, j, required(i, j))
-        for x, y in zip(i[keep], j[keep]):
-            if last_l[x] > first_r[y] or not both_ways:
-                r = SequenceMatcher(None, lt[x], rt[y]).ratio()
-                if r >= ratio:
-                    out.append((lt[x], lp[x], rt[y], rp[y], r))
-            if both_ways and last_r[y] > first_l[x]:
-                r = SequenceMatcher(None, rt[y], lt[x]).ratio()
-                if r >= ratio:
-                    out.append((rt[y], rp[y], lt[x], lp[x], r))
-    return pd.DataFrame(
-        out, columns=["later_title", "later_price", "earlier_title", "earlier_price", "ratio"]
+            i, j = i[i > j], j[i > j]
+        fi, li, fj, lj = first[i], last[i], first[nl * (not same) + j], last[nl * (not same) + j]
+        apart = (fi > lj) | (fj > li)
+        over.append((i[~apart], j[~apart]))
+        if not apart.any():
+            continue
+        pi, pj = place[i[apart]], right_place[j[apart]]
+        upper, lower = np.maximum(pi, pj), np.minimum(pi, pj)
+        by = np.argsort(upper, kind="stable")
+        upper, lower = upper[by], lower[by]
+        heads = np.flatnonzero(np.diff(upper, prepend=-1))
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(upper)], strict=True):
+            flags = np.zeros(nl + nr, bool)
+            flags[lower[a:b]] = True
+            asks[int(upper[a])] = asks.get(int(upper[a]), 0) | _bits_of(flags)
+
+    reach: dict[int, int] = {}
+    links: dict[int, list[int]] = {}
+    matches: dict[tuple[int, int], float] = {}
+    out, most = [], 1
+    while asks:
+        turn: list[tuple[int, int]] = []
+        for x in sorted(asks):
+            led = 0
+            for z in links.get(x, ()):
+                led |= reach.get(z, 0) | 1 << z
+            reach[x] = led
+            left_over = asks[x] & ~led
+            for _ in range(most):
+                if not left_over:
+                    break
+                y = left_over.bit_length() - 1
+                left_over ^= 1 << y
+                turn.append((x, y))
+            asks[x] &= ~led
+        if not turn:
+            break
+        x, y = np.array(turn).T
+        ex, ey = order[x], order[y]
+        # The tile compares left with right: say which of the two is which, and which arrives later.
+        flip = ex >= nl if not same else np.zeros(len(ex), bool)
+        for turned in (False, True):
+            some = np.flatnonzero(flip == turned)
+            i, j = (ey[some], ex[some] - nl) if turned else (ex[some], ey[some] - (0 if same else nl))
+            at, found = tile.matching(i, j, turned)
+            for k, r in zip(some[at].tolist(), found.tolist(), strict=True):
+                links.setdefault(turn[k][0], []).append(turn[k][1])
+                matches[turn[k]] = r
+        for a, b in turn:
+            asks[a] &= ~(1 << b)
+        # An entry that asks for nothing more still passes on what it leads to.
+        for x in [x for x, left_over in asks.items() if not left_over and x not in links]:
+            del asks[x]
+        most *= 2
+    # Several asked for at once may lead to each other: the nearest stay.
+    needed = []
+    for x, found in links.items():
+        led = 0
+        for z in sorted(found, reverse=True):
+            if not led >> z & 1:
+                needed.append((x, z))
+                led |= reach.get(z, 0) | 1 << z
+    if needed:
+        x, y = np.array(needed).T
+        ex, ey, r = order[x], order[y], np.array([matches[n] for n in needed])
+        flip = ex >= nl if not same else np.zeros(len(ex), bool)
+        for turned in (False, True):
+            some = flip == turned
+            i, j = (ey[some], ex[some] - nl) if turned else (ex[some], ey[some] - (0 if same else nl))
+            out.append(_entry_rows(tile, int(turned), i, j, r[some]))
+    i, j = (np.concatenate([np.empty(0, np.int64), *(o[k] for o in over)]) for k in (0, 1))
+    right_of = nl * (not same)
+    for turned in (False, True):
+        later = last[right_of + j] > first[i] if turned else last[i] > first[right_of + j]
+        at, found = tile.matching(i[later], j[later], turned)
+        out.append(_entry_rows(tile, int(turned), i[later][at], j[later][at], found))
+    return pd.concat(out)
+
+
+def hit_titles(left: pd.DataFrame, right: pd.DataFrame, ratio: float, pct: float) -> pd.DataFrame:
+    """The left entries of one tile that match some right one, each asked for until its first match."""
+    tile = TitleTile(left, right, ratio, pct)
+    hit = np.zeros(len(left), bool)
+    for i, j in tile.blocks():
+        most = 1
+        while len(i):
+            # The next candidates of each entry; their number doubles.
+            nth = np.arange(len(i)) - np.searchsorted(i, i)
+            now = nth < most
+            at, _ = tile.matching(i[now], j[now])
+            hit[i[now][at]] = True
+            rest = ~now & ~hit[i]
+            i, j, most = i[rest], j[rest], most * 2
+    return left.loc[hit, ["title", "price"]]
+
+
+def _bands(df: DataFrame, cfg: MatchConfig, title: str, price: str, seq: str, tile_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Entries with their price and length band, and the number of chunks of each block of bands."""
+    price_width = -math.log(1 - cfg.price_pct) * 1.0001
+    length_width = math.log((2 - cfg.title_ratio) / cfg.title_ratio) * 1.0001
+    size = F.length("title")
+    rows = cut(title_entries(df, title, price, seq)).withColumn("pb", F.floor(F.ln("price") / price_width)).withColumn(
+        "lb", F.when(size > 0, F.floor(F.ln(size) / length_width)).otherwise(F.lit(-2))
     )
+    # Longer titles, smaller tiles: a tile's memory stays about the same.
+    longest = F.exp((F.col("lb") + 1) * F.lit(length_width))
+    per_tile = F.greatest(F.lit(1.0), F.lit(float(tile_rows)) * F.least(F.lit(1.0), F.lit(128.0) / longest))
+    blocks = rows.groupBy("pb", "lb").agg(F.count("*").alias("n"))
+    return rows, blocks.select("pb", "lb", F.ceil(F.col("n") / per_tile).cast("int").alias("chunks"))
+
+
+_TILE = ["pb", "lb", "pb2", "lb2", "i", "j"]
+
+
+def _chunk(n: str) -> Column:
+    return F.pmod(F.xxhash64("title", "price"), F.col(n)).cast("int")
+
+
+def _tile_links(left_blocks: DataFrame, right_blocks: DataFrame, offsets: list[tuple[int, int]]) -> tuple[DataFrame, int, int]:
+    """Blocks whose entries can match, at the given offsets of bands; the number of tiles; the most chunks on the right."""
+    reach = F.explode(F.array(*[F.struct(F.lit(p).alias("dp"), F.lit(l).alias("dl")) for p, l in offsets]))
+    there = left_blocks.select("pb", "lb", F.col("chunks").alias("lc"), reach.alias("o"))
+    links = there.select("pb", "lb", "lc", (F.col("pb") + F.col("o.dp")).alias("pb2"), (F.col("lb") + F.col("o.dl")).alias("lb2")).join(
+        right_blocks.select(F.col("pb").alias("pb2"), F.col("lb").alias("lb2"), F.col("chunks").alias("rc")), ["pb2", "lb2"]
+    )
+    # Bands are few, whatever the number of entries; counted all the same before a broadcast.
+    links = cut(links)
+    n_links, tiles, most = links.agg(F.count("*"), F.sum(F.col("lc") * F.col("rc")), F.max("rc")).first()
+    return (F.broadcast(links) if n_links <= BROADCAST_ROWS else links), tiles or 0, most or 0
+
+
+def _in_tiles(rows: DataFrame, tiles: int) -> DataFrame:
+    # Tiles are small in bytes but heavy in work: an explicit count keeps the engine from
+    # packing them into few tasks.
+    floor = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(floor, tiles // 4), *_TILE)
+
+
+_PAIR = "later_title string, later_price double, earlier_title string, earlier_price double, ratio double"
 
 
 def fuzzy_title_join(
@@ -342,6 +561,7 @@ def fuzzy_title_join(
     price: str = "price_eur",
     seq: str = "seq",
     tile_rows: int = TILE_ROWS,
+    thin: bool = False,
 ) -> DataFrame:
     """Title/price entries that match: ``(later_title, later_price, earlier_title,
     earlier_price, ratio)``.
@@ -349,73 +569,39 @@ def fuzzy_title_join(
     The ratio is not symmetric, so each row says which entry takes the later place; with
     one input a direction is present when some member of it can arrive later. With two
     inputs, ``a`` is later. Equal entries (always ratio 1) are not listed with one input.
+    ``thin``, with one input, leaves out pairs that other pairs of the result lead to (``link_titles``).
 
     Exact. Entries are blocked by price band and length band such that matches lie in the
     same or adjacent bands. Every block is cut into hashed chunks of about ``tile_rows`` from
     counted block sizes, and one task compares one chunk with another: a band that holds a third of all
     entries becomes many equal tiles, and only matches leave a tile.
     """
-    price_width = -math.log(1 - cfg.price_pct) * 1.0001
-    length_width = math.log((2 - cfg.title_ratio) / cfg.title_ratio) * 1.0001
-
-    def banded(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows = title_entries(df, title, price, seq)
-        size = F.length("title")
-        rows = cut(rows).withColumn("pb", F.floor(F.ln("price") / price_width)).withColumn(
-            "lb", F.when(size > 0, F.floor(F.ln(size) / length_width)).otherwise(F.lit(-2))
-        )
-        # Longer titles, smaller tiles: a tile's memory stays about the same.
-        longest = F.exp((F.col("lb") + 1) * F.lit(length_width))
-        per_tile = F.greatest(F.lit(1.0), F.lit(float(tile_rows)) * F.least(F.lit(1.0), F.lit(128.0) / longest))
-        blocks = rows.groupBy("pb", "lb").agg(F.count("*").alias("n")).select(
-            "pb", "lb", F.ceil(F.col("n") / per_tile).cast("int").alias("chunks")
-        )
-        return rows, blocks
-
-    left, left_blocks = banded(a)
+    left, left_blocks = _bands(a, cfg, title, price, seq, tile_rows)
     # Offsets (price band, length band) from the left block to the right one.
     if b is None:
         right, right_blocks = left, left_blocks
         offsets = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
     else:
-        right, right_blocks = banded(b)
+        right, right_blocks = _bands(b, cfg, title, price, seq, tile_rows)
         offsets = [(p, l) for p in (-1, 0, 1) for l in (-1, 0, 1)]
-
-    reach = F.explode(
-        F.array(*[F.struct(F.lit(p).alias("dp"), F.lit(l).alias("dl")) for p, l in offsets])
-    )
-    links = (
-        left_blocks.select("pb", "lb", F.col("chunks").alias("lc"), reach.alias("o"))
-        .select("pb", "lb", "lc", (F.col("pb") + F.col("o.dp")).alias("pb2"), (F.col("lb") + F.col("o.dl")).alias("lb2"))
-        .join(
-            right_blocks.select(F.col("pb").alias("pb2"), F.col("lb").alias("lb2"), F.col("chunks").alias("rc")),
-            ["pb2", "lb2"],
-        )
-    )
-    # Bands are few, whatever the number of entries; counted all the same before a broadcast.
-    links = cut(links)
-    n_links, tiles = links.agg(F.count("*"), F.sum(F.col("lc") * F.col("rc"))).first()
-    if n_links <= BROADCAST_ROWS:
-        links = F.broadcast(links)
-    chunk = lambda n: F.pmod(F.xxhash64("title", "price"), F.col(n)).cast("int")
+    links, tiles, _ = _tile_links(left_blocks, right_blocks, offsets)
     own = (F.col("pb") == F.col("pb2")) & (F.col("lb") == F.col("lb2")) if b is None else F.lit(False)
-    tile = ["pb", "lb", "pb2", "lb2", "i", "j"]
     cols = ["title", "price", "first", "last"]
 
     on_left = (
         left.join(links, ["pb", "lb"])
-        .withColumn("i", chunk("lc"))
+        .withColumn("i", _chunk("lc"))
         .withColumn("j", F.explode(F.sequence(F.when(own, F.col("i")).otherwise(F.lit(0)), F.col("rc") - 1)))
-        .select(*tile, *cols, F.lit(True).alias("is_left"))
+        .select(*_TILE, *cols, F.lit(True).alias("is_left"))
     )
     on_right = (
         right.withColumnsRenamed({"pb": "pb2", "lb": "lb2"})
         .join(links, ["pb2", "lb2"])
-        .withColumn("j", chunk("rc"))
+        .withColumn("j", _chunk("rc"))
         .withColumn("n_i", F.when(own, F.col("j")).otherwise(F.col("lc")))
         .filter("n_i > 0")
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1)))
-        .select(*tile, *cols, F.lit(False).alias("is_left"))
+        .select(*_TILE, *cols, F.lit(False).alias("is_left"))
     )
     ratio, pct, two = cfg.title_ratio, cfg.price_pct, b is not None
 
@@ -424,15 +610,44 @@ def fuzzy_title_join(
         lhs = pdf[pdf["is_left"]]
         same = not two and at.pb == at.pb2 and at.lb == at.lb2 and at.i == at.j
         rhs = lhs if same else pdf[~pdf["is_left"]]
+        if thin and not two:
+            return link_titles(lhs, rhs, same, ratio, pct)
         return compare_titles(lhs, rhs, same, not two, ratio, pct)
 
-    out = "later_title string, later_price double, earlier_title string, earlier_price double, ratio double"
-    # Tiles are small in bytes but heavy in work: an explicit count keeps the engine from
-    # packing them into few tasks.
-    floor = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(floor, (tiles or 1) // 4)
-    rows = on_left.unionByName(on_right).repartition(parts, *tile)
-    return rows.groupBy(*tile).applyInPandas(compare, out)
+    return _in_tiles(on_left.unionByName(on_right), tiles).groupBy(*_TILE).applyInPandas(compare, _PAIR)
+
+
+def fuzzy_title_hits(a: DataFrame, b: DataFrame, cfg: MatchConfig = MatchConfig(), title: str = "title", price: str = "price_eur", tile_rows: int = TILE_ROWS) -> DataFrame:
+    """``(title, price)`` of the entries of ``a`` that match some entry of ``b``, ``a`` being later; one row each.
+
+    An existence join: a tile asks for the candidates of an entry until the first match, and no pair leaves it.
+    The right chunks are looked at in turns of 1, 2, 4 ...; entries that are decided leave before the next turn.
+    """
+    rows = lambda df: df.select(F.col(title).alias("title"), F.col(price).alias("price"), F.lit(0).alias("seq"))
+    left, left_blocks = _bands(rows(a), cfg, "title", "price", "seq", tile_rows)
+    right, right_blocks = _bands(rows(b), cfg, "title", "price", "seq", tile_rows)
+    links, _, most = _tile_links(left_blocks, right_blocks, [(p, l) for p in (-1, 0, 1) for l in (-1, 0, 1)])
+    ratio, pct = cfg.title_ratio, cfg.price_pct
+    right = right.withColumnsRenamed({"pb": "pb2", "lb": "lb2"}).join(links, ["pb2", "lb2"]).withColumn("j", _chunk("rc"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        return hit_titles(pdf[pdf["is_left"]].reset_index(drop=True), pdf[~pdf["is_left"]], ratio, pct)
+
+    found: list[DataFrame] = []
+    lo = 0
+    while lo < most or not found:
+        hi = 2 * lo + 1
+        here = left.join(links, ["pb", "lb"]).filter(F.col("rc") > lo)
+        on_left = here.withColumn("i", _chunk("lc")).withColumn("j", F.explode(F.sequence(F.lit(lo), F.least(F.col("rc"), F.lit(hi)) - 1)))
+        on_right = right.filter(F.col("j").between(lo, hi - 1)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lc") - 1)))
+        sides = (side.select(*_TILE, "title", "price", F.lit(is_left).alias("is_left")) for side, is_left in ((on_left, True), (on_right, False)))
+        tiles = links.filter(F.col("rc") > lo).agg(F.sum(F.col("lc") * F.least(F.col("rc") - lo, F.lit(hi - lo)))).first()[0]
+        hits = _in_tiles(reduce(DataFrame.unionByName, sides), tiles or 0).groupBy(*_TILE).applyInPandas(compare, "title string, price double")
+        found.append(cut(hits.distinct()))
+        lo = hi
+        if lo < most:
+            left = cut(left.join(found[-1], ["title", "price"], "left_anti"))
+    return reduce(DataFrame.unionByName, found)
 
 
 # --- the cascade ---------------------------------------------------------------------------
@@ -470,7 +685,7 @@ def layer_links(df: DataFrame, cfg: MatchConfig) -> DataFrame:
         _signature(GRID_LAYER, F.col("cell"), F.col("price_cell"), F.col("m2_b")).alias("y"),
     )
     either = coded.unionByName(cells)
-    titles = fuzzy_title_join(df, cfg=cfg).select(
+    titles = fuzzy_title_join(df, cfg=cfg, thin=True).select(
         _signature(TITLE_LAYER, F.col("later_price"), F.col("later_title")).alias("later_sig"),
         _signature(TITLE_LAYER, F.col("earlier_price"), F.col("earlier_title")).alias("earlier_sig"),
     )
@@ -558,7 +773,7 @@ def same_flat_edges(df: DataFrame, cfg: MatchConfig = MatchConfig(), seq: str =
     ``df`` has ``seq, code, lat, lng, m2, price_eur, title``.
     """
     rows = cut(df.select(seq, "code", "lat", "lng", "m2", "price_eur", "title"))
-    edges = thread_edges(layer_members(rows, cfg, seq), layer_links(rows, cfg))
+    edges = thread_edges(cut(layer_members(rows, cfg, seq)), cut(layer_links(rows, cfg)))
     layer = F.substring_index("sig", "|", 1).cast("int")
     return edges.groupBy("later", "earlier").agg(F.min(layer).alias("layer"))
 
@@ -570,11 +785,9 @@ def skipped_dup_antijoin(df: DataFrame, hidden: DataFrame, cfg: MatchConfig = Ma
     signatures; rows are then dropped by equality.
     """
     left = post_dup_antijoin(df, hidden, cfg)
-    hits = fuzzy_title_join(df, hidden, cfg).select(
-        F.col("later_title").alias("_t"), F.col("later_price").alias("_p")
-    )
+    hits = fuzzy_title_hits(df, hidden, cfg).select(F.col("title").alias("_t"), F.col("price").alias("_p"))
     same = (text.normalize_title(F.col("title")) == F.col("_t")) & (F.col("price_eur") == F.col("_p"))
-    return left.join(hits.distinct(), same, "left_anti")
+    return left.join(hits, same, "left_anti")
 
 
 def post_dup_antijoin(df: DataFrame, known: DataFrame, cfg: MatchConfig = MatchConfig()) -> DataFrame:

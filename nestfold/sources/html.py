@@ -1,7 +1,8 @@
 """Captured HTML pages to rows, by regular block structure.
 
 A page is cut at its block heads with one ``split`` and one ``regexp_extract_all``; both run
-in linear time over the whole page, so large pages cost no backtracking.
+in linear time over the whole page, so large pages cost no backtracking. Free text and titles, which may
+nest anything, are read by ``elements``.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nestfold.functions import parse, text
+from nestfold.sources.elements import all_texts, elements, matching
 
 
 def cut_blocks(html: Column, head_re: str) -> Column:
@@ -68,7 +70,7 @@ def tag_of(name: str, holds: str = "") -> str:
 
 def of_class(name: str, tag: str = "") -> str:
     """An opening tag that has the class ``name`` among its classes."""
-    return tag_of(tag, rf"""\sclass=["'](?:[^"']*\s)?{name}(?:\s[^"']*)?["']""")
+    return tag_of(tag, rf"""\sclass=(?:["'](?:[^"']*\s)?{name}(?:\s[^"']*)?["']|{name}(?=[\s/>]))""")
 
 
 def attr(name: str) -> str:
@@ -109,15 +111,14 @@ def cards_b(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
     """List pages of source B to cards; a card without link or date is dropped."""
     keep = keep or []
     b = F.col("block")
-    heading = F.regexp_extract(b, inner(of_class(LIST_B_TITLE), "</a>"), 1)
-    rows = extract_blocks(pages, html_col, LIST_B_HEAD, {}, keep).withColumn(
-        "anchor", F.concat(F.regexp_extract(heading, f"(?s)({tag_of('a')}.*)$", 1), F.lit("</a>"))
-    )
+    headings = elements(b, matching(of_class(LIST_B_TITLE, "h2")))
+    anchors = elements(F.array_join(F.transform(headings, lambda e: e["inner"]), ""), matching(tag_of("a")))
+    rows = extract_blocks(pages, html_col, LIST_B_HEAD, {}, keep).withColumn("anchors", anchors)
     # The link and, in its script, the facts of the card.
-    raw_tag = F.regexp_extract("anchor", f"^({tag_of('a')})", 1)
+    raw_tag = F.get("anchors", F.lit(0))["tag"]
     tag = text.unescape(raw_tag)
     href = text.unescape(found(raw_tag, attr("href")))
-    title = text.strip_markup(F.col("anchor"))
+    title = text.full_strip(text.unescape(all_texts(F.col("anchors"))))
     currency = F.coalesce(found(tag, json_field("currency")), F.lit("EUR"))
     price = F.coalesce(found(tag, json_field("price")).try_cast("double"), F.lit(0.0))
     m2 = F.translate(found(tag, json_field("item_category4")), ",", ".")
@@ -146,11 +147,11 @@ def details_b(pages: DataFrame, html_col: str = "html", url_col: str = "url") ->
     rows = pages.select(url_col, h, kv_pairs(h, DETAIL_B_PAIR).alias("_pairs"))
     fact = lambda label: F.nullif(F.try_element_at(pairs, F.lit(label)), F.lit(""))
     spot = parse.parse_floor(fact("Sprat"), "listed")
-    body = F.regexp_extract(h, inner(of_class("description"), "</div>"), 1)
+    body = all_texts(elements(h, matching(of_class("description"))))
     # The items listed under the heading, up to the next heading.
     extras = F.get(F.split(F.get(F.split(h, EXTRAS_HEADING, 2), F.lit(1)), r"<h[1-6]\b", 2), F.lit(0))
     items = F.transform(F.regexp_extract_all(extras, F.lit(inner(tag_of("li"), "</li>")), F.lit(1)), text.clean_inline)
-    words = text.full_strip(text.unescape(F.regexp_replace(body, "<[^>]+>", " ")))
+    words = text.full_strip(text.unescape(body))
     return rows.select(
         url_col,
         spot["floor"].alias("floor"),

@@ -5,10 +5,12 @@ import re
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from nestfold.operators import similarity
 from nestfold.operators.cluster import cluster_flats, connected_components, first_fit_labels
+from nestfold.operators.ratio import ratios
 
 SCHEMA = "seq long, code long, lat double, lng double, m2 double, price_eur double, title string"
 
@@ -125,6 +127,66 @@ def test_small_tiles_find_the_same_titles(spark):
     assert whole == tiled and whole
 
 
+def led_to(rows, pairs):
+    """Row -> all rows that it reaches through ever earlier matches; ``pairs`` says which entries match, later first."""
+    entry = {r[0]: (norm(r[6]), r[5]) for r in rows if r[5] > 0}
+    reach = {}
+    for x in sorted(entry):
+        reach[x] = set()
+        for y in sorted(reach, reverse=True):
+            if y < x and (entry[x] == entry[y] or (entry[x], entry[y]) in pairs):
+                reach[x] |= {y} | reach[y]
+    return reach
+
+
+def title_pairs(df, **options):
+    found = similarity.fuzzy_title_join(df, **options).collect()
+    return {((r.later_title, r.later_price), (r.earlier_title, r.earlier_price)) for r in found}
+
+
+@pytest.mark.parametrize("tile_rows", [3, 20, 4096])
+def test_thin_links_lead_to_the_same_rows(spark, tile_rows):
+    rows = random_rows(150, 12, copies=0.6)
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole, thin = title_pairs(df), title_pairs(df, thin=True, tile_rows=tile_rows)
+    assert thin <= whole
+    assert led_to(rows, thin) == led_to(rows, whole)
+
+
+@pytest.mark.parametrize("tile_rows", [60, 4096])
+def test_a_clique_of_titles_leaves_a_linear_number_of_links(spark, tile_rows):
+    rng = random.Random(8)
+    base = "lep dvosoban stan na vračaru blizu parka sa terasom"
+    n = 600
+    titles = {base.replace(*rng.sample("abcdeijklnoprstuvz", 2), 1) + rng.choice("xyz") + str(k) for k in range(n)}
+    df = spark.createDataFrame([(k, None, None, None, 50.0, 900.0, t) for k, t in enumerate(titles)], SCHEMA)
+    chunks = -(-n // tile_rows)
+    thin = similarity.fuzzy_title_join(df, thin=True, tile_rows=tile_rows).count()
+    assert n - 1 <= thin <= 3 * n * chunks < n * n / 4
+    edges = similarity.same_flat_edges(df)
+    assert first_fit_labels(edges).filter("cluster_id <> 0").count() == 0
+
+
+@pytest.mark.parametrize("tile_rows", [4, 4096])
+def test_title_hits_equal_the_later_titles_of_all_pairs(spark, tile_rows):
+    rows = random_rows(200, 21, copies=0.5)
+    a, b = (spark.createDataFrame(rows[k::2], SCHEMA) for k in (0, 1))
+    want = {x for x, _ in title_pairs(a, b=b)}
+    got = similarity.fuzzy_title_hits(a, b, tile_rows=tile_rows).collect()
+    assert {(r.title, r.price) for r in got} == want and want
+    assert len(similarity.fuzzy_title_hits(a, b).collect()) == len(want)
+    assert similarity.fuzzy_title_hits(a, b.limit(0)).collect() == [] == similarity.fuzzy_title_hits(a.limit(0), b).collect()
+
+
+def test_a_hit_title_is_not_asked_for_again(monkeypatch):
+    """All titles of a band alike: each left one is compared once, and nothing but hits comes back."""
+    asked = []
+    monkeypatch.setattr(similarity, "ratios", lambda a, b: asked.append(len(a)) or ratios(a, b))
+    frame = lambda m, k: pd.DataFrame({"title": [f"isti stan na trgu {k} {i}" for i in range(m)], "price": 900.0, "first": 0, "last": 0})
+    out = similarity.hit_titles(frame(1000, "a"), frame(800, "b"), 0.8, 0.05)
+    assert len(out) == 1000 and sum(asked) == 1000
+
+
 @pytest.mark.parametrize("limit", [4096, 2])
 def test_hamming_join_equals_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(similarity, "BUCKET_LIMIT", limit)

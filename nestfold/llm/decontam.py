@@ -1,36 +1,35 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a fixed mask over neighbouring words; positions it doesn't look at may differ. The masked
-windows of the test texts are joined by hash with those of every training text, and around
-each hit the two texts are laid over each other: what agrees well enough, substituted words
-included, is a match.
+A seed is a fixed mask over neighbouring words; positions it doesn't look at may differ. Tasks hash the masked windows
+of tests and of training texts, and the hashes are joined. Around each hit the two texts are laid over each other:
+the longest stretch that agrees well enough, substituted words included, is the overlap.
 
-The tests are the stated query set: they are read in blocks of bounded size, each block's hashes go to the
-tasks, and the training texts are neither shuffled nor cut.
+A bitmap of the tests' hashes, of bounded size, keeps windows that no test has from leaving their task. Equal windows of a text
+are one row with their places, and so are those of a test, so that repetitive texts don't multiply
+each other. What holds for a text holds for its copies: texts are known by their md5 from there on.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from nestfold.llm.words import U64, extended, hashes_of, mix, with_columns, words_of
+from nestfold.llm.words import U64, binary, fresh, hashes_of, mix, words_of
+from nestfold.session import broadcast_if_small, cut
 
-# Weight 5 of spans 5 to 9: the first is five words in a row, the others pass over a changed word.
+# Weight 5 of spans 5 to 9: the first is five words in a row, the others pass over a changed word. Every way to change a
+# fifth of 8 to 15 words leaves one of them whole.
 SEEDS = ("11111", "1101011", "1110011", "110010101")
-BLOCK_BYTES = 8 << 20  # test text that a pass over the training texts looks for
 PERCENT = 80  # of the words of the overlap must agree
 LEAST = 8  # words of a test that must lie in the overlap, or all of a shorter one
-_SLOTS = 20  # bits of the table that tells most windows away before the exact look-up
+BITS = (22, 26)  # the bitmap has 2**22 to 2**26 bits, about 500 for each window of the tests
 
-HIT = T.StructType(
-    [T.StructField("item_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("agreeing", T.IntegerType())]
-)
+HITS = "array<struct<item_id:bigint,start:int,words:int,agreeing:int>>"
 
 
 def masked(h: np.ndarray, seed: str) -> np.ndarray:
@@ -45,78 +44,165 @@ def masked(h: np.ndarray, seed: str) -> np.ndarray:
     return out
 
 
-class Tests:
-    """A block of tests: their words' hashes and, by seed, the sorted hashes of their windows."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        self.words = [hashes_of(words_of(t, lower=True)) for _, t in items]
-        self.short: dict[int, list[int]] = {}  # tests with fewer words than a seed, by their number
-        for k, w in enumerate(self.words):
-            if 0 < len(w) < len(SEEDS[0]):
-                self.short.setdefault(len(w), []).append(k)
-        self.tables = []
-        for seed in SEEDS:
-            found = [masked(w, seed) for w in self.words]
-            hashes = np.concatenate([np.empty(0, U64), *found])
-            item = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(f)) for f in found)])
-            order = np.argsort(hashes, kind="stable")
-            likely = np.zeros(1 << _SLOTS, bool)
-            likely[(hashes >> U64(64 - _SLOTS)).astype(np.int64)] = True
-            self.tables.append((hashes[order], item[order], place[order], likely))
-
-    def diagonals(self, h: np.ndarray) -> set[tuple[int, int]]:
-        """``(test, place of its first word in the text)`` of every seed hit."""
-        out: set[tuple[int, int]] = set()
-        for seed, (hashes, item, place, likely) in zip(SEEDS, self.tables, strict=True):
-            mine = masked(h, seed)
-            at = np.flatnonzero(likely[(mine >> U64(64 - _SLOTS)).astype(np.int64)])
-            if not len(at) or not len(hashes):
-                continue
-            lo, hi = (np.searchsorted(hashes, mine[at], side) for side in ("left", "right"))
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                out.update(zip(item[a:b].tolist(), (p - place[a:b]).tolist(), strict=True))
-        for n, numbers in self.short.items():
-            for k in numbers:
-                same = np.flatnonzero(np.logical_and.reduce([h[j : len(h) - n + 1 + j] == self.words[k][j] for j in range(n)])) if len(h) >= n else ()
-                out.update((k, int(p)) for p in same)
-        return out
-
-    def hits(self, text: str | None, percent: int, least: int) -> list[dict]:
-        """The best overlap with each test found in the text."""
-        h, best = hashes_of(words_of(text, lower=True)), {}
-        for k, start in self.diagonals(h):
-            w = self.words[k]
-            a, b = max(0, start), min(len(h), start + len(w))
-            agree = h[a:b] == w[a - start : b - start]
-            lo, hi = self._stretch(agree, percent)
+def _seeds_of(words: int) -> tuple[str, ...]:
+    """A test with fewer words than a seed is looked for word by word."""
+    return SEEDS if words >= len(SEEDS[0]) else ("1" * words,) if words else ()
+
+
+def _grouped(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Different hashes, and the places of each."""
+    if not len(hashes):
+        return hashes, []
+    order = np.argsort(hashes, kind="stable")
+    hashes, places = hashes[order], places[order]
+    heads = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    return hashes[heads], np.split(places, heads[1:])
+
+
+def _windows(h: np.ndarray, seeds: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    made = [masked(h, s) for s in seeds]
+    return np.concatenate([np.empty(0, U64), *made]), np.concatenate([np.empty(0, np.int32), *(np.arange(len(m), dtype=np.int32) for m in made)])
+
+
+def _lists(places: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, places)])
+    flat = np.concatenate([np.empty(0, np.int32), *places]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
+
+def _test_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for nth, text in zip(batch.column("nth").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            h = hashes_of(words_of(text, lower=True))
+            found, places = _grouped(*_windows(h, _seeds_of(len(h))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found.view(np.int64)), pa.array(np.full(len(found), nth)), pa.array(np.full(len(found), min(len(h), len(SEEDS[0])), np.int32)), _lists(places)],
+                ["hash", "nth", "size", "places"],
+            )
+
+
+def _bitmap(windows: DataFrame) -> np.ndarray:
+    """One bit for the highest bits of each hash; at most 2**26, made in tasks and fetched as words of 64."""
+    n = windows.count()
+    bits = min(max(math.ceil(math.log2(n + 1)) + 9, BITS[0]), BITS[1])
+    slot = F.shiftrightunsigned("hash", 64 - bits)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) % 64 as int))")
+    made = windows.select(F.shiftright(slot, 6).cast("int").alias("word"), bit.alias("bit"))
+    found = made.groupBy("word").agg(F.bit_or("bit").alias("held")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[found["word"].to_numpy()] = found["held"].to_numpy()
+    return out.view(U64)
+
+
+def _text_windows(shared, seeds: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        shift = U64(64 - (len(held).bit_length() - 1) - 6)
+        for batch in batches:
+            keys, hashes, lists = [], [], []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                h = hashes_of(words_of(text, lower=True))
+                mine, places = _windows(h, seeds)
+                slot = mine >> shift
+                some = (held[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1) > 0
+                found, at = _grouped(mine[some], places[some])
+                keys += [key] * len(found)
+                hashes.append(found)
+                lists += at
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, U64), *hashes]).view(np.int64)), pa.array(keys, pa.string()), _lists(lists)], ["hash", "key", "at"])
+
+    return run
+
+
+def stretch(agree: np.ndarray, percent: int) -> tuple[int, int]:
+    """The longest stretch of which ``percent`` of a hundred agree; of equally long ones the most agreeing, then the first."""
+    gain = np.concatenate([[0], np.cumsum(np.where(agree, 100 - percent, -percent))])
+    least = np.minimum.accumulate(gain)
+    # The first place whose running minimum is no higher is the first whose own sum isn't.
+    lo = np.searchsorted(-least, -gain, "left")
+    size = np.arange(len(gain)) - lo
+    ends = np.flatnonzero(size == size.max())
+    hi = int(ends[np.argmax(gain[ends] - gain[lo[ends]])])
+    return int(lo[hi]), hi
+
+
+def best_overlap(h: np.ndarray, w: np.ndarray, starts: np.ndarray, percent: int, least: int) -> tuple[int, int, int] | None:
+    """``(start, words, agreeing)`` of the best overlap of a test's words with a text's, over the places where
+    the test would start: the longest, then the most agreeing, then the first one."""
+    best = None
+    for start in starts.tolist():
+        a, b = max(0, start), min(len(h), start + len(w))
+        if best and b - a < best[0]:
+            continue
+        agree = h[a:b] == w[a - start : b - start]
+        lo, hi = stretch(agree, percent)
+        if hi - lo >= min(least, len(w)):
             agreeing = int(agree[lo:hi].sum())
-            if hi - lo >= min(least, len(w)) and 100 * agreeing >= percent * (hi - lo):
-                found = (agreeing, -(a + lo), hi - lo)
-                best[k] = max(best.get(k, found), found)
-        return [{"item_id": self.ids[k], "start": -s, "words": n, "agreeing": g} for k, (g, s, n) in sorted(best.items())]
-
-    @staticmethod
-    def _stretch(agree: np.ndarray, percent: int) -> tuple[int, int]:
-        """The longest stretch with the most agreement beyond ``percent`` of its words."""
-        gain = np.concatenate([[0], np.cumsum(np.where(agree, 100 - percent, -percent))])
-        over = gain - np.minimum.accumulate(gain)
-        hi = len(over) - 1 - int(np.argmax(over[::-1]))
-        return int(np.argmin(gain[: hi + 1])), hi
-
-
-def _blocks(tests: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    rows = tests.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    block, size = [], 0
-    for row in rows.orderBy("id", "text").toLocalIterator():
-        block.append((row.id, row.text))
-        size += len(row.text)
-        if size >= block_bytes:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+            found = (hi - lo, agreeing, -(a + lo))
+            best = max(best or found, found)
+            if agreeing == len(w):  # nothing is better, and all that is as good starts later
+                break
+    return best and (-best[2], best[0], best[1])
+
+
+def _starts(at: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
+    """The different places where the test would start, ascending, from the places of equal windows in either text."""
+    lo = min(int(a.min() - p.max()) for a, p in zip(at, places, strict=True))
+    hi = max(int(a.max() - p.min()) for a, p in zip(at, places, strict=True))
+    there = np.zeros(hi - lo + 1, bool)
+    for a, p in zip(at, places, strict=True):
+        few, many = (a, -p) if len(a) < len(p) else (-p, a)
+        for x in few.tolist():
+            there[many + (x - lo)] = True
+    return np.flatnonzero(there) + lo
+
+
+def _overlaps(percent: int, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (key, nth), a text before the windows that hit it -> its overlap with each test."""
+        key = nth = words = text = None
+        item, at, places = None, [], []
+        out: list[tuple] = []
+
+        def ended() -> None:
+            if at:
+                found = best_overlap(text, words, _starts(at, places), percent, least)
+                if found:
+                    out.append((key, item, *found))
+            at.clear()
+            places.clear()
+
+        for batch in batches:
+            columns = (batch.column(c) for c in ("key", "nth", "item_id", "held", "at", "places"))
+            for k, t, i, held, a, p in zip(*columns, strict=True):
+                k, t = k.as_py(), t.as_py()
+                if (k, t) != (key, nth):
+                    ended()
+                    key, nth, item = k, t, i.as_py()
+                    if t is None:
+                        text = hashes_of(words_of(held.as_py().decode("utf-8", "surrogatepass"), lower=True))
+                    else:
+                        words = np.frombuffer(held.as_py(), U64)
+                if t is not None:
+                    at.append(a.values.to_numpy())
+                    places.append(p.values.to_numpy())
+            yield _found(out)
+            out.clear()
+        ended()
+        yield _found(out)
+
+    return run
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["key", "item_id", "start", "words", "agreeing"])
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held = [hashes_of(words_of(t, lower=True)).tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("nth"), batch.column("item_id"), binary(held)], ["nth", "item_id", "held"])
 
 
 def find_contamination(
@@ -128,30 +214,42 @@ def find_contamination(
     percent: int = PERCENT,
     least: int = LEAST,
     name: str = "hits",
-    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``docs`` with ``hits``: an array of (item_id, start, words, agreeing), the best overlap with each test.
 
-    ``start`` and ``words`` tell the stretch in words of the text; at least ``percent`` of a hundred of them agree, and at
+    ``start`` and ``words`` tell the longest stretch, in words of the text, of which ``percent`` of a hundred agree; at
     least ``least`` words of the test lie in it (all, of a shorter test). A test of fewer words than a seed
-    must stand there word by word. Words are lower-cased in A-Z only.
+    must stand there word by word. Words are lower-cased in A-Z only. Hits are in order of their ids, then starts.
 
-    Null and empty texts and tests hit nothing. Rows that repeat are each looked at; tests that repeat each
+    Null and empty texts and tests hit nothing. Rows that repeat are each told; tests that repeat each
     hit. No tests leave every array empty. Other columns are carried along; one called ``name`` is replaced.
     """
-    schema = extended(docs.schema, name, T.ArrayType(HIT))
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("agreeing", pa.int32())]))
-    out = docs.drop(name).withColumn(name, F.array().cast(T.ArrayType(HIT)))
-    for block in _blocks(tests, test_id, test_text, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(Tests(block))  # bounded by block_bytes of text
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = shared.value
-            for batch in batches:
-                found = [
-                    (had.as_py() or []) + known.hits(text.as_py(), percent, least) for had, text in zip(batch.column(name), batch.column(text_col), strict=True)
-                ]
-                yield with_columns(batch, {name: pa.array(found, kind)})
-
-        out = out.mapInArrow(run, schema)
-    return out
+    docs = docs.drop(*(c for c in docs.columns if c.lower() == name.lower()))
+    digest = F.md5(F.col(text_col).cast("string").cast("binary"))
+    texts = docs.select(digest.alias("key"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    items = tests.select(F.col(test_id).cast("long").alias("item_id"), F.col(test_text).cast("string").alias("text")).filter("text is not null")
+    items = cut(items.withColumn("nth", F.monotonically_increasing_id()))  # written, as the numbers must not change any more
+
+    windows = cut(items.select("nth", "text").mapInArrow(_test_windows, "hash long, nth long, size int, places array<int>"))
+    sizes = [r.size for r in windows.select("size").distinct().collect()]  # at most the length of the first seed
+    seeds = tuple(s for n in sizes for s in _seeds_of(n))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(windows))
+    mine = texts.mapInArrow(_text_windows(shared, seeds), "hash long, key string, at array<int>")
+    # Equal texts hit alike: one of each is laid over the tests.
+    hits = cut(mine.join(broadcast_if_small(windows), "hash").select("key", "nth", "at", "places").distinct())
+
+    words = cut(items.mapInArrow(_hashed, "nth long, item_id long, held binary"))
+    laid = hits.join(broadcast_if_small(words), "nth").select("key", "nth", "item_id", "held", "at", "places")
+    wanted = broadcast_if_small(hits.select("key").distinct())
+    none = F.lit(None)
+    whole = texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]).select(
+        "key", none.cast("long").alias("nth"), none.cast("long").alias("item_id"), F.col("text").cast("binary").alias("held"), none.cast("array<int>").alias("at"), none.cast("array<int>").alias("places")
+    )
+    rows = whole.unionByName(laid).repartition("key").sortWithinPartitions("key", F.col("nth").asc_nulls_first())
+    found = rows.mapInArrow(_overlaps(percent, least), "key string, item_id long, start int, words int, agreeing int")
+    each = F.sort_array(F.collect_list(F.struct("item_id", "start", "words", "agreeing")))
+    found = cut(found.groupBy("key").agg(each.alias("found")))
+
+    key, got = fresh(docs.columns, "key"), fresh([*docs.columns, name], "found")
+    out = docs.withColumn(key, digest).join(broadcast_if_small(found).withColumnsRenamed({"key": key, "found": got}), key, "left")
+    return out.select(*docs.columns, F.coalesce(got, F.array()).cast(HITS).alias(name))

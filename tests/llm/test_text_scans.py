@@ -3,13 +3,16 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from nestfold.llm import decontam, licenses, pii, rules
 from nestfold.llm.words import hashes_of, windows_of
+from nestfold.session import BROADCAST_ROWS, broadcast_if_small
 
 CLASHING = "doc_id long, text string, lang string, source string, PII string, hits int, licenses string, n_words string, fences int, kept string"
 
@@ -179,8 +182,10 @@ def test_licenses_equal_containment_at_every_place(spark):
 # Benchmark passages.
 
 
-@pytest.mark.parametrize("block", [decontam.BLOCK_BYTES, 100])
-def test_passages_are_found_with_words_substituted(spark, block):
+@pytest.mark.parametrize("most", [BROADCAST_ROWS, 0])
+def test_passages_are_found_with_words_substituted(spark, monkeypatch, most):
+    """With the sides of the joins broadcast, and shuffled."""
+    monkeypatch.setattr(decontam, "broadcast_if_small", lambda df: broadcast_if_small(df, most))
     rng = random.Random(8)
     word = lambda: "v" + str(rng.randrange(10**5))
     items = [(k, " ".join(word() for _ in range(rng.choice([15, 30, 60])))) for k in range(12)] + [(50, "only three words"), (51, None), (52, "")]
@@ -197,10 +202,70 @@ def test_passages_are_found_with_words_substituted(spark, block):
     want |= {len(rows): set(), len(rows) + 1: set(), len(rows) + 2: {50}, len(rows) + 3: {0, 1}}
     rows += [None, "", "here: only three words", items[0][1] + " " + items[1][1]]
     tests = spark.createDataFrame(items, "item_id long, text string")
-    out = decontam.find_contamination(frame(spark, list(enumerate(rows))), tests, block_bytes=block)
+    out = decontam.find_contamination(frame(spark, list(enumerate(rows))), tests)
     got = {r.doc_id: r.hits for r in out.collect()}
     assert {d: {h.item_id for h in hits} for d, hits in got.items()} == want
     whole = got[0][0]
     assert (whole.start, whole.words, whole.agreeing) == (40, len(items[0][1].split()), len(items[0][1].split()))
     none = decontam.find_contamination(frame(spark, [(1, "a")]), tests.limit(0)).collect()
     assert none[0].hits == [] and decontam.find_contamination(frame(spark, []), tests).collect() == []
+
+
+def by_all_diagonals(text, passage, percent=80, least=8):
+    """The longest stretch of words laid over each other in any way, then the most agreeing, then the first."""
+    h, w, best = text.lower().split(), passage.lower().split(), None
+    for start in range(1 - len(w), len(h)):
+        a, b = max(0, start), min(len(h), start + len(w))
+        agree = [h[k] == w[k - start] for k in range(a, b)]
+        for lo in range(len(agree)):
+            good = 0
+            for hi in range(lo + 1, len(agree) + 1):
+                good += agree[hi - 1]
+                if hi - lo >= min(least, len(w)) and 100 * good >= percent * (hi - lo):
+                    best = max(best or (0,), (hi - lo, good, -(a + lo)))
+    return best and (-best[2], best[0], best[1])
+
+
+def test_altered_passages_equal_brute_force(spark):
+    """8 to 60 words, a tenth to a fifth of them changed anywhere: the overlap of brute force, and all are found."""
+    rng = random.Random(17)
+    word = lambda: "q" + str(rng.randrange(10**6))
+    items, rows, made = [], [], []
+    for n, changed in ((8, 1), (10, 1), (10, 2), (12, 2), (15, 2), (15, 3), (20, 3), (20, 4), (30, 6), (60, 12)):
+        words = [word() for _ in range(n)]
+        items.append((len(items), " ".join(words)))
+        for _ in range(40 if n < 60 else 8):
+            copy = list(words)
+            for at in rng.sample(range(n), changed):
+                copy[at] = word()
+            rows.append(" ".join([word() for _ in range(rng.randrange(9))] + copy + [word() for _ in range(rng.randrange(9))]))
+            made.append(len(items) - 1)
+    got = {r.doc_id: r.hits for r in decontam.find_contamination(frame(spark, list(enumerate(rows))), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for d, text in enumerate(rows):
+        (hit,) = got[d]
+        assert hit.item_id == made[d] and (hit.start, hit.words, hit.agreeing) == by_all_diagonals(text, items[made[d]][1]), (text, hit)
+
+
+def test_few_words_in_any_order_equal_brute_force(spark):
+    """Texts and passages of two or three different words hit each other everywhere."""
+    rng = random.Random(18)
+    draw = lambda n: " ".join(rng.choices("abc"[: rng.choice([1, 2, 3])], k=n))
+    items = [(k, draw(rng.randrange(1, 14))) for k in range(12)]
+    rows = [draw(rng.randrange(1, 30)) for _ in range(60)]
+    got = {r.doc_id: {h.item_id: (h.start, h.words, h.agreeing) for h in r.hits} for r in decontam.find_contamination(frame(spark, list(enumerate(rows))), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for d, text in enumerate(rows):
+        for k, passage in items:
+            want = by_all_diagonals(text, passage)
+            found = got[d].get(k)
+            # Without five words in a row, or a pattern of a seed, nothing starts; what is found is at most the best.
+            assert found is None or found[1:] <= want[1:], (text, passage)
+            if want and (want[2] == want[1]):
+                assert found == want, (text, passage, found, want)
+
+
+def test_long_repetitive_texts_are_told_in_seconds():
+    h, w = np.zeros(200_000, np.uint64), np.zeros(2000, np.uint64)
+    begun = time.perf_counter()
+    starts = decontam._starts([np.arange(200_000)], [np.arange(2000)])
+    assert decontam.best_overlap(h, w, starts, 80, 8) == (0, 2000, 2000)
+    assert time.perf_counter() - begun < 5

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from nestfold.llm.license_texts import TEMPLATES
 from nestfold.llm.words import U64, extended, hashes_of, mix, seeds, windows_of, with_columns
 
 SHINGLE = 5
@@ -27,36 +28,6 @@ LADDER = ((32, 8), (16, 4), (12, 3), (8, 2), (5, 1))  # words of a window, words
 SEGMENT = 1 << 15  # words looked at together
 _SLOTS = 16
 
-# Notices as their licenses word them.
-TEMPLATES = {
-    "apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0": (
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
-        "writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
-        "either express or implied."
-    ),
-    "mit-short": "Released under the MIT License.",
-    "mit": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
-        "Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
-        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
-    ),
-    "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
-    ),
-    "gpl-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    ),
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "cc-by-nc-4.0-short": "Licensed under CC BY-NC 4.0.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "all-rights-reserved": "All rights reserved.",
-}
-
 HIT = T.StructType(
     [T.StructField("license", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("containment", T.DoubleType())]
 )
@@ -154,12 +125,13 @@ class Scanner:
         return share, a + int(at[0]), int(at[-1] - at[0]) + SHINGLE
 
     def scan(self, texts: list[str | None]) -> list[list[dict]]:
-        """Hits of each text, in order of their place; of overlapping ones with one template the best."""
+        """Hits of each text, in order of their place. A stretch has one name: of hits that overlap by half of the shorter one
+        the best stays, which is the one that explains the most words, then the one with the best containment."""
         words = [license_words(t) for t in texts]
         ends = np.cumsum([len(w) for w in words])
         h = hashes_of([w for ws in words for w in ws])
         found: list[list[dict]] = [[] for _ in texts]
-        by_text: dict[tuple[int, int], set[tuple[float, int, int]]] = {}
+        by_text: dict[int, set[tuple[float, float, int, int, int]]] = {}
         for k, start in self.candidates(h):
             # The middle of the copy tells its text; a window over two texts proves nothing and fails below.
             d = int(np.searchsorted(ends, start + len(self.words[k]) // 2, "right"))
@@ -167,11 +139,15 @@ class Scanner:
                 begin = int(ends[d]) - len(words[d])
                 hit = self.verified(h[begin : ends[d]], k, start - begin)
                 if hit:
-                    by_text.setdefault((d, k), set()).add(hit)
-        for (d, k), hits in by_text.items():
+                    share, a, n = hit
+                    # Shingles that stand there, less those of the template that don't: a longer template that is mostly there wins.
+                    known = max(1, len(self.shingles[k]))
+                    by_text.setdefault(d, set()).add((known * (2 * share - 1), share, -a, n, k))
+        for d, hits in by_text.items():
             taken: list[tuple[int, int]] = []
-            for share, a, n in sorted(hits, key=lambda x: (-x[0], x[1], x[2])):
-                if all(a + n <= b or a >= b + m for b, m in taken):
+            for _, share, a, n, k in sorted(hits, reverse=True):
+                a = -a
+                if all(2 * (min(a + n, b + m) - max(a, b)) <= min(n, m) for b, m in taken):
                     taken.append((a, n))
                     found[d].append({"license": self.names[k], "start": a, "words": n, "containment": round(share, 4)})
         return [sorted(f, key=lambda x: (x["start"], x["license"])) for f in found]
@@ -181,7 +157,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     """``docs`` with ``licenses``: an array of (license, start, words, containment), places counted in license words.
 
     A template is found where at least ``least`` of its 5-word shingles stand near each other; one of fewer words must
-    stand there word by word. The templates, a parameter, go to every task.
+    stand there word by word. Of templates that lay claim to one stretch the one is named that explains most of it. The
+    templates, a parameter, go to every task.
 
     Null and empty texts hold none. Texts that repeat are each scanned. An empty table stays
     empty. Other columns are carried along; one called ``name`` is replaced.

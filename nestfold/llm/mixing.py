@@ -37,7 +37,7 @@ def water_fill(sources: DataFrame, total: float, epochs: float) -> DataFrame:
         level = new
 
 
-def _nth(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> Column:
+def _nth(seed: int, id_col: str, text_col: str, source_col: str) -> Column:
     """A document's place in the seeded order; only equal rows share one."""
     return F.xxhash64(F.lit(seed), id_col, source_col, text_col)
 
@@ -52,19 +52,21 @@ def plan_mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """By source: ``source_size``, ``weight``, ``target``, ``whole`` and ``last``, which say what ``take`` takes.
+    """By source: ``source_size``, ``weight``, ``target``, ``whole``, ``last``, ``last_rows`` and ``last_taken``, which say what ``take`` takes.
 
     Sources in the order of their code points, null last, get the weights in turn; all targets are ``share``
     of all words. A source's repetition is its target by its size: every document is taken ``whole`` times,
     and once more those that come first in an order by seeded hash, up to ``last``, where the
     rest of the target is met as nearly as a document allows. So a source's words miss their
-    target by half a document at most, and no document is taken more than ``epochs`` times.
+    target by half a document at most, and no document is taken more than ``epochs`` times. Equal rows share
+    their place and are counted together; of those at the last place ``last_taken`` of ``last_rows`` are taken.
 
     Null and empty texts have size 0. A null source is a source. An empty table has no sources.
     """
-    rows = cut(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _nth(docs, seed, id_col, text_col, source_col).alias("nth")))
+    rows = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _nth(seed, id_col, text_col, source_col).alias("nth"))
+    rows = cut(rows.groupBy("source", "size", "nth").agg(F.count("*").alias("copies"), F.sum("size").alias("words")))
     by_source = F.col("source").asc_nulls_last()
-    sources = rows.groupBy("source").agg(F.sum("size").alias("size")).withColumn("one", F.lit(1))
+    sources = rows.groupBy("source").agg(F.sum("words").alias("size")).withColumn("one", F.lit(1))
     several = F.array(*(F.lit(float(w)) for w in weights))
     ranked = running_sum(sources, [by_source], "one", "rank")
     weight = F.element_at(several, (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
@@ -73,14 +75,17 @@ def plan_mix(
     filled = water_fill(ranked, total * share, epochs).withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "size")), F.lit(0)))
     filled = cut(filled.withColumn("rest", F.col("target") - F.col("whole") * F.col("size")))
 
-    # Once more, if half of the document or more lies below the rest of the target.
-    placed = running_sum(rows, [by_source, F.col("nth")], "size", "before")
+    # Once more, if half of the document or more lies below the rest of the target; of equal rows as many as do.
+    placed = running_sum(rows, [by_source, F.col("nth")], "words", "before")
     offsets = filled.select(F.col("source").alias("_source"), "start", "rest")
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("_source")))
-    more = placed.filter((F.col("size") > 0) & (F.col("before") - F.col("start") + F.col("size") / 2 <= F.col("rest")))
-    last = more.groupBy(F.col("source").alias("_source")).agg(F.max("nth").alias("last"))
+    placed = placed.filter("size > 0").join(offsets, F.col("source").eqNullSafe(F.col("_source")))
+    below = F.floor((F.col("rest") - (F.col("before") - F.col("start"))) / F.col("size") + F.lit(0.5))
+    more = placed.withColumn("taken", F.least(F.col("copies"), below)).filter("taken > 0")
+    last = more.groupBy(F.col("source").alias("_source")).agg(F.max(F.struct("nth", "copies", "taken")).alias("last"))
     out = filled.join(last, F.col("source").eqNullSafe(F.col("_source")), "left")
-    return cut(out.select("source", F.col("size").alias("source_size"), "weight", "target", "whole", "last"))
+    return cut(
+        out.select("source", F.col("size").alias("source_size"), "weight", "target", "whole", F.col("last.nth").alias("last"), F.col("last.copies").alias("last_rows"), F.col("last.taken").alias("last_taken"))
+    )
 
 
 def take(
@@ -88,17 +93,29 @@ def take(
 ) -> DataFrame:
     """``docs`` with a struct ``mix``: ``size`` in words, ``times`` it is taken, its source's ``source_size`` and ``target``.
 
-    Each row is told by itself and the plan, so repeated rows are taken alike and nothing but the plan, a
-    row for each source, is joined. A column called ``name`` is replaced; others are carried along.
+    Each row is told by itself and the plan, and nothing but the plan, a row for each source, is joined. Only where a
+    source's target ends among equal rows are these written and numbered. A column called ``name`` is
+    replaced; others are carried along.
     """
     docs = docs.drop(*(c for c in docs.columns if c.lower() == name.lower()))
-    there = {c: fresh(docs.columns, f"plan_{c}") for c in plan.columns}
-    more = F.coalesce(_nth(docs, seed, id_col, text_col, source_col) <= F.col(there["last"]), F.lit(False)).cast("long")
-    made = F.struct(
-        word_count(F.col(text_col)).alias("size"),
-        (F.col(there["whole"]) + more).alias("times"),
-        F.col(there["source_size"]).alias("source_size"),
-        F.col(there["target"]).alias("target"),
-    )
-    out = docs.join(plan.withColumnsRenamed(there), F.col(source_col).eqNullSafe(F.col(there["source"])), "left")
-    return out.select(*docs.columns, made.alias(name))
+    there = {c: fresh([*docs.columns, name], f"plan_{c}") for c in plan.columns}
+    of = lambda c: F.col(there[c])
+    nth = _nth(seed, id_col, text_col, source_col)
+    rows = docs.join(plan.withColumnsRenamed(there), F.col(source_col).eqNullSafe(of("source")), "left")
+
+    def taken(some: DataFrame, more: Column) -> DataFrame:
+        made = F.struct(
+            word_count(F.col(text_col)).alias("size"), (of("whole") + F.coalesce(more, F.lit(False)).cast("long")).alias("times"), of("source_size").alias("source_size"), of("target").alias("target")
+        )
+        return some.select(*docs.columns, made.alias(name))
+
+    if plan.filter("last_taken < last_rows").isEmpty():
+        return taken(rows, nth <= of("last"))
+    split = F.coalesce((nth == of("last")) & (of("last_taken") < of("last_rows")), F.lit(False))
+    number, before, first, again = (fresh([*docs.columns, name, *there.values()], c) for c in ("number", "before", "first", "again"))
+    equal = cut(rows.filter(split).withColumn(number, F.monotonically_increasing_id()))
+    placed = cut(running_sum(equal.select(of("source"), number, F.lit(1).alias("one")), [of("source").asc_nulls_last(), F.col(number)], "one", before))
+    firsts = placed.groupBy(of("source").alias(again)).agg(F.min(before).alias(first))
+    placed = placed.join(firsts, of("source").eqNullSafe(F.col(again))).select(F.col(number).alias(again), (F.col(before) - F.col(first)).alias(before))
+    equal = equal.join(placed, F.col(number) == F.col(again))
+    return taken(rows.filter(~split), nth <= of("last")).unionByName(taken(equal, F.col(before) < of("last_taken")))

@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from nestfold.llm.words import U64, binary, hashes_of, mix, seeds, shingles_of, words_of
+from nestfold.llm.words import U64, binary, fresh, hashes_of, mix, seeds, shingles_of, words_of
 from nestfold.operators.cluster import connected_components
-from nestfold.session import cut
+from nestfold.session import broadcast_if_small, cut
 
 ROWS = 4  # hashes of a band
 BANDS = 24  # at similarity 0.8 a pair shares no band with probability (1 - 0.8**4)**24 = 3e-6
@@ -67,7 +67,7 @@ def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, keys, sigs = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column("text").to_pylist():
                 found = shingles_of(hashes_of(words_of(text, lower=True)), size)
                 counts.append(len(found))
                 if not len(found):
@@ -80,8 +80,8 @@ def _sketch(size: int):
                     least = np.minimum(least, (found[k : k + 4096] * factors).min(1))
                 sigs.append((least >> U64(32)).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), binary(keys), binary(sigs)],
-                ["id", "n_shingles", "key", "sig"],
+                [batch.column("id"), batch.column("digest"), pa.array(counts, pa.int64()), binary(keys), binary(sigs)],
+                ["id", "digest", "n_shingles", "key", "sig"],
             )
 
     return run
@@ -187,9 +187,9 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 def _shingle_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles_of(hashes_of(words_of(t, lower=True)), size) for t in batch.column(1).to_pylist()]
+            sets = [shingles_of(hashes_of(words_of(t, lower=True)), size) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), binary([s.tobytes() for s in sets])],
+                [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), binary([s.tobytes() for s in sets])],
                 ["node", "n", "shingles"],
             )
 
@@ -205,31 +205,30 @@ def _compared(rows: DataFrame, percent: int, miss: float) -> DataFrame:
     return rows.mapInArrow(_compare(percent, miss), "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    size: int = 5,
-    percent: int = 80,
-    miss: float = 1e-6,
-) -> DataFrame:
-    """``(id, n_shingles, component_id, kept)``, one row for each row of ``docs``.
-
-    Two texts are linked when 100 * shared shingles >= ``percent`` * all their shingles; a component's
-    id is its smallest document id and that document is kept. Words are lower-cased in A-Z only.
-
-    Null and empty texts have no shingles and are linked with nothing. Fewer than ``size`` words are
-    one shingle. A null id gets no component and is kept. Rows that repeat an id each follow
-    their own text; equal rows get equal results. Other columns are not read.
-    """
+def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, miss: float) -> tuple[DataFrame, DataFrame]:
+    """``(id, digest, n_shingles, key)`` of each row, and ``(key, comp, component_id)`` of the sets that have copies or links:
+    the number of their component, and its smallest id. Sets are numbered by themselves, so different texts under
+    one id stay apart, and so do components with one smallest id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = cut(rows.mapInArrow(_sketch(size), "id long, n_shingles long, key binary, sig binary"))
+    rows = rows.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
+    sketched = cut(rows.mapInArrow(_sketch(size), "id long, digest binary, n_shingles long, key binary, sig binary"))
+
+    # A set is read again from the text of its smallest id; equal rows count once.
+    pairs = sketched.filter("key is not null and id is not null").groupBy("key", "id", "digest").agg(F.count("*").alias("n"))
+    lead = F.min(F.struct("id", "digest", "n")).alias("lead")
+    classes = pairs.groupBy("key").agg(lead, F.sum("n").alias("copies")).select("key", "copies", "lead.id", "lead.digest", (F.col("lead.n") > 1).alias("repeated"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    some_repeated = classes.agg(F.max("repeated")).first()[0]
+    signatures = sketched.select("id", "digest", "sig").join(classes.select("node", "id", "digest"), ["id", "digest"])
+    signatures = cut((signatures.dropDuplicates(["node"]) if some_repeated else signatures).select("node", "sig"))
+
+    def sets_of(needed: DataFrame) -> DataFrame:
+        """The full shingle sets of the needed nodes."""
+        texts = rows.join(classes.join(needed, "node").select("node", "id", "digest", "repeated"), ["id", "digest"])
+        if some_repeated:
+            texts = texts.filter("not repeated").unionByName(texts.filter("repeated").distinct())
+        return cut(texts.select("node", "text").mapInArrow(_shingle_sets(size), "node long, n long, shingles binary"))
 
-    classes = sketched.filter("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
-    classes = cut(classes)
-    signatures = cut(
-        sketched.select(F.col("id").alias("node"), "key", "sig").join(classes.select("node", "key"), ["node", "key"], "left_semi").dropDuplicates(["node", "key"]).select("node", "sig")
-    )
     bands = signatures.mapInArrow(_buckets, "bucket long, band int, node long")
     shared = bands.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     live = cut(bands.join(shared, "bucket"))
@@ -244,7 +243,7 @@ def near_duplicates(
     star = cut(signed.select("a", "b", "sig_a", "sig_b").mapInArrow(_survivors(percent, miss), "a long, b long"))
 
     needed = cut(star.select(F.col("a").alias("node")).union(star.select("b")).distinct())
-    sets = _sets(rows, needed, size)
+    sets = sets_of(needed)
     salted = star.join(star.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts")), "a")
     blank = [F.lit(None).cast("binary").alias("sig"), "shingles"]
     members = salted.join(sets.withColumnRenamed("node", "b"), "b").select(
@@ -264,7 +263,7 @@ def near_duplicates(
     held = cut(held.join(apart, "bucket", "left_semi"))
     if not held.isEmpty():
         needed = cut(held.select("node").distinct())
-        sets = _sets(rows, needed, size)
+        sets = sets_of(needed)
         largest = held.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("bulk"))
         held = held.join(sets.select("node", "n"), "node").join(largest, "bucket").withColumn("probe", F.col("comp") != F.col("bulk"))
         parts = held.groupBy("bucket").agg(
@@ -281,18 +280,60 @@ def near_duplicates(
         if not late.isEmpty():
             comps = cut(_components(links.unionByName(late)))
 
-    final = classes.join(comps, "node", "left").withColumn("component_id", F.coalesce("comp", "node"))
-    final = cut(final.filter("copies > 1 or component_id <> node").select("key", "component_id"))
-    out = sketched.select("id", "n_shingles", "key").join(final, "key", "left")
+    # A component has the smallest id of its sets.
+    named = classes.select("node", "id").join(comps, "node")
+    least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
+    named = cut(named.join(least, "comp").select("node", "comp", "component_id"))
+    final = classes.join(named, "node", "left").filter("copies > 1 or comp is not null")
+    return sketched, cut(final.select("key", F.coalesce("comp", "node").alias("comp"), F.coalesce("component_id", "id").alias("component_id")))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 5,
+    percent: int = 80,
+    miss: float = 1e-6,
+) -> DataFrame:
+    """``(id, n_shingles, component_id, kept)``, one row for each row of ``docs``.
+
+    Two texts are linked when 100 * shared shingles >= ``percent`` * all their shingles; a component's
+    id is its smallest document id and that document is kept. Words are lower-cased in A-Z only.
+
+    Null and empty texts have no shingles and are linked with nothing. Fewer than ``size`` words are
+    one shingle. A null id gets no component and is kept. Rows that repeat an id each follow
+    their own text; equal rows get equal results. Other columns are not read.
+    """
+    sketched, final = _classified(docs, id_col, text_col, size, percent, miss)
+    out = sketched.select("id", "n_shingles", "key").join(final.drop("comp"), "key", "left")
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
 
 
-def _sets(rows: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """The full shingle sets of the needed nodes."""
-    texts = rows.join(needed.withColumnRenamed("node", "id"), "id").select(F.col("id").alias("node"), "text")
-    return cut(texts.mapInArrow(_shingle_sets(size), "node long, n long, shingles binary"))
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component one row stays, with the smallest id.
+
+    Of different texts of a component under that id the one with the smallest md5 stays; of rows equal in id and text the
+    last in the order of their columns written as JSON. Rows with a null id, and texts without words, all stay.
+    """
+    sketched, final = _classified(docs, id_col, text_col, size, percent, miss)
+    rows = sketched.filter("id is not null").select("id", "digest", "key").join(final, "key")
+    rows = cut(rows.groupBy("comp", "id", "digest").agg(F.count("*").alias("n")))
+    stays = rows.groupBy("comp").agg(F.min(F.struct("id", "digest")).alias("stays"))
+    rows = rows.join(stays, "comp").withColumn("stays", F.struct("id", "digest") == F.col("stays"))
+    names = {c: fresh(docs.columns, f"near_{c}") for c in ("id", "digest")}
+    told = cut(rows.filter("not stays or n > 1").select(*(F.col(c).alias(n) for c, n in names.items()), "stays"))
+    marked = docs.withColumn(names["id"], F.col(id_col).cast("long")).withColumn(names["digest"], F.unhex(F.md5(F.col(text_col).cast("string").cast("binary"))))
+    keys = list(names.values())
+    left = marked.join(broadcast_if_small(told.select(*keys)), keys, "left_anti").select(*docs.columns)
+    again = told.filter("stays").select(*keys)
+    if again.isEmpty():
+        return left
+    whole = F.struct(*docs.columns)
+    one = marked.join(broadcast_if_small(again), keys, "left_semi").groupBy(*keys).agg(F.max_by(whole, F.to_json(whole)).alias("row"))
+    return left.unionByName(one.select("row.*"))
 
 
 def _components(links: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """Quality rules in DataFrame functions alone, with adaptive thresholds from mergeable quantile sketches.
 
-Counts are made inside each row. Their ratios go into one quantile sketch for each language and source; sketches
-merge into those of a language and of all, which the quantiles of small groups are blended with by their rows. The fences
-drawn from the quantiles are joined back to the counts.
+Counts are made inside each row. Their ratios go into one quantile sketch for each language and source: counts in
+buckets whose bounds grow by GAMMA, with the least and largest value of each. Sketches merge by adding, into those of a
+language and of all, which the quantiles of small groups are blended with by their rows. Nothing is drawn by chance, so that
+reruns agree. The fences drawn from the quantiles are joined back to the counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nestfold.llm.mixing import WORD
@@ -15,7 +18,8 @@ from nestfold.llm.pii import let
 from nestfold.session import cut
 
 WINDOW = 5
-SKETCH = 2048  # size of a sketch: a group of fewer rows is held exactly
+GAMMA = 1.002  # of a sketch's buckets: a quantile is off by a five-hundredth of itself at most, and exact in a bucket of one value
+_NOTHING = -(1 << 30)  # the bucket of zero
 
 # Ratio -> (what it is, how far beyond the quartiles in quartile ranges, the quantile that passes in any case, whether
 # small values are odd as well). Most texts repeat nothing and good ones a little, so that quartiles say nothing there
@@ -84,19 +88,31 @@ def thresholds(counted: DataFrame, least_rows: int = 100) -> DataFrame:
     than ``least_rows``, count n / ``least_rows`` and those of its language the rest; a language of
     fewer is blended so with all texts.
     """
-    ratios = counted.select("lang", "source", *(F.expr(f"cast({what} as double)").alias(name) for name, (what, *_) in RATIOS.items()))
-    sketched = cut(ratios.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(r, F.lit(SKETCH)).alias(r) for r in RATIOS)))
-
-    def quantiles(merged: DataFrame, keys: list[str], name: str) -> DataFrame:
-        def of(r: str) -> Column:
-            tail = RATIOS[r][2]
-            got = (F.kll_sketch_get_quantile_double(r, F.lit(q)) for q in (1 - tail, 0.25, 0.75, tail))
-            return F.array(*got).alias(r)
-
-        return merged.select(*keys, F.col("n").alias(f"n_{name}"), F.struct(*map(of, RATIOS)).alias(name))
+    values = F.array(*(F.struct(F.lit(name).alias("ratio"), F.expr(f"cast({what} as double)").alias("value")) for name, (what, *_) in RATIOS.items()))
+    ratios = counted.select("lang", "source", F.inline(values)).filter("value is not null")
+    bucket = F.when(F.col("value") <= 0, F.lit(_NOTHING)).otherwise(F.floor(F.ln("value") / math.log(GAMMA)).cast("int"))
+    ratios = ratios.groupBy("lang", "source", "ratio", bucket.alias("bucket"))
+    sketched = cut(ratios.agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")))
 
     def merge(keys: list[str]) -> DataFrame:
-        return sketched.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(r).alias(r) for r in RATIOS))
+        return sketched.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+    def quantiles(merged: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """``n_<name>`` and a struct ``name``: for each ratio the least passing, lower, upper and largest passing quantile."""
+        of_ratio = Window.partitionBy(*keys, "ratio")
+        merged = merged.withColumn("upto", F.sum("n").over(of_ratio.orderBy("bucket"))).withColumn("total", F.sum("n").over(of_ratio))
+        wanted = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for r, (_, _, tail, _) in RATIOS.items() for x in (r, (1 - tail, 0.25, 0.75, tail))))
+
+        def at(k: int) -> Column:
+            rank = F.greatest(F.lit(1), F.ceil(F.get(F.element_at(wanted, F.col("ratio")), F.lit(k)) * F.col("total")))
+            before = F.col("upto") - F.col("n")
+            inside = F.coalesce(F.try_divide(rank - before - 1, F.col("n") - 1), F.lit(0.0))
+            return F.max(F.when((before < rank) & (rank <= F.col("upto")), F.col("lo") + (F.col("hi") - F.col("lo")) * inside))
+
+        found = merged.groupBy(*keys, "ratio").agg(F.max("total").alias("n"), F.array(*map(at, range(4))).alias("at"))
+        of = lambda r: F.max(F.when(F.col("ratio") == r, F.col("at"))).alias(r)
+        found = found.groupBy(*keys).agg(F.max("n").alias(f"n_{name}"), *map(of, RATIOS))
+        return found.select(*keys, f"n_{name}", F.struct(*RATIOS).alias(name))
 
     def blend(r: str) -> Column:
         own, shared, overall = (F.col(name)[r] for name in ("own", "shared", "overall"))

@@ -113,12 +113,60 @@ def test_mix_meets_its_targets(spark):
     assert sorted(map(str, out)) != sorted(map(str, mixed(spark, rows, seed=18)))
 
 
+def test_targets_that_end_among_equal_rows(spark):
+    """Of equal rows as many are taken as the target asks for."""
+    rows = [(1, "w " * 10, "a")] * 100 + [(2, "v " * 7, "b")] * 90 + [(k, "u " * 3, "c") for k in range(10, 400)] + [(3, "t " * 5, None)] * 40
+    out = mixed(spark, rows)
+    assert len(out) == len(rows)
+    sizes, taken = Counter(), Counter()
+    for r in out:
+        sizes[r.source] += r.mix.size
+        taken[r.source] += r.mix.times * r.mix.size
+        assert r.mix.times <= 3
+    want = water_level(sizes, {"a": 5, "b": 2, "c": 1, None: 5}, sum(sizes.values()), 3)
+    longest = {"a": 10, "b": 7, "c": 3, None: 5}
+    assert all(abs(taken[s] - want[s]) <= longest[s] / 2 for s in sizes), (taken, want)
+    counts = lambda rows: Counter(map(str, rows))
+    assert counts(out) == counts(mixed(spark, rows))
+
+
 def test_mix_of_nothing_and_of_empty_texts(spark):
     assert mixed(spark, []) == []
     assert [r.mix.times * r.mix.size for r in mixed(spark, [(1, None, "a"), (2, "", None)])] == [0, 0]
     assert [(r.mix.times, r.mix.target) for r in mixed(spark, [(1, "one two", "a")])] == [(1, 2.0)]
 
 
+# The classifier's weights.
+
+
+def test_weights_equal_plain_updates(spark):
+    """Follow-the-regularised-leader, one weight at a time in dictionaries."""
+    rng = random.Random(5)
+    docs = [(k, " ".join(rng.choices(["Dobar", "los", "tekst", "123", "!!!", "kratak", "uvod"], k=rng.randrange(0, 30)))) for k in range(60)]
+    labels = [(k, rng.randrange(2)) for k in range(0, 70)] + [(3, None), (None, 1)]
+    found = quality.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), max_rows=50)
+    order = spark.createDataFrame(labels, "doc_id long, quality int").dropna().withColumn("h", F.xxhash64("doc_id")).orderBy("h").limit(50).collect()
+    texts, alpha, beta, l1, l2 = dict(docs), 1.0, 1.0, 0.02, 0.05
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda k: 0.0 if abs(z[k]) <= l1 else (math.copysign(l1, z[k]) - z[k]) / ((beta + math.sqrt(n[k])) / alpha + l2)
+    for _ in range(2):
+        for r in order:
+            if r.doc_id not in texts:
+                continue
+            slots, each = quality.grams(texts[r.doc_id])
+            x = {k: c * each for k, c in Counter(slots.tolist()).items()} | {1 << quality.BITS: 1.0}
+            w = {k: weight(k) for k in x}
+            miss = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items()))) - r.quality
+            for k, v in x.items():
+                g = miss * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * w[k]
+                n[k] += g * g
+    want = np.zeros((1 << quality.BITS) + 1)
+    for k in z:
+        want[k] = weight(k)
+    assert np.abs(want).max() > 0.1 and np.allclose(found, want, atol=1e-4)
+
+
 # Shards.
 
 
@@ -137,6 +185,27 @@ def test_differencing_is_tight_and_whole():
     assert abs(sum(s * (1 - 2 * k) for s, k in zip([8, 7, 6, 5, 4], found, strict=True))) == 2  # the classic example's difference
 
 
+def differenced(sizes, shards):
+    """Plain differencing over whole tuples: sums of the shards, largest spread first, the earlier of equal ones."""
+    heap = [([s] + [0] * (shards - 1), k) for k, s in enumerate(sizes)]
+    while len(heap) > 1:
+        heap.sort(key=lambda h: (h[0][-1] - h[0][0], h[1]))
+        (a, _), (b, nth) = heap.pop(0), heap.pop(0)
+        heap.append((sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True), nth))
+    return heap[0][0]
+
+
+@pytest.mark.parametrize("shards", [2, 3, 7, 16])
+def test_differencing_equals_plain_tuples(shards):
+    rng = random.Random(shards)
+    for n in (1, 2, 5, 30, 120):
+        sizes = [rng.choice([rng.randint(1, 1000), rng.randint(1, 10)]) for _ in range(n)]
+        sums = [0] * shards
+        for size, shard in zip(sizes, sharding.difference(sizes, shards), strict=True):
+            sums[shard] += size
+        assert sorted(sums, reverse=True) == differenced(sizes, shards)
+
+
 @pytest.mark.parametrize("resolution", [1 << 14, 64])
 def test_shards_keep_groups_and_balance_bytes(spark, resolution):
     rng = random.Random(2)

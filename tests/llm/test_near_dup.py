@@ -5,7 +5,7 @@ import random
 import pytest
 
 from nestfold.llm import near_dup
-from nestfold.llm.near_dup import least_matches, near_duplicates
+from nestfold.llm.near_dup import deduplicate, least_matches, near_duplicates
 
 COLUMNS = "doc_id long, text string, key string, node int, bucket long, kept boolean, comp string"
 
@@ -79,7 +79,53 @@ def test_nulls_empties_long_texts_and_repeats(spark):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in again.collect()) == [(1, 1, True)] * 3 + [(2, 1, False)]
 
 
+def words(name, n=40):
+    return " ".join(f"{name}{k}" for k in range(n))
+
+
+def test_different_texts_under_one_id(spark):
+    """Each row follows its own text; nothing is lost with a row that shares an id."""
+    a, b, c = words("a"), words("b"), words("c")
+    rows = [(1, a), (5, a), (5, b), (7, b), (9, c), (9, c), (8, b + " end")]
+    df = spark.createDataFrame([(i, t, "k", 1, 2, True, "c") for i, t in rows], COLUMNS)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(df).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True), (9, 9, True)]
+    left = deduplicate(df)
+    assert left.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, a), (5, b), (9, c)]
+
+
+def test_one_id_and_one_row_of_very_many(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"x{rng.randrange(10**6)}" for _ in range(20)) for _ in range(300)]
+    rows = [(4, t) for t in texts] + [(6, texts[0])] * 300 + [(3, texts[1].upper()), (2, texts[2] + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(df).collect()}
+    assert got == {(4, 4, True), (4, 3, False), (4, 2, False), (6, 4, False), (3, 3, True), (2, 2, True)}
+    left = deduplicate(df).collect()
+    assert sorted(r.doc_id for r in left) == [2, 3] + [4] * 298
+
+
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(10)
+    base = [f"a{k}" for k in range(60)]
+    rows = [(rng.randrange(40), varied(rng, base, rng.choice([0, 0, 1, 2, 30])) if rng.random() < 0.7 else rng.choice([None, "", "One two", "one TWO"])) for _ in range(120)]
+    rows += [(None, "one two"), (None, "one two"), (None, None)]
+    df = spark.createDataFrame([(*r, "s", k % 2) for k, r in enumerate(rows)], "doc_id long, text string, id string, near_id int")
+    left = [(r.doc_id, r.text) for r in deduplicate(df, size=2).collect()]
+    texts = sorted({t.lower() for _, t in rows if t}, key=str)
+    comp = by_all_pairs(list(enumerate(texts)), 2)
+    ids = {}
+    for i, t in rows:
+        if t and i is not None:
+            ids[comp[texts.index(t.lower())]] = min(i, ids.get(comp[texts.index(t.lower())], i))
+    bare = [r for r in rows if r[0] is None or not r[1]]
+    assert sorted((comp[texts.index(t.lower())], i) for i, t in left if t and i is not None) == sorted(ids.items())
+    assert sorted((r for r in left if r[0] is None or not r[1]), key=str) == sorted(bare, key=str)
+
+
 def test_empty_table(spark):
+    assert deduplicate(spark.createDataFrame([], "doc_id long, text string, x int")).collect() == []
     out = near_duplicates(spark.createDataFrame([], "doc_id long, text string"))
     assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"] and out.collect() == []
 

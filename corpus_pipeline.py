@@ -21,8 +21,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
     configure(spark)
-    gone = near_dup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(cut(gone), "doc_id", "left_anti").select(*docs.columns)
+    return near_dup.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

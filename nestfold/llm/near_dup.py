@@ -229,7 +229,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
             texts = texts.filter("not repeated").unionByName(texts.filter("repeated").distinct())
         return cut(texts.select("node", "text").mapInArrow(_shingle_sets(size), "node long, n long, shingles binary"))
 
-    bands = signatures.mapInArrow(_buckets, "bucket long, band int, node long")
+    bands = cut(signatures.mapInArrow(_buckets, "bucket long, band int, node long"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     live = cut(bands.join(shared, "bucket"))
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from nestfold import schema
 from nestfold.operators.state import cache_lookup, payload_of, split_hits, upsert_snapshot
-from nestfold.session import cut
+from nestfold.session import cut, work_folder
+from nestfold.sources.captured import file_system
 
 # Phrases that state a fact, first match wins from top to bottom (our own choice; replace freely).
 PETS_NO = ["bez ljubimaca", "ljubimci nisu dozvoljeni", "no pets"]
@@ -47,8 +50,8 @@ RED_FLAGS = {
     "high deposit": ["depozit dva", "depozit 2", "dva depozita", "depozit tri", "two months deposit", "deposit of two"],
     "long lease only": ["dugoročno", "na duži period", "long-term only", "long term only"],
 }
-LEASE_RE = r"minimum\s+([0-9]{1,3})\s*(?:mesec|month)"
-BILLS_RE = r"(?:računi|komunalije|bills)\D{0,12}([0-9]{2,4})"
+LEASE_RE = r"minimum\s+([0-9]+)\s*(?:mesec|month)"
+BILLS_RE = r"(?:računi|komunalije|bills)\D{0,12}([0-9]+(?:[.,][0-9]{3}(?![0-9]))*)"
 SURFACE_RE = r"([0-9]+(?:[.,][0-9]+)?)\s*(?:m2|m²|кв)"
 ADDRESS_RE = r"(?:📍|adresa:|address:)\s*([^\n.;]+)"
 
@@ -69,7 +72,8 @@ def _pets(low: Column) -> Column:
 
 
 def _number(low: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(low, pattern, 1), F.lit("")).try_cast("int")
+    """The whole number at the pattern's group; marks between thousands are left out."""
+    return F.nullif(F.translate(F.regexp_extract(low, pattern, 1), ".,", ""), F.lit("")).try_cast("int")
 
 
 def text_facts(c: Column) -> Column:
@@ -141,9 +145,43 @@ def per_row(call: Callable[[str], str]) -> EnrichFn:
     return run
 
 
-def answering(fn: EnrichFn, key: str, text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Whole rows with ``payload`` and ``error`` behind them. ``fn`` is called once for a batch, and in
-    this task no more after it said that its budget is exhausted."""
+class Stop:
+    """A stop that all tasks of a run see: a file in the shared folder, looked for before each batch.
+
+    Reached through Arrow's file systems; where the folder lies in another kind of store a stop is known
+    in its own task only.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _place(self) -> tuple[fs.FileSystem, str] | None:
+        try:
+            return file_system(self.path)
+        except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+            return None
+
+    def said(self) -> str | None:
+        place = self._place()
+        if place is None or place[0].get_file_info(place[1]).type == fs.FileType.NotFound:
+            return None
+        with place[0].open_input_stream(place[1]) as held:
+            return held.read().decode()
+
+    def say(self, why: str) -> None:
+        place = self._place()
+        if place is not None:
+            files, path = place
+            files.create_dir(path.rpartition("/")[0])
+            made = f"{path}.{uuid.uuid4().hex}"
+            with files.open_output_stream(made) as out:
+                out.write(why.encode())
+            files.move(made, path)
+
+
+def answering(fn: EnrichFn, key: str, text_col: str, stop: Stop | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Whole rows with ``payload`` and ``error`` behind them. ``fn`` is called once for a batch, and no more after it
+    said in any task that its budget is exhausted: another task ends the batch that it is at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent: str | None = None
@@ -151,6 +189,8 @@ def answering(fn: EnrichFn, key: str, text_col: str) -> Callable[[Iterator[pa.Re
             if not batch.num_rows:
                 continue
             rows = pd.DataFrame({"key": batch.column(key).to_pylist(), "text": batch.column(text_col).to_pylist()})
+            if spent is None and stop is not None:
+                spent = stop.said()
             got, error = None, spent
             if spent is None:
                 try:
@@ -158,6 +198,8 @@ def answering(fn: EnrichFn, key: str, text_col: str) -> Callable[[Iterator[pa.Re
                 except BudgetExhausted as e:
                     got, error = e.answered, str(e)
                     spent = error
+                    if stop is not None:
+                        stop.say(error)
                 except Exception as e:  # noqa: BLE001
                     error = str(e) or type(e).__name__
             said = {} if got is None else dict(zip(got["key"], got["payload"]))
@@ -201,7 +243,8 @@ def incremental_enrich(
         answered = tried.withColumn("payload", payload_of(fn(F.col(text_col)))).withColumn("error", F.lit(None).cast("string"))
     else:
         fields = [*tried.schema.fields, StructField("payload", StringType()), StructField("error", StringType())]
-        answered = cut(tried.mapInArrow(answering(fn, key, text_col), StructType(fields)))
+        stop = Stop(work_folder(df.sparkSession, "stop"))
+        answered = cut(tried.mapInArrow(answering(fn, key, text_col, stop), StructType(fields)))
     filled = answered.withColumn("extraction", F.from_json("payload", schema.EXTRACTION)).drop("payload", "error")
     rows = hits.unionByName(filled)
     failures = answered.filter("payload is null").select(key, "error")

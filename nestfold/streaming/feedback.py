@@ -19,6 +19,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from nestfold.operators.notify import mark_notified
 from nestfold.operators.state import click_dispatch, fresh_only
+from nestfold.streaming import outbox as outboxes
 
 
 def _start(df: DataFrame, path: str, checkpoint: str, mode: str, available_now: bool) -> StreamingQuery:
@@ -142,35 +143,28 @@ def favorites_of(changes: DataFrame) -> DataFrame:
     return last.filter("s.active").select("key", F.timestamp_micros("s.since").alias("since"))
 
 
-OUTBOX = "listing_key string, price_eur double, stage string, batch_id bigint"
+OUTBOX = "listing_key string, price_eur double, stage string"
 
 
 def read_outbox(spark: SparkSession, path: str) -> DataFrame:
     """What was pushed so far, by batch; empty before the first push."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    root.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(root)
-    return spark.read.schema(OUTBOX).parquet(path)
+    return outboxes.read_batches(spark, path, OUTBOX)
 
 
 def instant_stream(
     rows: DataFrame, notified: DataFrame, outbox: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Push rows never notified before, as ``batch_id=N`` directories of an outbox.
+    """Push rows never notified before into an outbox that shows whole batches only.
 
     ``rows`` has ``listing_key, price_eur, stage, seq`` and may repeat a key: the first of a batch
     is sent. ``notified`` is the snapshot as it was before the stream started. What the stream itself sent
     is one flag for each key in its state, so no batch reads an earlier one. A batch that
-    runs again starts from the same state and replaces its own directory: each row leaves once.
+    runs again starts from the same state and finds its manifest: each row leaves once.
     """
+    outboxes.register(rows.sparkSession)
     new = fresh_only(rows.select("listing_key", "price_eur", "stage", "seq"), notified)
-    first = new.groupBy("listing_key").applyInPandasWithState(
-        _first_sent, "listing_key string, price_eur double, stage string", "sent boolean", "append", "NoTimeout"
-    )
-
-    def push(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{outbox}/batch_id={batch_id}")
-
-    writer = first.writeStream.foreachBatch(push).option("checkpointLocation", checkpoint)
+    first = new.groupBy("listing_key").applyInPandasWithState(_first_sent, OUTBOX, "sent boolean", "append", "NoTimeout")
+    writer = first.writeStream.format("outbox").option("path", outbox).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -11,8 +11,9 @@ from nestfold.catalog import rigs
 from nestfold.catalog.rigs import AS_OF, AS_OF_SQL, DESTINATIONS, HISTORY, LISTINGS
 from nestfold.config import FilterConfig, MatchConfig
 from nestfold.functions import geo, parse, present, vocab
-from nestfold.operators import distance, metrics, notify, rank, rules, similarity, state
-from nestfold.sources import feed
+from nestfold.operators import distance, metrics, notify, rank, rules, similarity, snapshot, state
+from nestfold.session import work_folder
+from nestfold.sources import captured, feed
 
 CFG = FilterConfig()
 STRICT = FilterConfig(elevator_required=True, dishwasher_required=True)
@@ -534,6 +535,34 @@ SELECT listing_key, CASE WHEN b.listing_key IS NOT NULL THEN b.price_eur + 7 ELS
 FROM {HIST} s FULL JOIN (SELECT listing_key, price_eur FROM {L} l WHERE seq % 2 = 0) b USING (listing_key)"""
 
 
+def upsert_bucketed(spark, d):
+    """The same merge into a bucketed snapshot, which writes the batch's buckets only."""
+    snap = _history(spark, d).select("listing_key", F.col("old_price").alias("price_eur"), "first_seen_at", "last_seen_at", "notified_price")
+    rows = rigs.listings(spark, d).filter("seq % 2 = 0").select("listing_key", "price_eur", "seq")
+    batch = rows.unionByName(rows.withColumn("price_eur", F.col("price_eur") + 7).withColumn("seq", F.col("seq") + 1_000_000_000))
+    schema = "listing_key string, price_eur double, first_seen_at timestamp, last_seen_at timestamp, notified_price double"
+    stored = snapshot.BucketedSnapshot(spark, work_folder(spark, "snapshot"), "listing_key", schema, buckets=8)
+    stored.merge(snap.withColumn("seq", F.lit(0)), snap.columns[1:], "seq")
+    stored.merge(batch, ["price_eur"], "seq", AS_OF)
+    fmt = "yyyy-MM-dd"
+    return stored.read().select(
+        "listing_key", "price_eur", F.date_format("first_seen_at", fmt).alias("first_seen"),
+        F.date_format("last_seen_at", fmt).alias("last_seen"), F.round("notified_price", 4).alias("notified_price"),
+    )
+
+
+def upsert_codes(spark, d):
+    """Codes of known rows alone; what a batch has besides is not inserted."""
+    known = _history(spark, d).select("listing_key", "seq", F.lit(None).cast("bigint").alias("code"), "notified_price").filter("seq % 5 <> 0").drop("seq")
+    out = state.upsert_snapshot(known, rigs.listings(spark, d).filter("code is not null and seq % 2 = 0"), "listing_key", ["code"], "seq", insert=False)
+    return out.select("listing_key", "code", F.round("notified_price", 4).alias("notified_price"))
+
+
+CODES_UPSERT_SQL = f"""
+SELECT s.listing_key, l.code, round(s.notified_price, 4) AS notified_price
+FROM {HIST} s LEFT JOIN (SELECT listing_key, code FROM {L} q WHERE seq % 2 = 0) l USING (listing_key) WHERE s.seq % 5 <> 0"""
+
+
 def upsert_lineitem(spark, d):
     """In-batch repeats: the line items hold the same (order, line) key many times."""
     items = rigs.table(spark, d, "lineitem")
@@ -639,6 +668,25 @@ SELECT f.source, f.page, f.seq FROM f JOIN w ON f.source = w.source AND f.page =
 WHERE fresh AND stale = 0 AND past = 0 AND nth = w.page"""
 
 
+def captured_pages(spark, d):
+    """The same pages as files, read by a reader that stops; no source is capped."""
+    df = rigs.listings(spark, d)
+    page = (F.floor(F.col("seq") / 30.0) + 1).cast("int")
+    df = df.withColumn("page", page).filter("not (source = 'halooglasi' and page = 60)")
+    fresh = (F.col("seq") % 90) < (91 - F.col("page") - F.col("seq") % 4)
+    last = (F.col("source") == "nekretnine") & (F.col("page") == 12)
+    folder = f"{work_folder(spark, 'pages')}"
+    rows = df.select("source", "page", "seq", F.when(fresh, "yes").otherwise("no").alias("fresh"), last.alias("last"))
+    rows.repartition("source", "page").write.partitionBy("source", "page").json(folder)
+    captured.register(spark)
+    options = {"path": folder, "fresh_field": "fresh", "fresh_since": "yes", "last_field": "last"}
+    read = spark.read.format("captured_pages").options(**options).load()
+    return read.select("source", "page", F.get_json_object("payload", "$.seq").cast("bigint").alias("seq"))
+
+
+CAPTURED_SQL = STOP_SQL.replace("(source <> 'cityexpert' OR page <= 50) AND ", "")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -647,7 +695,7 @@ QUERIES = {
         monthly_call_count, rank_listings, digest_topk, digest_overflow, digest_rows, short_address, relative_time,
         build_urls, rejection_tally, rejection_shown, rejection_remainder, pick_canonical, grid_bucket_join,
         notify_reason, renotify_gate, fresh_only, mark_notified, upsert_snapshot, upsert_lineitem, state_stats,
-        funnel, dedup_stats, union_sources, source_health, page_early_stop,
+        funnel, dedup_stats, union_sources, source_health, page_early_stop, captured_pages, upsert_bucketed, upsert_codes,
     )
 }
 
@@ -692,4 +740,7 @@ ORACLE = {
     "union_sources": UNION_SQL,
     "source_health": HEALTH_SQL,
     "page_early_stop": STOP_SQL,
+    "captured_pages": CAPTURED_SQL,
+    "upsert_bucketed": UPSERT_SQL,
+    "upsert_codes": CODES_UPSERT_SQL,
 }

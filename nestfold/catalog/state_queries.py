@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nestfold.catalog import rigs
+from nestfold.catalog.listing_queries import TTL_SQL, _walk_cache
 from nestfold.catalog.rigs import AS_OF, CLICKS, LISTINGS, POSTS, TITLES, pick
-from nestfold.functions import codes, text
+from nestfold.functions import codes, geo, text
 from nestfold.operators import enrich, metrics, rules, state
 from nestfold.session import configure, work_folder
-from nestfold.streaming import feedback
+from nestfold.sources import captured
+from nestfold.streaming import feedback, walks
 
 L = f"({rigs.text_of(LISTINGS)})"
 FMT = "yyyy-MM-dd HH:mm:ss"
@@ -320,6 +322,38 @@ SELECT CAST(o_custkey AS STRING) AS listing_key, arg_min(o_totalprice, o_orderke
 WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0) GROUP BY 1"""
 
 
+def click_log(spark, d):
+    """The clicks as captured update files, read by a stream with offsets of its own."""
+    out = _work(spark)
+    span = F.floor(F.col("update_id") / 1000.0).cast("bigint") * 1000
+    rows = rigs.rig(spark, d, CLICKS).select("update_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"), "user_id", "data")
+    rows = rows.withColumn("updates", F.concat_ws("-", span, span + 999))
+    rows.repartition("updates").write.partitionBy("updates").json(f"{out}/log")
+    captured.register(spark)
+    clicks = spark.readStream.format("click_log").option("path", f"{out}/log").load()
+    query = feedback.click_stream(clicks, f"{out}/clicks", f"{out}/cp")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.parquet(f"{out}/clicks").select("update_id", "kind", "key")
+
+
+def walk_stream(spark, d):
+    """The walk cache as a stream's state: the stored walks arrive, then every listing asks."""
+    out = _work(spark)
+    stored = _walk_cache(spark, d).select("grid_key", F.col("fetched_at").alias("at"), F.lit(None).cast("bigint").alias("ask_id"), F.col("walk_min").cast("int").alias("walk_min"))
+    listed = rigs.listings(spark, d)
+    key = F.concat(geo.coord_cell(F.col("lat"), F.col("lng"), 3), F.lit("@office"))
+    asks = listed.select(key.alias("grid_key"), F.lit(AS_OF).cast("timestamp").alias("at"), F.col("seq").cast("bigint").alias("ask_id"), F.lit(None).cast("int").alias("walk_min"))
+    for batch in (stored, asks):
+        batch.write.mode("append").parquet(f"{out}/in")
+        rows = spark.readStream.schema(asks.schema).parquet(f"{out}/in")
+        _drain(walks.walk_stream(rows, f"{out}/looked", f"{out}/cp", True, 90))
+    looked = spark.read.parquet(f"{out}/looked").withColumnRenamed("ask_id", "seq")
+    return listed.select("seq", "listing_key").join(looked, "seq").select("listing_key", F.col("hit").cast("int").alias("hit"), "walk_min")
+
+
 def write_digest(spark, d):
     """A run per listing source as its date, one date written twice; what is read back."""
     out = f"{_work(spark)}/digest"
@@ -340,7 +374,7 @@ QUERIES = {
     for f in (
         click_dispatch, click_counts, first_seen_set, toggle_fold, skip_antijoin, skipped_profiles, hashtag_filter,
         post_filter, unseen_posts, channel_counts, cache_split, incremental_enrich, enrich_failures, enrich_budget, enrich_breaker, enrich_next_cache, text_facts,
-        vector_fingerprint, click_stream, skip_stream, favorite_stream, post_stream, instant_stream, write_digest,
+        vector_fingerprint, click_stream, click_log, skip_stream, favorite_stream, post_stream, instant_stream, walk_stream, write_digest,
     )
 }
 
@@ -364,6 +398,8 @@ ORACLE = {
     "text_facts": FACTS_TEXT_SQL,
     "vector_fingerprint": CODE_SQL,
     "click_stream": f"SELECT update_id, kind, key FROM ({CLICK_SQL}) c",
+    "click_log": f"SELECT update_id, kind, key FROM ({CLICK_SQL}) c",
+    "walk_stream": TTL_SQL,
     "skip_stream": f"SELECT DISTINCT key FROM ({CLICK_SQL}) c WHERE kind = 'skip'",
     "favorite_stream": TOGGLE_SQL,
     "post_stream": "SELECT DISTINCT source AS channel, doc_id % 300 AS message_id FROM documents",

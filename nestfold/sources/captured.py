@@ -96,7 +96,8 @@ class Updates(InputPartition):
 
 
 class ClickLogReader(DataSourceStreamReader):
-    """Options: ``path`` with files ``updates-<first>-<last>.json`` of JSON lines (update_id, ts, user_id, data), ``per_batch``.
+    """Options: ``path`` with files ``updates-<first>-<last>.json`` of JSON lines (update_id, ts, user_id, data), or
+    folders ``updates=<first>-<last>`` of such files, as Spark writes them.
 
     The offset is the next update number. A committed offset is written down as ``_confirmed``: updates before it
     were processed, as for the service that is told the largest number and one.
@@ -107,7 +108,7 @@ class ClickLogReader(DataSourceStreamReader):
 
     def _files(self) -> list[tuple[int, int, str]]:
         files, root = file_system(self.options["path"])
-        named = [(re.fullmatch(r"updates-(\d+)-(\d+)\.json", n), n) for n in _names(files, root)]
+        named = [(re.fullmatch(r"updates[-=](\d+)-(\d+)(?:\.json)?", n), n) for n in _names(files, root)]
         return sorted((int(m[1]), int(m[2]), f"{root}/{n}") for m, n in named if m)
 
     def initialOffset(self) -> dict:  # noqa: N802
@@ -121,10 +122,14 @@ class ClickLogReader(DataSourceStreamReader):
 
     def read(self, partition: Updates) -> Iterator[tuple]:
         files, _ = file_system(self.options["path"])
-        for line in _lines(files, partition.path):
-            row = json.loads(line)
-            if partition.start <= row["update_id"] < partition.end:
-                yield row["update_id"], row.get("ts"), row.get("user_id"), row.get("data")
+        paths = [partition.path]
+        if not partition.path.endswith(".json"):
+            paths = [f"{partition.path}/{n}" for n in _names(files, partition.path) if not n.startswith(("_", "."))]
+        for path in paths:
+            for line in _lines(files, path):
+                row = json.loads(line)
+                if partition.start <= row["update_id"] < partition.end:
+                    yield row["update_id"], row.get("ts"), row.get("user_id"), row.get("data")
 
     def commit(self, end: dict) -> None:
         files, root = file_system(self.options["path"])

@@ -357,26 +357,11 @@ def digest_overflow(spark, d):
 OVERFLOW_SQL = f"SELECT greatest(count(*) - 10, 0) AS overflow FROM ({RANKED_SQL}) r"
 
 
-def digest_rows(spark, d):
-    df = _plain_ranked(spark, d)
-    return df.select(
-        "listing_key",
-        present.short_address(F.col("address"), F.col("place_names")).alias("place"),
-        present.relative_time(F.col("created_at"), F.lit(AS_OF).cast("timestamp")).alias("posted"),
-        present.bills_flag(F.col("extraction.bills_estimate_eur")).alias("bills"),
-        "tier",
-    )
-
-
 SHORT_SQL = """concat_ws(', ', nullif(trim(split_part(address, ',', 1)), ''),
   CASE WHEN places <> '' AND split_part(places, ',', -1) IS DISTINCT FROM trim(split_part(address, ',', 1)) THEN split_part(places, ',', -1) END, 'Belgrade')"""
 HOURS = f"CAST(floor(epoch({AS_OF_SQL} - created_at) / 3600) AS BIGINT)"
 POSTED_SQL = f"""CASE WHEN {HOURS} < 1 THEN 'just now' WHEN {HOURS} < 24 THEN {HOURS} || ' h ago'
   WHEN {HOURS} < 48 THEN 'yesterday' ELSE CAST(floor({HOURS} / 24) AS BIGINT) || ' days ago' END"""
-ROWS_SQL = f"""
-SELECT listing_key, {SHORT_SQL} AS place, {POSTED_SQL} AS posted,
-  CASE WHEN seq % 9 <> 0 AND x_bills > 200 THEN x_bills END AS bills, tier FROM ({RANKED_SQL}) r"""
-
 
 def short_address(spark, d):
     return rigs.listings(spark, d).select(
@@ -692,7 +677,7 @@ QUERIES = {
     for f in (
         structural_filter, facts_filter, canonicalize_vocab, resolve_tristate, pets_state, haversine, grid_key,
         distance_matrix, distance_matrix_table, resolve_walk, resolve_walk_cache, commute_map, commute_gate, ttl_cache_lookup,
-        monthly_call_count, rank_listings, digest_topk, digest_overflow, digest_rows, short_address, relative_time,
+        monthly_call_count, rank_listings, digest_topk, digest_overflow, short_address, relative_time,
         build_urls, rejection_tally, rejection_shown, rejection_remainder, pick_canonical, grid_bucket_join,
         notify_reason, renotify_gate, fresh_only, mark_notified, upsert_snapshot, upsert_lineitem, state_stats,
         funnel, dedup_stats, union_sources, source_health, page_early_stop, captured_pages, upsert_bucketed, upsert_codes,
@@ -718,7 +703,6 @@ ORACLE = {
     "rank_listings": f"SELECT listing_key, tier, round(score, 6) AS score FROM ({RANKED_SQL}) r",
     "digest_topk": TOPK_SQL,
     "digest_overflow": OVERFLOW_SQL,
-    "digest_rows": ROWS_SQL,
     "short_address": f"SELECT listing_key, {SHORT_SQL} AS short_address FROM {L} l",
     "relative_time": f"SELECT listing_key, {POSTED_SQL} AS posted FROM {L} l",
     "build_urls": URLS_SQL,

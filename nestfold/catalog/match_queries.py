@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nestfold.catalog import rigs, state_queries
-from nestfold.catalog.listing_queries import _facts_sql, _history, _provider, _structural_sql, _walk_cache
-from nestfold.catalog.rigs import AS_OF, CODES_BASE, DESTINATIONS, LISTINGS, POSTS, pick
+from nestfold.catalog.listing_queries import (
+    _POINT, DEST_SQL, HIST, POSTED_SQL, RANKED_SQL, SHORT_SQL, WALKS_SQL, _facts_sql, _history, _plain_ranked, _provider, _structural_sql, _walk_cache,
+)
+from nestfold.catalog.rigs import AS_OF, AS_OF_SQL, CODES_BASE, DESTINATIONS, LISTINGS, POSTS, pick
 from nestfold.config import DigestConfig
 from nestfold.functions import codes
 from nestfold.operators import cluster, similarity
@@ -173,9 +175,9 @@ def _inputs(spark, d) -> digest.DigestInputs:
 
 
 def digest_gate(spark, d):
-    """Rejections of the rule and facts stages of the pipeline, facts taken from the text."""
+    """Rejections of all three stages of the pipeline, facts taken from the text."""
     gated = digest.gate_candidates(_inputs(spark, d), CFG, AS_OF)
-    return gated.rejected.filter("stage <> 'commute'").select("stage", "rule_id", "listing_key")
+    return gated.rejected.select("stage", "rule_id", "listing_key")
 
 
 # The two phrases of a listing's description, as facts.
@@ -199,13 +201,22 @@ def _over_text(sql: str) -> str:
     return sql.replace(f"seq % 9 <> 0 AS looked FROM {L} l0", f"true AS looked FROM ({_TEXT_LISTINGS}) l0")
 
 
+_WALK_CTES = WALKS_SQL.replace("WITH req AS", "req AS").replace(f"FROM {L} l CROSS JOIN", "FROM maybe l CROSS JOIN", 1)
+# Visible rows with their first failing rule; facts of those without one; walking times asked for by what the facts leave.
+_GATE_CTES = f"""
+v AS MATERIALIZED (SELECT listing_key, rule_id FROM ({_structural_sql(CFG.filters)}) s WHERE listing_key NOT IN ({state_queries.SKIPPED_SQL})),
+ f AS MATERIALIZED (SELECT q.* FROM ({_over_text(_facts_sql(False))}) q JOIN v USING (listing_key) WHERE v.rule_id IS NULL),
+ maybe AS MATERIALIZED (SELECT * FROM f WHERE verdict <> 'rejected'),
+ {_WALK_CTES},
+ legs AS MATERIALIZED (SELECT req.listing_key, t.dest, gates, walk_min FROM req JOIN known USING (grid_key) JOIN {DEST_SQL} ON req.dest = t.dest),
+ far AS MATERIALIZED (SELECT DISTINCT listing_key FROM legs WHERE gates AND (walk_min IS NULL OR walk_min > {CFG.filters.walk_min_max}))"""
 GATE_SQL = f"""
-WITH v AS (SELECT listing_key, rule_id FROM ({_structural_sql(CFG.filters)}) s WHERE listing_key NOT IN ({state_queries.SKIPPED_SQL})),
- f AS (SELECT listing_key, hard[1] AS why FROM ({_over_text(_facts_sql(False))}) q WHERE verdict = 'rejected')
+WITH {_GATE_CTES}
 SELECT 'structural' AS stage, rule_id, listing_key FROM v WHERE rule_id IS NOT NULL
 UNION ALL
-SELECT 'facts', CASE WHEN why LIKE 'pets%' THEN 'pets' WHEN why LIKE 'heating%' THEN 'heating' WHEN why LIKE 'furnishing%' THEN 'furnishing' ELSE 'lease' END, listing_key
-FROM v JOIN f USING (listing_key) WHERE rule_id IS NULL"""
+SELECT 'facts', CASE WHEN hard[1] LIKE 'pets%' THEN 'pets' WHEN hard[1] LIKE 'heating%' THEN 'heating' WHEN hard[1] LIKE 'furnishing%' THEN 'furnishing' ELSE 'lease' END, listing_key
+FROM f WHERE verdict = 'rejected'
+UNION ALL SELECT 'commute', 'commute', listing_key FROM far"""
 
 
 def run_digest(spark, d):
@@ -219,6 +230,71 @@ def run_digest_instant(spark, d):
     return cards.select("section", "listing_key", "price_eur", "tier", "place", "unconfirmed")
 
 
+_NUM = lambda x: f"CAST({x!r} AS DOUBLE)"
+_CLOSE = " + ".join(
+    f"{_NUM(float(x.score_weight))} * coalesce(greatest(CAST(0 AS DOUBLE), 1 - (SELECT max(walk_min) FROM legs WHERE legs.listing_key = r.listing_key AND dest = '{x.name}') / {_NUM(float(CFG.score.walk_cap_min))}), 0)"
+    for x in DESTINATIONS
+)
+_AGE = f"(epoch_us({AS_OF_SQL}) - epoch_us(created_at)) / CAST(3.6e9 AS DOUBLE)"
+# Random titles match only when equal, codes only those of copies.
+_DIGEST_CTES = f"""
+WITH RECURSIVE {_GATE_CTES},
+ hidden AS MATERIALIZED (SELECT CASE WHEN seq % 7 <> 0 THEN code END AS code, title, price_eur FROM {L} l WHERE listing_key IN ({state_queries.SKIPPED_SQL})),
+ kept AS MATERIALIZED (
+  SELECT *, CASE verdict WHEN 'passed' THEN 'match' ELSE 'near_miss' END AS stage FROM maybe c
+  WHERE listing_key NOT IN (SELECT listing_key FROM far) AND NOT EXISTS (SELECT 1 FROM hidden h WHERE h.title = c.title
+    AND (abs(c.price_eur - h.price_eur) / greatest(c.price_eur, h.price_eur) <= 0.05 OR bit_count(xor(c.code, h.code)) <= 6))),
+ {_PAIRS.replace(f"FROM {L} l)", "FROM kept WHERE stage = 'match')")},
+ walk AS (SELECT x, y FROM pairs UNION SELECT w.x, p.y FROM walk w JOIN pairs p ON p.x = w.y),
+ labels AS (SELECT r.seq, least(r.seq, coalesce(min(w.y), r.seq)) AS cluster_id FROM rows r LEFT JOIN walk w ON w.x = r.seq GROUP BY r.seq),
+ standing AS (SELECT arg_min(k.seq, struct_pack(a := list_position(['4zida','cityexpert','nekretnine','halooglasi'], source), b := -epoch_us(created_at), c := k.seq)) AS seq
+              FROM kept k JOIN labels USING (seq) GROUP BY cluster_id),
+ reasoned AS MATERIALIZED (
+  SELECT k.*, hh.notified_at, CASE WHEN notified_at IS NULL THEN 'new'
+    WHEN notified_price IS NOT NULL AND price_eur < notified_price * (1 - 0.05::DOUBLE) THEN 'price_drop'
+    WHEN notified_price IS NOT NULL AND price_eur <> notified_price THEN 'price_change'
+    WHEN k.stage = 'match' AND notified_stage = 'near_miss' THEN 'upgraded'
+    WHEN {AS_OF_SQL} - notified_at > INTERVAL 14 DAY THEN 'relisted' END AS notify_reason
+  FROM kept k LEFT JOIN (SELECT listing_key, notified_at, notified_price, notified_stage FROM {HIST} q) hh USING (listing_key)
+  WHERE k.stage = 'near_miss' OR k.seq IN (SELECT seq FROM standing)),
+ ranked AS MATERIALIZED (
+  SELECT *, CASE WHEN coalesce(pets_allowed, false) OR coalesce(x_pets = 'yes', false) THEN 1 ELSE 0 END AS tier,
+    {_CLOSE} + {_NUM(float(CFG.score.surface_weight))} * least(CAST(1 AS DOUBLE), m2 / {_NUM(float(CFG.score.surface_cap_m2))})
+    + {_NUM(float(CFG.score.freshness_weight))} * greatest(CAST(0 AS DOUBLE), 1 - {_AGE} / {_NUM(CFG.filters.freshness_days * 24.0)})
+    + {_NUM(float(CFG.score.elevator_weight))} * CASE WHEN elevator THEN CAST(1 AS DOUBLE) ELSE 0 END AS score
+  FROM reasoned r)"""
+_SAID = lambda n: f"(p1 = {n} OR p2 = {n})"
+DIGEST_SQL = _DIGEST_CTES + f""",
+ numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY stage ORDER BY tier DESC, score DESC, seq) AS INT) AS rank FROM ranked WHERE notify_reason IS NOT NULL)
+SELECT stage AS section, rank, listing_key,
+  CASE notify_reason WHEN 'price_drop' THEN 'price drop' WHEN 'price_change' THEN 'price changed' WHEN 'upgraded' THEN 'upgraded from near-miss' WHEN 'relisted' THEN 're-surfaced' END AS badge,
+  price_eur, rooms, m2, tier, round(score, 6) AS score, CASE WHEN pets_allowed THEN 'yes' ELSE coalesce(x_pets, 'unknown') END AS pets, {SHORT_SQL} AS place, {POSTED_SQL} AS posted,
+  CASE WHEN p1 = 5 OR (p1 <> 8 AND p2 = 5) THEN 250 END AS bills, coalesce(x_heat, heating_type) AS heating, coalesce(dishwasher, false) OR {_SAID(2)} AS dishwasher,
+  elevator, floor, total_floors, is_agency, CASE WHEN {_SAID(6)} THEN 'students only' ELSE '' END AS red_flags, CAST(NULL AS VARCHAR) AS summary,
+  array_to_string(soft, '; ') AS unconfirmed, 'https://www.google.com/maps?q=' || {_POINT} AS map_url
+FROM numbered WHERE rank <= CASE stage WHEN 'match' THEN {CFG.top_matches} ELSE {CFG.top_near} END"""
+INSTANT_DIGEST_SQL = _DIGEST_CTES + f"""
+SELECT stage AS section, listing_key, price_eur, tier, {SHORT_SQL} AS place, array_to_string(soft, '; ') AS unconfirmed FROM ranked WHERE notified_at IS NULL"""
+
+
+def digest_rows(spark, d):
+    """Card data of the structural survivors, through the pipeline's own columns."""
+    df = _plain_ranked(spark, d).withColumn("stage", F.when(F.col("seq") % 5 > 0, "match").otherwise("near_miss"))
+    df = df.withColumn("notify_reason", F.element_at(F.array(*map(F.lit, ["new", *digest.BADGES])), (F.col("seq") % 5 + 1).cast("int"))).withColumn("soft", F.array(F.col("source"), F.lit("x")))
+    return digest.digest_rows(df.withColumn("score", F.round("score", 6)), CFG, AS_OF).drop("score", "red_flags", "summary")
+
+
+DIGEST_ROWS_SQL = f"""
+WITH r AS (SELECT *, CASE WHEN seq % 5 > 0 THEN 'match' ELSE 'near_miss' END AS stage, seq % 9 <> 0 AS looked FROM ({RANKED_SQL}) q),
+ n AS (SELECT *, CAST(row_number() OVER (PARTITION BY stage ORDER BY tier DESC, round(score, 6) DESC, seq) AS INT) AS rank FROM r)
+SELECT stage AS section, rank, listing_key, (['price drop', 'price changed', 'upgraded from near-miss', 're-surfaced'])[seq % 5] AS badge, price_eur, rooms, m2, tier,
+  CASE WHEN pets_allowed THEN 'yes' WHEN looked THEN x_pets WHEN pets_allowed = false THEN 'no' ELSE 'unknown' END AS pets, {SHORT_SQL} AS place, {POSTED_SQL} AS posted,
+  CASE WHEN looked AND x_bills > 200 THEN x_bills END AS bills, coalesce(CASE WHEN looked THEN nullif(x_heat, '') END, heating_type) AS heating,
+  coalesce(dishwasher, false) OR coalesce(looked AND x_dish, false) AS dishwasher, elevator, floor, total_floors, is_agency, source || '; x' AS unconfirmed,
+  'https://www.google.com/maps?q=' || {_POINT} AS map_url
+FROM n WHERE rank <= CASE stage WHEN 'match' THEN {CFG.top_matches} ELSE {CFG.top_near} END"""
+
+
 def _channel(spark, d) -> channel.ChannelOutputs:
     posts = rigs.rig(spark, d, POSTS)
     known = _codes(spark, d)
@@ -258,7 +334,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hamming_join, post_dup_antijoin, connected_components, fuzzy_title_join, same_flat_edges, cluster_flats,
-        skipped_dup_antijoin, digest_gate, run_digest, run_digest_instant, run_channel, run_channel_counts,
+        skipped_dup_antijoin, digest_gate, digest_rows, run_digest, run_digest_instant, run_channel, run_channel_counts,
     )
 }
 
@@ -271,6 +347,9 @@ ORACLE = {
     "cluster_flats": CLUSTER_SQL,
     "skipped_dup_antijoin": SKIPPED_DUP_SQL,
     "digest_gate": GATE_SQL,
+    "digest_rows": DIGEST_ROWS_SQL,
+    "run_digest": DIGEST_SQL,
+    "run_digest_instant": INSTANT_DIGEST_SQL,
     "run_channel": CHANNEL_SQL,
     "run_channel_counts": CHANNEL_COUNTS_SQL,
 }

@@ -3,16 +3,17 @@
 One lazy plan up to the two places where outside answers must be kept exactly once
 (facts from text, walking times) and the cluster labels; those are materialised, everything else is
 fused by the optimizer. Cheap rules come before text work, text work before distances, and
-only rows that survive are matched with each other.
+only rows that survive are matched with each other. Texts and links leave once the facts are known, and the
+run's counters are observed on the tables that it writes anyway.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from nestfold.config import Destination, DigestConfig
@@ -28,6 +29,9 @@ LISTING_STATE = [
     "place_names", "image_url", "is_agency", "created_at",
 ]
 
+# Not needed for matching, ranking or cards once the facts are known.
+WIDE = ["description", "desc_hash", "url", "image_url"]
+
 BADGES = {
     "price_drop": "price drop",
     "price_change": "price changed",
@@ -80,12 +84,18 @@ class Gated:
     extraction_cache: DataFrame
     walk_cache: DataFrame
     failures: DataFrame
+    counts: dict[str, int] = field(default_factory=dict)  # rejected rows by stage
+    arrived: dict[str, int] = field(default_factory=dict)  # listings by source
 
 
-def gate_candidates(inputs: DigestInputs, cfg: DigestConfig, as_of: datetime, budget: int | None = None) -> Gated:
-    """Hidden rows out, structural rules, facts from text, facts rules, walking times, gate."""
-    visible = state.skip_antijoin(inputs.listings, inputs.skipped)
+def gate_candidates(inputs: DigestInputs, cfg: DigestConfig, as_of: datetime, budget: int | None = None, narrow: bool = False) -> Gated:
+    """Hidden rows out, structural rules, facts from text, facts rules, walking times, gate. ``narrow`` leaves texts
+    and links behind once the facts are known."""
+    arrived, counts = Observation(), [Observation() for _ in range(3)]
+    seen = inputs.listings.observe(arrived, *(F.count_if(F.col("source") == s).alias(s) for s in inputs.sources))
+    visible = state.skip_antijoin(seen, inputs.skipped)
     ruled = rules.structural_filter(visible, cfg.filters, as_of)
+    ruled = ruled.observe(counts[0], F.count_if(F.col("rule_id").isNotNull()).alias("structural"))
     dropped = ruled.filter("rule_id is not null").select(
         "listing_key", "seq", F.lit("structural").alias("stage"), F.lit(0).alias("stage_no"), "rule_id", F.col("reject_reason").alias("reason")
     )
@@ -106,7 +116,8 @@ def gate_candidates(inputs: DigestInputs, cfg: DigestConfig, as_of: datetime, bu
         budget,
         as_column=inputs.enrich_is_column,
     )
-    judged = cut(rules.facts_filter(rows, cfg.filters))
+    judged = rules.facts_filter(rows, cfg.filters).drop(*(WIDE if narrow else []))
+    judged = cut(judged.observe(counts[1], F.count_if(F.col("verdict") == "rejected").alias("facts")))
     no = judged.filter("verdict = 'rejected'").select(
         "listing_key", "seq", F.lit("facts").alias("stage"), F.lit(1).alias("stage_no"), F.col("fact_rule").alias("rule_id"), F.element_at("hard", 1).alias("reason")
     )
@@ -120,7 +131,8 @@ def gate_candidates(inputs: DigestInputs, cfg: DigestConfig, as_of: datetime, bu
         maybe = maybe.join(distance.commute_map(walks), "listing_key", "left")
     else:
         maybe = maybe.withColumn("commute", F.lit(None).cast("map<string,int>"))
-    gated = cut(rules.commute_gate(maybe, gating, cfg.filters.walk_min_max))
+    gated = rules.commute_gate(maybe, gating, cfg.filters.walk_min_max)
+    gated = cut(gated.observe(counts[2], F.count_if(F.col("gate_reason").isNotNull()).alias("commute")))
     far = gated.filter("gate_reason is not null").select(
         "listing_key", "seq", F.lit("commute").alias("stage"), F.when(F.col("verdict") == "passed", 2).otherwise(3).alias("stage_no"), F.lit("commute").alias("rule_id"), F.col("gate_reason").alias("reason")
     )
@@ -133,6 +145,8 @@ def gate_candidates(inputs: DigestInputs, cfg: DigestConfig, as_of: datetime, bu
         extraction_cache,
         walk_cache,
         failures,
+        {k: v for o in counts for k, v in o.get.items()},
+        arrived.get,
     )
 
 
@@ -148,7 +162,7 @@ def run_digest(
     rows never sent before)."""
     before = inputs.snapshot
     seen = state.upsert_snapshot(before, inputs.listings, "listing_key", LISTING_STATE, "seq", as_of)
-    gated = gate_candidates(inputs, cfg, as_of, budget)
+    gated = gate_candidates(inputs, cfg, as_of, budget, narrow=True)
 
     # Hidden rows with what this batch says of them; only hidden keys are merged for it.
     profiles = state.upsert_snapshot(
@@ -172,9 +186,9 @@ def run_digest(
     chosen = notify.renotify_gate(reasoned, mode, force)
     if mode == "instant":
         chosen = state.fresh_only(chosen, before)
-    ranked = cut(
-        rank.rank_listings(chosen, inputs.destinations, cfg.filters.freshness_days, as_of, cfg.score)
-    )
+    sent = Observation()
+    ranked = rank.rank_listings(chosen, inputs.destinations, cfg.filters.freshness_days, as_of, cfg.score)
+    ranked = cut(ranked.observe(sent, *(F.count_if(F.col("stage") == s).alias(s) for s in ("match", "near_miss"))))
     # In instant mode every canonical match is stamped, as its 14 days start anew; near misses
     # only when they were sent.
     stamps = ranked if mode == "digest" else canonical.select("listing_key", "price_eur", "stage").unionByName(
@@ -185,20 +199,18 @@ def run_digest(
     # The row of each cluster that stands for it, with its reason.
     standing = reasoned.filter("stage = 'match'").select("seq", F.lit(True).alias("is_canonical"), "notify_reason")
     marked = clustered.select("seq", "cluster_id", "code").join(standing, "seq", "left")
-    shown = F.when(F.col("stage") == "match", cfg.top_matches).otherwise(cfg.top_near)
+    counted = {f"rejected_{k}": n for k, n in gated.counts.items()} | sent.get
+    shown = {"match": cfg.top_matches, "near_miss": cfg.top_near}
+    frame = inputs.listings.sparkSession.createDataFrame
     return DigestOutputs(
         cards=digest_rows(ranked, cfg, as_of, mode),
         rejected=rejected,
         rejected_tally=tally,
         rejected_shown=first_rejected,
-        funnel=metrics.funnel(
-            rejected.select(F.concat(F.lit("rejected_"), "stage").alias("stage")).unionByName(
-                ranked.select("stage")
-            )
-        ),
-        health=feed.source_health(inputs.listings, list(inputs.sources), inputs.source_errors),
+        funnel=frame([(k, n) for k, n in counted.items() if n], "stage string, n bigint"),
+        health=feed.counted_health(frame(list(gated.arrived.items()), "source string, n bigint"), list(inputs.sources), inputs.source_errors),
         dedup=metrics.dedup_stats(marked),
-        overflow=ranked.groupBy(F.col("stage").alias("section")).agg(F.greatest(F.count("*") - F.first(shown), F.lit(0)).alias("overflow")),
+        overflow=frame([(k, max(0, sent.get[k] - n)) for k, n in shown.items() if sent.get[k]], "section string, overflow bigint"),
         clustered=clustered,
         snapshot=notify.mark_notified(
             state.upsert_snapshot(seen, gated.candidates.filter("code is not null"), "listing_key", ["code"], "seq", insert=False),

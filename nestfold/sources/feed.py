@@ -71,12 +71,15 @@ def union_sources(frames: dict[str, DataFrame], seq: str) -> DataFrame:
 
 def source_health(rows: DataFrame, sources: list[str], errors: dict[str, str] | None = None) -> DataFrame:
     """Row count and error of every expected source, also of those that sent nothing."""
-    spark = rows.sparkSession
+    return counted_health(rows.groupBy("source").agg(F.count("*").alias("n")), sources, errors)
+
+
+def counted_health(counts: DataFrame, sources: list[str], errors: dict[str, str] | None = None) -> DataFrame:
+    """``source_health`` from counts ``(source, n)`` that are known already."""
     errors = errors or {}
-    expected = spark.createDataFrame(
+    expected = counts.sparkSession.createDataFrame(
         [(s, errors.get(s)) for s in sources], "source string, error string"
     )
-    counts = rows.groupBy("source").agg(F.count("*").alias("n"))
     return expected.join(counts, "source", "left").select(
         "source", F.coalesce("n", F.lit(0)).alias("n"), "error"
     )

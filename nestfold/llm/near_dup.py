@@ -224,7 +224,8 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
 
     def sets_of(needed: DataFrame) -> DataFrame:
         """The full shingle sets of the needed nodes."""
-        texts = rows.join(classes.join(needed, "node").select("node", "id", "digest", "repeated"), ["id", "digest"])
+        wanted = cut(classes.join(needed, "node").select("node", "id", "digest", "repeated"))  # Spark broadcasts it by its size, or shuffles
+        texts = rows.join(wanted, ["id", "digest"])
         if some_repeated:
             texts = texts.filter("not repeated").unionByName(texts.filter("repeated").distinct())
         return cut(texts.select("node", "text").mapInArrow(_shingle_sets(size), "node long, n long, shingles binary"))

@@ -1,7 +1,8 @@
 """WARC archives with revisit resolution.
 
 Headers alone are shuffled by payload digest to find each payload's original; the archives then hold every
-payload once, and revisit records that refer to it. They are written by Spark's text writer (a record is
+payload once, and revisit records that refer to it. Pages are staged by the task that read them, and written out group by
+group of staged parts, with that group's revisits, a counted number, at hand: payloads are never shuffled. The archives are written by Spark's text writer (a record is
 a value, the blank lines between records its line separator), gzipped, and so survive lost executors and
 lie wherever Spark can write. A reader follows the content lengths, so payloads may hold anything.
 """
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nestfold.session import work_folder
+from nestfold.session import BROADCAST_ROWS, work_folder
 
 LEAST_BYTES = 100  # shorter payloads are kept as they are
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -32,14 +33,21 @@ def _headers(*fields: tuple[str, Column]) -> Column:
 
 
 def write_archives(
-    pages: DataFrame, folder: str, date: str = "2026-01-01T00:00:00Z", least: int = LEAST_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+    pages: DataFrame,
+    folder: str,
+    date: str = "2026-01-01T00:00:00Z",
+    least: int = LEAST_BYTES,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    most: int = BROADCAST_ROWS,
 ) -> None:
     """One record for each row of ``pages``: the first of equal payloads is a response, the others revisit it.
 
     Equal payloads of at least ``least`` bytes have their response at the smallest id (a null id counts as the
     largest; of rows that share the id, one). Null html is an empty payload. A null url or id
     leaves its header out; characters that can't stand in a header are percent-encoded. Other
-    columns are not read.
+    columns are not read. ``most`` revisits go to the tasks at a time.
     """
     session = pages.sparkSession
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
@@ -47,7 +55,8 @@ def write_archives(
     rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), html.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("bytes"), F.sha2(F.col("payload").cast("binary"), 256).alias("digest"), F.monotonically_increasing_id().alias("nth"))
     staged = work_folder(session, "pages")
-    rows.write.option("compression", "zstd").parquet(staged)  # the numbers of rows must not change any more
+    rows = rows.withColumn("part", F.shiftright("nth", 33).cast("int"))  # the task that staged it: each writes one folder
+    rows.write.option("compression", "zstd").partitionBy("part").parquet(staged)  # the numbers of rows must not change any more
     rows = session.read.schema(rows.schema).parquet(staged)
 
     long = rows.filter(F.col("bytes") >= least).select("digest", "id", "nth", "url")
@@ -55,8 +64,10 @@ def write_archives(
     shared = long.groupBy("digest").agg(first, F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     revisits = long.join(shared, "digest").filter("nth <> first.nth").select("nth", F.col("first.nth").alias("first_nth"), F.col("first.url").alias("first_url"))
     kept = work_folder(session, "revisits")
+    revisits = revisits.withColumn("part", F.shiftright("nth", 33).cast("int"))
     revisits.write.parquet(kept)
     revisits = session.read.schema(revisits.schema).parquet(kept)
+    counts = revisits.groupBy("part").agg(F.count("*").alias("n")).collect()  # two numbers for each staging task
 
     record_id = lambda nth, digest: _record_id(F.concat_ws(":", nth.cast("string"), digest))
     again = F.col("first_nth").isNotNull()
@@ -72,13 +83,27 @@ def write_archives(
         ("WARC-Profile", F.when(again, F.lit(PROFILE))),
         ("WARC-Refers-To", F.when(again, record_id(F.col("first_nth"), F.col("digest")))),
         ("WARC-Refers-To-Target-URI", F.when(again, F.col("first_url"))),
+        ("WARC-Refers-To-Date", F.when(again, F.lit(date))),
         ("Content-Type", F.lit("application/http; msgtype=response")),
         ("Content-Length", F.octet_length(block)),
     )
     record = F.concat(F.lit("WARC/1.1\r\n"), head, F.lit(_END), block)
-    # Spark broadcasts the revisits by the size of their table, or shuffles.
-    records = rows.join(revisits, "nth", "left").select(record.alias("value"))
-    records.write.option("lineSep", _END).option("compression", "gzip").text(folder)
+    for first_part, last_part in part_groups({r["part"]: r["n"] for r in counts}, most):
+        here = F.col("part").between(first_part, last_part)
+        some = F.broadcast(revisits.filter(here).drop("part"))  # at most ``most`` rows, or those of one staging task
+        records = rows.filter(here).join(some, "nth", "left").select(record.alias("value"))
+        records.write.mode("append").option("lineSep", _END).option("compression", "gzip").text(folder)
+
+
+def part_groups(counts: dict[int, int], most: int) -> list[tuple[int, int]]:
+    """Ranges of parts, the last one open, with at most ``most`` revisits each where a part has no more."""
+    groups, first, size = [], 0, 0
+    for part, n in sorted(counts.items()):
+        if size and size + n > most:
+            groups.append((first, part - 1))
+            first, size = part, 0
+        size += n
+    return [*groups, (first, (1 << 31) - 1)]
 
 
 _RECORD = "record_id string, record_type string, page_id long, url string, date string, header_digest string, refers_to_id string, payload binary"

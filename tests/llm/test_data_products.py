@@ -25,14 +25,15 @@ PAGES = [
 ]
 
 
-def archived(spark, rows):
+def archived(spark, rows, **options):
     folder = work_folder(spark, "warc")
-    warc.write_archives(spark.createDataFrame([(*r, 1, "d") for r in rows], "page_id long, url string, html string, nth int, digest string"), folder)
+    warc.write_archives(spark.createDataFrame([(*r, 1, "d") for r in rows], "page_id long, url string, html string, nth int, digest string"), folder, **options)
     return warc.read_archives(spark, folder)
 
 
-def test_archives_come_back_whole(spark):
-    records = archived(spark, PAGES)
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_archives_come_back_whole(spark, most):
+    records = archived(spark, PAGES, most=most)
     got = sorted(map(tuple, warc.resolve_revisits(spark, records).collect()), key=str)
     first = {"é" * 50: 11, PAGES[-2][2]: 14, INNER: 3}
     want, seen = [], False
@@ -50,6 +51,30 @@ def test_archives_come_back_whole(spark):
     assert records.select("record_id").distinct().count() == len(PAGES)
 
 
+def test_groups_of_parts():
+    assert warc.part_groups({}, 5) == [(0, 2**31 - 1)]
+    assert warc.part_groups({0: 3, 4: 2, 5: 1, 9: 20, 10: 1}, 5) == [(0, 4), (5, 8), (9, 9), (10, 2**31 - 1)]
+
+
+def test_no_payload_is_shuffled(spark, monkeypatch):
+    """With automatic broadcasting switched off: no exchange of any plan holds payloads."""
+    kind = type(spark.range(1))
+    plans, write = [], kind.write
+    monkeypatch.setattr(kind, "write", property(lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write.fget(df)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(k, f"u{k}", ("same " * 40) if k % 3 else f"own {k} " * 30) for k in range(60)]
+        records = archived(spark, rows, most=7)
+        assert records.filter("record_type = 'revisit'").count() == 39 and records.count() == 60
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) >= 4
+    for plan in plans:
+        for at, line in enumerate(plan.splitlines()):
+            if "Exchange" in line and "BroadcastExchange" not in line:
+                assert "payload" not in "".join(plan.splitlines()[at : at + 2]), plan
+
+
 def test_no_pages_no_records(spark):
     assert warc.resolve_revisits(spark, archived(spark, [])).collect() == []
 

@@ -69,13 +69,15 @@ SELECT x AS code, min(seen) AS component_id FROM walk GROUP BY 1"""
 
 # --- titles and clusters ---------------------------------------------------------------------
 
-# Every listing's title whole, or without its last 4 or 10 characters, at rising prices; copies differ in
-# it. What is left of a title is one matched block, so a ratio is twice the shorter length by both.
-_CUTS = [0, 4, 10]
+# Every listing's title whole, without its last 4 or 10 characters, or with another one at place 13 or 21, at rising
+# prices; copies differ in it. What two variants share are blocks that keep their places, so a ratio is twice
+# the shorter length, less the changed places in it, by both lengths.
+_CHANGED = [0, 0, 13, 0, 21, 13, 0]
+_CUTS = [0, 4, 0, 10, 0, 0, 0]
+_NTH = lambda values: f"CAST({pick('seq % 7', [str(v) for v in values])} AS INT)"
 TITLE_VARIANTS = f"""
-SELECT seq, substr(title, 1, length(title) - {pick('seq % 3', [str(c) for c in _CUTS]).replace("'", '')}) AS title,
-  price_eur * (1 + seq % 3 * 0.02) AS price_eur
-FROM ({LISTINGS}) l"""
+SELECT seq, base, place, CASE WHEN place > 0 THEN substr(base, 1, place - 1) || 'Z' || substr(base, place + 1) ELSE substr(base, 1, length(base) - cut) END AS title, price_eur
+FROM (SELECT seq, title AS base, {_NTH(_CHANGED)} AS place, {_NTH(_CUTS)} AS cut, price_eur * (1 + seq % 3 * 0.02) AS price_eur FROM ({LISTINGS}) l) t"""
 
 
 def fuzzy_title_join(spark, d):
@@ -85,15 +87,16 @@ def fuzzy_title_join(spark, d):
     )
 
 
-# Titles begin with 24 random characters: only those with the same beginning are near.
+# Titles are random: only variants of one are near.
+_MATCHED = "(least(length(a.title), length(b.title)) - CASE WHEN a.place = b.place THEN 0 ELSE CAST(a.place BETWEEN 1 AND length(b.title) AS INT) + CAST(b.place BETWEEN 1 AND length(a.title) AS INT) END)"
 FUZZY_SQL = f"""
-WITH e AS (SELECT lower(title) AS title, price_eur AS price, min(seq) AS first, max(seq) AS last, substr(lower(title), 1, 19) AS head
+WITH e AS (SELECT lower(title) AS title, price_eur AS price, min(seq) AS first, max(seq) AS last, any_value(base) AS base, any_value(place) AS place
            FROM ({rigs.text_of(TITLE_VARIANTS)}) t WHERE price_eur > 0 GROUP BY 1, 2)
 SELECT a.title AS later_title, round(a.price, 4) AS later_price, b.title AS earlier_title, round(b.price, 4) AS earlier_price,
-  round(2.0 * least(length(a.title), length(b.title)) / (length(a.title) + length(b.title)), 6) AS ratio
-FROM e a JOIN e b ON a.head = b.head AND (a.title, a.price) <> (b.title, b.price) AND a.last > b.first
+  round(2.0 * {_MATCHED} / (length(a.title) + length(b.title)), 6) AS ratio
+FROM e a JOIN e b ON a.base = b.base AND (a.title, a.price) <> (b.title, b.price) AND a.last > b.first
 WHERE abs(a.price - b.price) / greatest(a.price, b.price) <= 0.05
-  AND 2.0 * least(length(a.title), length(b.title)) / (length(a.title) + length(b.title)) >= 0.8"""
+  AND 2.0 * {_MATCHED} / (length(a.title) + length(b.title)) >= 0.8"""
 
 
 def _flats(spark, d) -> DataFrame:

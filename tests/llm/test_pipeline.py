@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -41,7 +42,7 @@ def by_hash(doc_id):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_near_duplicates(docs, got):
@@ -59,12 +60,20 @@ def test_personal_data(docs, got):
         assert r.spans.startswith(",".join(f"{k}:{a}:{b}" for k, found in spans.items() for a, b in found))
 
 
-def test_archives_equal_sql(spark, got):
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_queries_equal_sql(got, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
-    want = con.execute(ORACLE["op3_warc_revisits"])
+    for table in ("pages", "conversations", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    want = con.execute(ORACLE[name])
     columns = [c[0] for c in want.description]
-    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r[c] for c in columns)) for r in got("op3_warc_revisits"))
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r[c] for c in columns)) for r in got(name))
+
+
+def test_token_counts(docs, got):
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = [(i, len(t.encode()), len(model.encode(t)), len(model.encode(t)) > 4096) for i, t in zip(docs.doc_id.tolist(), docs.text, strict=True)]
+    assert sorted(map(tuple, got("op11_whole_token_counts"))) == sorted(want)
 
 
 def test_mixture(docs, got):
@@ -195,6 +204,14 @@ def test_stages_one_by_one(spark, docs):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == want
 
 
+def test_near_dedup_of_repeated_ids_and_rows(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (7, b), (9, c), (9, c)]
+    now = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)], read(spark, "documents").schema)
+    left = corpus_pipeline.near_dedup(spark, now, SF).collect()
+    assert sorted((r.doc_id, r.text, r.source) for r in left) == [(1, a, "s0"), (5, b, "s2"), (9, c, "s5")]
+
+
 def test_stages_on_an_empty_table(spark):
     now = read(spark, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -213,22 +213,32 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
     rows = rows.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     sketched = cut(rows.mapInArrow(_sketch(size), "id long, digest binary, n_shingles long, key binary, sig binary"))
 
-    # A set is read again from the text of its smallest id; equal rows count once.
-    pairs = sketched.filter("key is not null and id is not null").groupBy("key", "id", "digest").agg(F.count("*").alias("n"))
-    lead = F.min(F.struct("id", "digest", "n")).alias("lead")
-    classes = pairs.groupBy("key").agg(lead, F.sum("n").alias("copies")).select("key", "copies", "lead.id", "lead.digest", (F.col("lead.n") > 1).alias("repeated"))
-    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    some_repeated = classes.agg(F.max("repeated")).first()[0]
-    signatures = sketched.select("id", "digest", "sig").join(classes.select("node", "id", "digest"), ["id", "digest"])
-    signatures = cut((signatures.dropDuplicates(["node"]) if some_repeated else signatures).select("node", "sig"))
+    # A set is read again from the text of its smallest id, told by the id alone; only where an id has several rows by
+    # the text's digest too, and equal rows count once.
+    named = sketched.filter("key is not null and id is not null")
+    lead = F.min(F.struct("id", "digest")).alias("lead")
+    classes = named.groupBy("key").agg(lead, F.count("*").alias("copies")).select("key", "copies", "lead.id", "lead.digest")
+    again = cut(sketched.filter("id is not null").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"))
+    some_again = not again.isEmpty()
+    shared = F.lit(False)
+    if some_again:
+        classes, shared = classes.join(again.withColumn("again", F.lit(True)), "id", "left"), F.coalesce("again", F.lit(False))
+    classes = cut(classes.select("key", "copies", "id", "digest", shared.alias("shared"), F.monotonically_increasing_id().alias("node")))
+
+    def of_classes(held: DataFrame, wanted: DataFrame, cols: list[str]) -> DataFrame:
+        """``(node, cols)`` of the rows of ``held`` that the wanted classes are led by."""
+        one = held.join(cut(wanted.filter("not shared").select("node", "id")), "id").select("node", *cols)
+        if not some_again:
+            return one
+        several = held.join(cut(wanted.filter("shared").select("node", "id", "digest")), ["id", "digest"])
+        return one.unionByName(several.select("node", *cols).distinct())
+
+    signatures = cut(of_classes(sketched, classes, ["sig"]))
 
     def sets_of(needed: DataFrame) -> DataFrame:
         """The full shingle sets of the needed nodes."""
-        wanted = cut(classes.join(needed, "node").select("node", "id", "digest", "repeated"))  # Spark broadcasts it by its size, or shuffles
-        texts = rows.join(wanted, ["id", "digest"])
-        if some_repeated:
-            texts = texts.filter("not repeated").unionByName(texts.filter("repeated").distinct())
-        return cut(texts.select("node", "text").mapInArrow(_shingle_sets(size), "node long, n long, shingles binary"))
+        texts = of_classes(rows, classes.join(needed, "node"), ["text"])
+        return cut(texts.mapInArrow(_shingle_sets(size), "node long, n long, shingles binary"))
 
     bands = cut(signatures.mapInArrow(_buckets, "bucket long, band int, node long"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")

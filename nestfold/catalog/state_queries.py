@@ -222,9 +222,12 @@ def enrich_failures(spark, d):
     return failures
 
 
+# The listings' phrases, and two of flags and of numbers with more digits.
+FACT_PHRASES = [*rigs.PHRASES, "Depozit dva meseca, dugoročno.", "Minimum 120 meseci, bills 12000."]
+
+
 def text_facts(spark, d):
-    phrases = rigs.PHRASES
-    docs = rigs.rig(spark, d, f"SELECT doc_id, {pick('doc_id % 10', phrases)} || ' ' || text AS t FROM {{documents}}")
+    docs = rigs.rig(spark, d, f"SELECT doc_id, {pick(f'doc_id % {len(FACT_PHRASES)}', FACT_PHRASES)} || ' ' || text AS t FROM {{documents}}")
     f = enrich.text_facts(F.col("t"))
     return docs.withColumn("f", f).select(
         "doc_id", "f.pets_allowed", F.col("f.dishwasher").cast("int").alias("dishwasher"), "f.heating_type_confirmed", "f.furnishing_confirmed",
@@ -232,16 +235,20 @@ def text_facts(spark, d):
     )
 
 
-def _by_ten(values: list) -> str:
-    return pick("doc_id % 10", values)
+_PHRASE = f"doc_id % {len(FACT_PHRASES)}"
+
+
+def _by_phrase(values: list) -> str:
+    return pick(_PHRASE, values)
 
 
 FACTS_TEXT_SQL = f"""
-SELECT doc_id, {_by_ten(['no', 'yes', 'unknown', 'unknown', 'unknown', 'unknown', 'unknown', 'yes', 'unknown', 'unknown'])} AS pets_allowed,
-  CASE WHEN doc_id % 10 = 2 THEN 1 END AS dishwasher, {_by_ten([None, None, None, 'centralno', 'etazno'])} AS heating_type_confirmed,
-  {_by_ten([None, None, None, 'furnished', 'semi-furnished', None, 'unfurnished'])} AS furnishing_confirmed,
-  CASE WHEN doc_id % 10 = 5 THEN 18 END AS max_lease_months, CASE doc_id % 10 WHEN 5 THEN 250 WHEN 8 THEN 90 END AS bills_estimate_eur,
-  {_by_ten(['unknown'] * 7 + ['owner', 'agency', 'unknown'])} AS agency_or_owner, CASE WHEN doc_id % 10 = 6 THEN 'students only' ELSE '' END AS red_flags
+SELECT doc_id, {_by_phrase(['no', 'yes', 'unknown', 'unknown', 'unknown', 'unknown', 'unknown', 'yes', *['unknown'] * 4])} AS pets_allowed,
+  CASE WHEN {_PHRASE} = 2 THEN 1 END AS dishwasher, {_by_phrase([None, None, None, 'centralno', 'etazno'])} AS heating_type_confirmed,
+  {_by_phrase([None, None, None, 'furnished', 'semi-furnished', None, 'unfurnished'])} AS furnishing_confirmed,
+  CASE {_PHRASE} WHEN 5 THEN 18 WHEN 11 THEN 120 END AS max_lease_months, CASE {_PHRASE} WHEN 5 THEN 250 WHEN 8 THEN 90 WHEN 11 THEN 12000 END AS bills_estimate_eur,
+  {_by_phrase(['unknown'] * 7 + ['owner', 'agency'] + ['unknown'] * 3)} AS agency_or_owner,
+  CASE {_PHRASE} WHEN 6 THEN 'students only' WHEN 10 THEN 'high deposit,long lease only' ELSE '' END AS red_flags
 FROM documents"""
 
 

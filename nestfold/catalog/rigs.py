@@ -123,7 +123,7 @@ FROM {events}
 CODES_BASE = "SELECT vec_id, embedding, label FROM {embeddings}"
 
 TITLES = """
-SELECT doc_id AS seq, CAST(doc_id AS STRING) AS listing_key, split_part(text, chr(10), 1) AS title,
+SELECT doc_id AS seq, CAST(doc_id AS STRING) AS listing_key,
   CAST(500 + 10 * (n_chars % 50) AS DOUBLE) AS price_eur, text AS description, source, lang
 FROM {documents}
 """

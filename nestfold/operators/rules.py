@@ -44,6 +44,9 @@ def _say(*parts) -> Column:
     )
 
 
+# Messages of the rules below are fixed values: reports show them to users who know them.
+
+
 def structural_rules(cfg: FilterConfig, as_of: datetime) -> list[Rule]:
     """Price, rooms, surface, floor, lift, age and photo, cheapest knowledge first."""
     c = F.col

@@ -14,7 +14,7 @@ from nestfold.config import DigestConfig
 from nestfold.functions import codes
 from nestfold.operators import cluster, similarity
 from nestfold.plans import channel, digest
-from nestfold.session import cut
+from nestfold.session import cut, work_folder
 
 L = f"({rigs.text_of(LISTINGS)})"
 
@@ -280,6 +280,25 @@ INSTANT_DIGEST_SQL = _DIGEST_CTES + f"""
 SELECT stage AS section, listing_key, price_eur, tier, {SHORT_SQL} AS place, array_to_string(soft, '; ') AS unconfirmed FROM ranked WHERE notified_at IS NULL"""
 
 
+def stored_digest(spark, d):
+    """The snapshot that a run leaves for the next one: stamps of what was sent over those of the history."""
+    folder = work_folder(spark, "state")
+    digest.store_run(digest.run_digest(_inputs(spark, d), CFG, AS_OF), folder, "2026-06-01")
+    left = digest.stored_state(spark, folder)["snapshot"]
+    return left.select(
+        "listing_key", F.date_format("notified_at", "yyyy-MM-dd HH:mm:ss").alias("notified_at"), F.round("notified_price", 4).alias("notified_price"),
+        "notified_stage", F.date_format("last_seen_at", "yyyy-MM-dd").alias("last_seen"),
+    )
+
+
+STORED_SQL = _DIGEST_CTES + f""",
+ sent AS (SELECT listing_key, price_eur, stage FROM ranked WHERE notify_reason IS NOT NULL)
+SELECT l.listing_key, CASE WHEN s.listing_key IS NOT NULL THEN '2026-06-01 12:00:00' ELSE strftime(hh.notified_at, '%Y-%m-%d %H:%M:%S') END AS notified_at,
+  round(CASE WHEN s.listing_key IS NOT NULL THEN s.price_eur ELSE hh.notified_price END, 4) AS notified_price,
+  CASE WHEN s.listing_key IS NOT NULL THEN s.stage ELSE hh.notified_stage END AS notified_stage, '2026-06-01' AS last_seen
+FROM {L} l LEFT JOIN {HIST} hh USING (listing_key) LEFT JOIN sent s USING (listing_key)"""
+
+
 def digest_rows(spark, d):
     """Card data of the structural survivors, through the pipeline's own columns."""
     df = _plain_ranked(spark, d).withColumn("stage", F.when(F.col("seq") % 5 > 0, "match").otherwise("near_miss"))
@@ -337,7 +356,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hamming_join, post_dup_antijoin, connected_components, fuzzy_title_join, same_flat_edges, cluster_flats,
-        skipped_dup_antijoin, digest_gate, digest_rows, run_digest, run_digest_instant, run_channel, run_channel_counts,
+        skipped_dup_antijoin, digest_gate, digest_rows, run_digest, run_digest_instant, stored_digest, run_channel, run_channel_counts,
     )
 }
 
@@ -353,6 +372,7 @@ ORACLE = {
     "digest_rows": DIGEST_ROWS_SQL,
     "run_digest": DIGEST_SQL,
     "run_digest_instant": INSTANT_DIGEST_SQL,
+    "stored_digest": STORED_SQL,
     "run_channel": CHANNEL_SQL,
     "run_channel_counts": CHANNEL_COUNTS_SQL,
 }

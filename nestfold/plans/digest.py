@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from nestfold.config import Destination, DigestConfig
@@ -223,6 +223,26 @@ def run_digest(
     )
 
 
+STORED = ("snapshot", "extraction_cache", "walk_cache")
+
+
+def store_run(outputs: DigestOutputs, folder: str, run_date: str) -> None:
+    """Write what the next run starts from, each table as a new version, and the cards of this date.
+
+    The cards are written last: a run that dies before leaves them out, and its date is written again by the next try.
+    """
+    spark = outputs.cards.sparkSession
+    for name in STORED:
+        state.VersionedTable(spark, f"{folder}/{name}").write(getattr(outputs, name))
+    state.write_digest(outputs.cards, f"{folder}/cards", run_date)
+
+
+def stored_state(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The newest version of each table that ``store_run`` wrote; nothing before the first run."""
+    found = {name: state.VersionedTable(spark, f"{folder}/{name}").read() for name in STORED}
+    return {name: df for name, df in found.items() if df is not None}
+
+
 def digest_rows(ranked: DataFrame, cfg: DigestConfig, as_of: datetime, mode: str = "digest") -> DataFrame:
     """Card data of the sections: rank, badge, facts. Digest sections are top-k lists (the
     limit is the feature); an instant push sends every fresh row and has no rank."""

@@ -150,3 +150,20 @@ def test_second_run_calls_nothing_and_sends_nothing(spark, run):
     resent = {r.listing_key for r in second.cards.filter("section = 'match'").collect()}
     first = {r.listing_key for r in out.cards.filter("section = 'match'").collect()}
     assert not resent & first
+
+
+def test_a_run_starts_from_what_the_last_one_stored(spark, run, tmp_path):
+    """What was sent isn't sent again; a version that a writer left unfinished is not read."""
+    inputs, cfg, out = run
+    folder = str(tmp_path / "state")
+    assert digest.stored_state(spark, folder) == {}
+    digest.store_run(out, folder, "2026-06-01")
+    held = digest.stored_state(spark, folder)
+    assert held.keys() == set(digest.STORED) and held["snapshot"].count() == out.snapshot.count()
+    (tmp_path / "state" / "snapshot" / "version=9").mkdir()
+    again = replace(inputs, **digest.stored_state(spark, folder))
+    second = digest.run_digest(again, cfg, AS_OF)
+    assert out.cards.count() > 0 and second.cards.count() == 0
+    digest.store_run(second, folder, "2026-06-02")
+    dates = {r.run_date for r in spark.read.parquet(f"{folder}/cards").selectExpr("cast(run_date as string) as run_date").distinct().collect()}
+    assert dates == {"2026-06-01"} and digest.stored_state(spark, folder)["snapshot"].count() == held["snapshot"].count()

@@ -11,7 +11,6 @@ each other. What holds for a text holds for its copies: texts are known by their
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nestfold.llm.membership import bitmap, inside
 from nestfold.llm.words import U64, binary, fresh, hashes_of, mix, words_of
 from nestfold.session import broadcast_if_small, cut
 
@@ -27,7 +27,6 @@ from nestfold.session import broadcast_if_small, cut
 SEEDS = ("11111", "1101011", "1110011", "110010101")
 PERCENT = 80  # of the words of the overlap must agree
 LEAST = 8  # words of a test that must lie in the overlap, or all of a shorter one
-BITS = (22, 26)  # the bitmap has 2**22 to 2**26 bits, about 500 for each window of the tests
 
 HITS = "array<struct<item_id:bigint,start:int,words:int,agreeing:int>>"
 
@@ -81,30 +80,15 @@ def _test_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-def _bitmap(windows: DataFrame) -> np.ndarray:
-    """One bit for the highest bits of each hash; at most 2**26, made in tasks and fetched as words of 64."""
-    n = windows.count()
-    bits = min(max(math.ceil(math.log2(n + 1)) + 9, BITS[0]), BITS[1])
-    slot = F.shiftrightunsigned("hash", 64 - bits)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) % 64 as int))")
-    made = windows.select(F.shiftright(slot, 6).cast("int").alias("word"), bit.alias("bit"))
-    found = made.groupBy("word").agg(F.bit_or("bit").alias("held")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[found["word"].to_numpy()] = found["held"].to_numpy()
-    return out.view(U64)
-
-
 def _text_windows(shared, seeds: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        shift = U64(64 - (len(held).bit_length() - 1) - 6)
         for batch in batches:
             keys, hashes, lists = [], [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 h = hashes_of(words_of(text, lower=True))
                 mine, places = _windows(h, seeds)
-                slot = mine >> shift
-                some = (held[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1) > 0
+                some = inside(held, mine)
                 found, at = _grouped(mine[some], places[some])
                 keys += [key] * len(found)
                 hashes.append(found)
@@ -233,7 +217,7 @@ def find_contamination(
     windows = cut(items.select("nth", "text").mapInArrow(_test_windows, "hash long, nth long, size int, places array<int>"))
     sizes = [r.size for r in windows.select("size").distinct().collect()]  # at most the length of the first seed
     seeds = tuple(s for n in sizes for s in _seeds_of(n))
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(windows))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(windows))
     mine = texts.mapInArrow(_text_windows(shared, seeds), "hash long, key string, at array<int>")
     # Equal texts hit alike: one of each is laid over the tests.
     hits = cut(mine.join(broadcast_if_small(windows), "hash").select("key", "nth", "at", "places").distinct())

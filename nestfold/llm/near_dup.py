@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
+from nestfold.llm.membership import bitmap, inside
 from nestfold.llm.words import U64, binary, fresh, hashes_of, mix, seeds, shingles_of, words_of
 from nestfold.operators.cluster import connected_components
 from nestfold.session import broadcast_if_small, cut
@@ -184,12 +185,16 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _shingle_sets(size: int):
+def _shingle_sets(size: int, wanted):
+    """Sets of the texts whose hash may be wanted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles_of(hashes_of(words_of(t, lower=True)), size) for t in batch.column("text").to_pylist()]
+            at = pa.array(np.flatnonzero(inside(wanted.value, batch.column("hash").to_numpy().view(U64))))
+            texts = batch.column("text").take(at).to_pylist()
+            sets = [shingles_of(hashes_of(words_of(t, lower=True)), size) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), binary([s.tobytes() for s in sets])],
+                [batch.column("node").take(at), pa.array([len(s) for s in sets], pa.int64()), binary([s.tobytes() for s in sets])],
                 ["node", "n", "shingles"],
             )
 
@@ -213,32 +218,25 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
     rows = rows.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     sketched = cut(rows.mapInArrow(_sketch(size), "id long, digest binary, n_shingles long, key binary, sig binary"))
 
-    # A set is read again from the text of its smallest id, told by the id alone; only where an id has several rows by
-    # the text's digest too, and equal rows count once.
+    # A class is numbered by its smallest id. Where an id has several rows, rows are numbered first, equal ones alike.
     named = sketched.filter("key is not null and id is not null")
-    lead = F.min(F.struct("id", "digest")).alias("lead")
-    classes = named.groupBy("key").agg(lead, F.count("*").alias("copies")).select("key", "copies", "lead.id", "lead.digest")
-    again = cut(sketched.filter("id is not null").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"))
-    some_again = not again.isEmpty()
-    shared = F.lit(False)
-    if some_again:
-        classes, shared = classes.join(again.withColumn("again", F.lit(True)), "id", "left"), F.coalesce("again", F.lit(False))
-    classes = cut(classes.select("key", "copies", "id", "digest", shared.alias("shared"), F.monotonically_increasing_id().alias("node")))
-
-    def of_classes(held: DataFrame, wanted: DataFrame, cols: list[str]) -> DataFrame:
-        """``(node, cols)`` of the rows of ``held`` that the wanted classes are led by."""
-        one = held.join(cut(wanted.filter("not shared").select("node", "id")), "id").select("node", *cols)
-        if not some_again:
-            return one
-        several = held.join(cut(wanted.filter("shared").select("node", "id", "digest")), ["id", "digest"])
-        return one.unionByName(several.select("node", *cols).distinct())
-
-    signatures = cut(of_classes(sketched, classes, ["sig"]))
+    numbers = _numbers(sketched)
+    numbered = named.withColumn("node", F.col("id")) if numbers is None else named.join(numbers, ["id", "digest"])
+    lead = F.min(F.struct("id", "digest", "node")).alias("lead")
+    classes = cut(numbered.groupBy("key").agg(lead, F.count("*").alias("copies")).select("key", "copies", "lead.id", "lead.node"))
+    signatures = numbered.join(classes.select("node"), "node", "left_semi").select("node", "sig")
+    signatures = cut(signatures if numbers is None else signatures.distinct())
+    spark = docs.sparkSession
 
     def sets_of(needed: DataFrame) -> DataFrame:
-        """The full shingle sets of the needed nodes."""
-        texts = of_classes(rows, classes.join(needed, "node"), ["text"])
-        return cut(texts.mapInArrow(_shingle_sets(size), "node long, n long, shingles binary"))
+        """The full shingle sets of the needed nodes, and of some others: a bitmap of the needed ones goes to the texts,
+        which are neither shuffled nor joined where ids are unique."""
+        wanted = spark.sparkContext.broadcast(bitmap(needed.select(F.xxhash64("node").alias("hash"))))
+        texts = rows.filter("id is not null").withColumn("node", F.col("id"))
+        if numbers is not None:
+            texts = rows.join(numbers.join(needed, "node", "left_semi"), ["id", "digest"]).select("node", "text").distinct()
+        hashed = texts.select("node", F.xxhash64("node").alias("hash"), "text")
+        return cut(hashed.mapInArrow(_shingle_sets(size, wanted), "node long, n long, shingles binary"))
 
     bands = cut(signatures.mapInArrow(_buckets, "bucket long, band int, node long"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
@@ -299,6 +297,15 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
     return sketched, cut(final.select("key", F.coalesce("comp", "node").alias("comp"), F.coalesce("component_id", "id").alias("component_id")))
 
 
+def _numbers(sketched: DataFrame) -> DataFrame | None:
+    """``(id, digest, node)``, a number for each different row; None where each id has one row and so is a number itself."""
+    ids = sketched.filter("id is not null").groupBy("id").agg(F.count("*").alias("n"))
+    if ids.filter("n > 1").isEmpty():
+        return None
+    different = sketched.filter("id is not null and digest is not null").select("id", "digest").distinct()
+    return cut(different.withColumn("node", F.monotonically_increasing_id()))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",

@@ -222,10 +222,9 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, size: int, percent:
     named = sketched.filter("key is not null and id is not null")
     numbers = _numbers(sketched)
     numbered = named.withColumn("node", F.col("id")) if numbers is None else named.join(numbers, ["id", "digest"])
-    lead = F.min(F.struct("id", "digest", "node")).alias("lead")
-    classes = cut(numbered.groupBy("key").agg(lead, F.count("*").alias("copies")).select("key", "copies", "lead.id", "lead.node"))
-    signatures = numbered.join(classes.select("node"), "node", "left_semi").select("node", "sig")
-    signatures = cut(signatures if numbers is None else signatures.distinct())
+    lead = F.min(F.struct("id", "digest", "node", "sig")).alias("lead")
+    classes = cut(numbered.groupBy("key").agg(lead, F.count("*").alias("copies")).select("key", "copies", "lead.id", "lead.node", "lead.sig"))
+    signatures = classes.select("node", "sig")
     spark = docs.sparkSession
 
     def sets_of(needed: DataFrame) -> DataFrame:

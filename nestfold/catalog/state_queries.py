@@ -264,10 +264,11 @@ FROM (SELECT vec_id, embedding AS v, list_median([x::DOUBLE FOR x IN embedding])
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A given table as a stream, be it one file or a folder of files: a stream takes either only by a pattern."""
     configure(spark)
     spark.conf.set("spark.sql.streaming.schemaInference", "false")
     schema = rigs.table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
 
 
 def _work(spark: SparkSession) -> str:

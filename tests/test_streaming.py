@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 from pyspark.sql import functions as F
 
+from nestfold.catalog import state_queries
 from nestfold.operators.state import toggle_fold
 from nestfold.streaming import feedback
 
@@ -73,3 +74,12 @@ def test_posts_once_within_a_delay(spark, tmp_path):
     feedback.post_stream(stream, out, cp, True, within="1 day").awaitTermination()
     assert spark.read.parquet(out).groupBy("channel").agg(F.count("*").alias("n")).count() == 2
     assert spark.read.parquet(out).count() == 3
+
+
+def test_a_table_of_several_files_is_streamed(spark, tmp_path):
+    rows = spark.createDataFrame([(k, "s%d" % (k % 3)) for k in range(900)], "doc_id long, source string")
+    rows.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    rows.toPandas().to_parquet(tmp_path / "documents.parquet")
+    want = sorted({("s%d" % (k % 3), k % 300) for k in range(900)})
+    for d in (tmp_path / "folder", tmp_path):
+        assert sorted(map(tuple, state_queries.post_stream(spark, str(d)).collect())) == want

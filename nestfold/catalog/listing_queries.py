@@ -653,6 +653,10 @@ SELECT f.source, f.page, f.seq FROM f JOIN w ON f.source = w.source AND f.page =
 WHERE fresh AND stale = 0 AND past = 0 AND nth = w.page"""
 
 
+# Captured pages in one folder: a page is a few kilobytes, and a folder for each would be a file for some ten rows.
+PAGES_A_FOLDER = 1_000
+
+
 def captured_pages(spark, d):
     """The same pages as files, read by a reader that stops; no source is capped."""
     df = rigs.listings(spark, d)
@@ -661,10 +665,14 @@ def captured_pages(spark, d):
     fresh = (F.col("seq") % 90) < (91 - F.col("page") - F.col("seq") % 4)
     last = (F.col("source") == "nekretnine") & (F.col("page") == 12)
     folder = f"{work_folder(spark, 'pages')}"
-    rows = df.select("source", "page", "seq", F.when(fresh, "yes").otherwise("no").alias("fresh"), last.alias("last"))
-    rows.repartition("source", "page").write.partitionBy("source", "page").json(folder)
+    # Without nulls the writer needs no order of its own, which would undo that of the pages.
+    source = F.coalesce("source", F.lit("__HIVE_DEFAULT_PARTITION__")).alias("source")
+    first = F.col("page") - F.pmod(F.col("page") - 1, F.lit(PAGES_A_FOLDER))
+    span = F.concat_ws("-", first, first + PAGES_A_FOLDER - 1).alias("pages")
+    rows = df.select(source, span, "page", "seq", F.when(fresh, "yes").otherwise("no").alias("fresh"), last.alias("last"))
+    rows.repartition("source", "pages").sortWithinPartitions("source", "pages", "page").write.partitionBy("source", "pages").json(folder)
     captured.register(spark)
-    options = {"path": folder, "fresh_field": "fresh", "fresh_since": "yes", "last_field": "last"}
+    options = {"path": folder, "fresh_field": "fresh", "fresh_since": "yes", "last_field": "last", "span": str(PAGES_A_FOLDER)}
     read = spark.read.format("captured_pages").options(**options).load()
     return read.select("source", "page", F.get_json_object("payload", "$.seq").cast("bigint").alias("seq"))
 

@@ -63,6 +63,38 @@ def test_no_page_behind_the_stop_is_opened(tmp_path, monkeypatch):
     assert pages == {(f"source={s}", f"page={p}") for s, p in [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2), ("c", 1), ("c", 2), ("e", 1)]}
 
 
+def test_pages_may_share_folders(spark, tmp_path):
+    capture(tmp_path / "single", PAGES)
+    rows = [(s, p, json.dumps(r)) for (s, p), rs in PAGES.items() for r in rs]
+    for (s, p), rs in PAGES.items():
+        folder = tmp_path / "shared" / f"source={s}" / f"pages={p - (p - 1) % 3}-{p - (p - 1) % 3 + 2}"
+        folder.mkdir(parents=True, exist_ok=True)
+        for k, r in enumerate(rs):
+            with open(folder / f"part-{k % 2}.json", "a") as out:
+                out.write(json.dumps(r | {"page": p}) + "\n")
+    options = {"fresh_field": "posted", "fresh_since": "2026-05-01", "last_field": "last"}
+    for more in ({}, {"max_page": "1"}):
+        read = [captured.PagesReader(options | more | {"path": str(tmp_path / n), "span": span}) for n, span in (("single", "1"), ("shared", "3"))]
+        one, other = ([(s, p, json.loads(line)["id"]) for part in r.partitions() for s, p, line in r.read(part)] for r in read)
+        assert sorted(one) == sorted(other) and one
+    assert len(rows) > len(one)
+
+
+def test_captured_pages_are_few_files_in_page_order(spark, tmp_path, monkeypatch):
+    from nestfold.catalog import listing_queries
+
+    spark.range(0, 60_000).selectExpr("id as o_orderkey").coalesce(2).write.parquet(str(tmp_path / "orders.parquet"))
+    folder = tmp_path / "pages"
+    monkeypatch.setattr(listing_queries, "work_folder", lambda spark, name: str(folder))
+    found = listing_queries.captured_pages(spark, str(tmp_path)).collect()
+    assert found and len(found) == len({r.seq for r in found})
+    files = list(folder.rglob("part-*.json"))
+    assert len(files) == 8  # two spans of 1,000 pages for each of four sources
+    for f in files:
+        pages = [json.loads(line)["page"] for line in f.read_text().splitlines()]
+        assert pages == sorted(pages) and len(pages) >= 1_000
+
+
 # Click logs.
 
 

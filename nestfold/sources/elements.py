@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from nestfold.functions.text import once
 
 # A comment, a script or style with what it holds, or a tag, whose quoted attributes may hold ">".
+# The "<" stands before all alternatives, so that text between tags is passed over quickly.
 TAG = (
-    r"(?s)<!--.*?-->|<(?i:script)\b[^>]*>.*?</(?i:script)\s*>|<(?i:style)\b[^>]*>.*?</(?i:style)\s*>"
-    r"""|</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-zA-Z][^>]*+>|<![^>]*+>"""
+    r"(?s)<(?:!--.*?-->|(?i:script)\b[^>]*>.*?</(?i:script)\s*>|(?i:style)\b[^>]*>.*?</(?i:style)\s*>"
+    r"""|/?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|/?[a-zA-Z][^>]*+>|![^>]*+>)"""
 )
 _NAME = r"^</?([a-zA-Z][a-zA-Z0-9:-]*)"
 # Elements that hold nothing, and those that end an open paragraph (fixed values of HTML).
@@ -30,21 +31,28 @@ _STATE = "struct<i:int,name:string,depth:int,start:int,spans:array<struct<a:int,
 def _spans(tags: Column, wanted: Callable[[Column], Column]) -> Column:
     """Pairs (number of the opening tag, number of the tag that ends it) of the outermost wanted elements."""
 
-    def step(s: Column, t: Column) -> Column:
-        return once(F.struct(F.lower(F.regexp_extract(t, _NAME, 1)).alias("name"), t.startswith("</").alias("closes"), t.alias("tag")), lambda x: moved(s, x))
-
-    def moved(s: Column, x: Column) -> Column:
-        name, inside = x["name"], s["depth"] > 0
-        holds = ~x["closes"] & ~x["tag"].endswith("/>") & ~name.isin("", "script", "style", *VOID)
-        ends = inside & (s["name"] == "p") & name.isin(ENDS_PARAGRAPH)
-        by = F.when(name != s["name"], 0).when(x["closes"], -1).when(holds, 1).otherwise(0)
-        depth = F.when(ends, 0).when(inside, s["depth"] + by).otherwise(0)
-        done = inside & (depth == 0)
-        begins = (depth == 0) & holds & wanted(x["tag"])
+    # What each tag says by itself is told once a tag, and the depth after it once a step.
+    def told(t: Column) -> Column:
+        named = F.struct(F.lower(F.regexp_extract(t, _NAME, 1)).alias("name"), t.startswith("</").alias("closes"), t.alias("tag"))
+        return once(named, lambda x: F.struct(x["name"].alias("name"), x["closes"].alias("closes"), holds(x).alias("holds"), (holds(x) & wanted(x["tag"])).alias("wanted")))
+
+    def holds(x: Column) -> Column:
+        return ~x["closes"] & ~x["tag"].endswith("/>") & ~x["name"].isin("", "script", "style", *VOID)
+
+    def step(s: Column, x: Column) -> Column:
+        inside = s["depth"] > 0
+        ends = (s["name"] == "p") & x["name"].isin(ENDS_PARAGRAPH)
+        by = F.when(x["name"] != s["name"], 0).when(x["closes"], -1).when(x["holds"], 1).otherwise(0)
+        depth = F.when(~inside, 0).when(ends, 0).otherwise(s["depth"] + by)
+        return once(depth, lambda d: moved(s, x, d))
+
+    def moved(s: Column, x: Column, depth: Column) -> Column:
+        done = (s["depth"] > 0) & (depth == 0)
+        begins = (depth == 0) & x["wanted"]
         span = F.struct(s["start"].alias("a"), s["i"].alias("b"))
         return F.struct(
             (s["i"] + 1).alias("i"),
-            F.when(begins, name).otherwise(s["name"]).alias("name"),
+            F.when(begins, x["name"]).otherwise(s["name"]).alias("name"),
             F.when(begins, 1).otherwise(depth).alias("depth"),
             F.when(begins, s["i"]).otherwise(s["start"]).alias("start"),
             F.when(done, F.array_append(s["spans"], span)).otherwise(s["spans"]).alias("spans"),
@@ -56,7 +64,7 @@ def _spans(tags: Column, wanted: Callable[[Column], Column]) -> Column:
 
     none = F.array().cast("array<struct<a:int,b:int>>")
     init = F.struct(F.lit(0).alias("i"), F.lit("").alias("name"), F.lit(0).alias("depth"), F.lit(-1).alias("start"), none.alias("spans")).cast(_STATE)
-    return F.aggregate(tags, init, step, finish)
+    return F.aggregate(F.transform(tags, told), init, step, finish)
 
 
 def elements(html: Column, wanted: Callable[[Column], Column]) -> Column:
@@ -76,8 +84,11 @@ def elements(html: Column, wanted: Callable[[Column], Column]) -> Column:
 
         return F.transform(_spans(page["tags"], wanted), one)
 
-    cut = F.struct(F.regexp_extract_all(html, F.lit(TAG), F.lit(0)).alias("tags"), F.split(html, TAG, -1).alias("gaps"))
-    return F.coalesce(once(cut, read), F.array().cast("array<struct<tag:string,inner:string,texts:array<string>>>"))
+    def cut(page: Column) -> Column:
+        return F.struct(F.regexp_extract_all(page, F.lit(TAG), F.lit(0)).alias("tags"), F.split(page, TAG, -1).alias("gaps"))
+
+    # A page that is itself made by reading another is made once.
+    return F.coalesce(once(html, lambda page: once(cut(page), read)), F.array().cast("array<struct<tag:string,inner:string,texts:array<string>>>"))
 
 
 def matching(pattern: str) -> Callable[[Column], Column]:

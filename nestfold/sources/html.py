@@ -109,35 +109,41 @@ POST_HEAD = tag_of("div", attr("data-post"))
 
 def cards_b(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """List pages of source B to cards; a card without link or date is dropped."""
-    keep = keep or []
-    b = F.col("block")
-    headings = elements(b, matching(of_class(LIST_B_TITLE, "h2")))
-    anchors = elements(F.array_join(F.transform(headings, lambda e: e["inner"]), ""), matching(tag_of("a")))
-    rows = extract_blocks(pages, html_col, LIST_B_HEAD, {}, keep).withColumn("anchors", anchors)
-    # The link and, in its script, the facts of the card.
-    raw_tag = F.get("anchors", F.lit(0))["tag"]
-    tag = text.unescape(raw_tag)
-    href = text.unescape(found(raw_tag, attr("href")))
-    title = text.full_strip(text.unescape(all_texts(F.col("anchors"))))
-    currency = F.coalesce(found(tag, json_field("currency")), F.lit("EUR"))
-    price = F.coalesce(found(tag, json_field("price")).try_cast("double"), F.lit(0.0))
-    m2 = F.translate(found(tag, json_field("item_category4")), ",", ".")
-    kind = F.coalesce(found(tag, json_field("item_category2")), F.lit(""))
-    meta = found(b, text_after(of_class(LIST_B_META)))
-    place = found(b, text_after(of_class(LIST_B_PLACE)))
-    cards = rows.select(
-        *keep,
-        "block_no",
-        F.substring_index(F.regexp_replace(href, "/+$", ""), "/", -1).alias("id"),
-        F.concat(F.lit(LIST_B_BASE), href).alias("url"),
-        title.alias("title"),
-        F.when(currency == "EUR", price).otherwise(F.lit(0.0)).alias("price_eur"),
-        F.coalesce(m2.try_cast("double"), F.lit(0.0)).alias("m2"),
-        F.coalesce(parse.rooms_from_text(F.concat_ws(" ", kind, title)), F.lit(0.0)).alias("rooms"),
-        text.full_strip(text.unescape(F.coalesce(place, F.lit("")))).alias("location"),
-        parse.parse_dotted_date(meta, anchored=False).alias("posted_at"),
-    )
-    return cards.filter(F.col("url").isNotNull() & F.col("posted_at").isNotNull())
+    def read(b: Column, n: Column) -> Column:
+        headings = elements(b, matching(of_class(LIST_B_TITLE, "h2")))
+        anchors = elements(F.array_join(F.transform(headings, lambda e: e["inner"]), ""), matching(tag_of("a")))
+        return text.once(anchors, lambda found_here: text.once(told(found_here), lambda x: card(b, n, x)))
+
+    def told(anchors: Column) -> Column:
+        # The link and, in its script, the facts of the card.
+        raw_tag = F.get(anchors, F.lit(0))["tag"]
+        title = text.full_strip(text.unescape(all_texts(anchors)))
+        return F.struct(text.unescape(raw_tag).alias("tag"), text.unescape(found(raw_tag, attr("href"))).alias("href"), title.alias("title"))
+
+    def card(b: Column, n: Column, x: Column) -> Column:
+        tag, href, title = x["tag"], x["href"], x["title"]
+        currency = F.coalesce(found(tag, json_field("currency")), F.lit("EUR"))
+        price = F.coalesce(found(tag, json_field("price")).try_cast("double"), F.lit(0.0))
+        m2 = F.translate(found(tag, json_field("item_category4")), ",", ".")
+        kind = F.coalesce(found(tag, json_field("item_category2")), F.lit(""))
+        meta = found(b, text_after(of_class(LIST_B_META)))
+        place = found(b, text_after(of_class(LIST_B_PLACE)))
+        return F.struct(
+            n.alias("block_no"),
+            F.substring_index(F.regexp_replace(href, "/+$", ""), "/", -1).alias("id"),
+            F.concat(F.lit(LIST_B_BASE), href).alias("url"),
+            title.alias("title"),
+            F.when(currency == "EUR", price).otherwise(F.lit(0.0)).alias("price_eur"),
+            F.coalesce(m2.try_cast("double"), F.lit(0.0)).alias("m2"),
+            F.coalesce(parse.rooms_from_text(F.concat_ws(" ", kind, title)), F.lit(0.0)).alias("rooms"),
+            text.full_strip(text.unescape(F.coalesce(place, F.lit("")))).alias("location"),
+            parse.parse_dotted_date(meta, anchored=False).alias("posted_at"),
+        )
+
+    # Blocks are read inside the array, so each is parsed once and a dropped one never becomes a row.
+    cards = F.transform(cut_blocks(F.col(html_col), LIST_B_HEAD), lambda b, n: read(b, n))
+    whole = F.filter(cards, lambda c: c["url"].isNotNull() & c["posted_at"].isNotNull())
+    return pages.select(*(keep or []), F.inline(whole))
 
 
 def details_b(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:

@@ -84,3 +84,24 @@ def test_long_pages(spark):
     big = '<div class="c">' + "<i>t</i>" * 20_000 + f'<a title="{"x" * 300_000}">u</a>' + "</div><p>v</p>"
     (found,) = read(spark, [big], html.of_class("c"))
     assert len(found) == 1 and len(found[0][2]) == 20_001
+
+
+def test_a_card_is_parsed_once(spark):
+    """Its fields and the filter over them share one reading: one of the headings, one of the links in them."""
+    from nestfold.sources import html
+
+    plan = html.cards_b(spark.createDataFrame([("x",)], "html string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 2
+
+
+def test_ends_are_stripped_of_any_white_space(spark):
+    from pyspark.sql import functions as F
+
+    from nestfold.functions.space import full_strip
+    from nestfold.functions.text import unescape
+
+    texts = [" a b\n", "\u00a0\u2028x\u3000\r\n", "\x1c\t ", "", "a\nb c", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(full_strip(F.col("t"))).collect()] == ["a b", "x", "", "", "a\nb c", None]
+    refs = spark.createDataFrame([("&#8364;&#x20aC;&amp;lt;&#0;&#xD800;&nope;&#x110000;",)], "t string")
+    assert refs.select(unescape(F.col("t"))).first()[0] == "€€&lt;&#0;&#xD800;&nope;&#x110000;"

@@ -95,6 +95,15 @@ def test_captured_pages_are_few_files_in_page_order(spark, tmp_path, monkeypatch
         assert pages == sorted(pages) and len(pages) >= 1_000
 
 
+def test_a_task_widens_a_bounded_number_of_rows(spark, tmp_path, monkeypatch):
+    from nestfold.catalog import rigs
+
+    spark.range(0, 20_000).selectExpr("id as o_orderkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(rigs, "ROWS_A_TASK", 1_000)
+    table = rigs.table(spark, str(tmp_path), "orders")
+    assert table.rdd.getNumPartitions() == 20 and table.distinct().count() == 20_000
+
+
 # Click logs.
 
 

@@ -241,3 +241,14 @@ def test_common_subsequence_bound_equals_the_table():
     for off in (-1, 0, 1):
         got = similarity._share_subsequence(points, points, i, j, real + off)
         assert (got == (off <= 0)).all()
+
+
+def test_a_title_is_written_once_however_many_tiles_read_it(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "titles"
+    monkeypatch.setattr(similarity, "work_folder", lambda session, name: str(folder))
+    rows = [(k, f"stan broj {k:04d} u centru", 500.0) for k in range(60)]
+    df = spark.createDataFrame(rows, "seq long, title string, price_eur double")
+    out = similarity.fuzzy_title_join(df, tile_rows=3)
+    assert spark.read.parquet(str(folder)).count() == 60
+    assert len(list(folder.rglob("chunk=*"))) > 10
+    assert out.count() == 60 * 59 // 2  # each later title with each earlier one

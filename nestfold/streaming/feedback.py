@@ -158,25 +158,30 @@ def instant_stream(
 
     ``rows`` has ``listing_key, price_eur, stage, seq`` and may repeat a key: the first of a batch
     is sent. ``notified`` is the snapshot as it was before the stream started. What the stream itself sent
-    is one flag for each key in its state, so no batch reads an earlier one. A batch that
+    is one row for each key in its state, so no batch reads an earlier one. A batch that
     runs again starts from the same state and finds its manifest: each row leaves once.
     """
     outboxes.register(rows.sparkSession)
-    new = fresh_only(rows.select("listing_key", "price_eur", "stage", "seq"), notified)
-    first = new.groupBy("listing_key").applyInPandasWithState(_first_sent, OUTBOX, "sent boolean", "append", "NoTimeout")
-    writer = first.writeStream.format("outbox").option("path", outbox).option("checkpointLocation", checkpoint)
+    sent = first_sent(fresh_only(rows.select("listing_key", "price_eur", "stage", "seq"), notified))
+    writer = (
+        sent.writeStream.foreachBatch(lambda batch, batch_id: outboxes.write_batch(batch, outbox, batch_id))
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+    )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _first_sent(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """The row with the least ``seq`` of a key that was never sent; one row is held at a time."""
-    least = None
-    for frame in frames:
-        row = frame.loc[frame["seq"].idxmin()]
-        least = row if least is None or row["seq"] < least["seq"] else least
-    if least is not None and not state.exists:
-        state.update((True,))
-        yield pd.DataFrame({"listing_key": [key[0]], "price_eur": [least["price_eur"]], "stage": [least["stage"]]})
+def first_sent(rows: DataFrame) -> DataFrame:
+    """Streaming rows with the least ``seq`` of each key, in the batch in which the key came first.
+
+    All rows of a batch have its time, which the checkpoint keeps for a batch that runs again. The least row of a key
+    over all batches and the time of its last batch are one aggregate: the two times agree in the key's first batch only
+    (a clock that is set back must not hit an earlier batch's very millisecond). A missing ``seq`` counts as the last.
+    """
+    row = F.struct("at", F.col("seq").isNull().alias("unnumbered"), "seq", "price_eur", "stage")
+    keys = rows.withColumn("at", F.current_timestamp()).groupBy("listing_key").agg(F.min(row).alias("first"), F.max("at").alias("last"))
+    sent = keys.filter("first.at = last").select("listing_key", "first.price_eur", "first.stage")
+    return sent.select(F.col("listing_key").cast("string"), F.col("price_eur").cast("double"), F.col("stage").cast("string"))
 
 
 def fold_outbox(snapshot: DataFrame, sent: DataFrame, as_of: datetime) -> DataFrame:

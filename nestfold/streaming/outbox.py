@@ -16,7 +16,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceStreamArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from nestfold.sources.captured import file_system
@@ -69,8 +69,24 @@ class OutboxWriter(DataSourceStreamArrowWriter):
             files.delete_file(f"{root}/parts/{name}")
 
 
+class BatchWriter(DataSourceArrowWriter):
+    """One batch of a stream, as ``foreachBatch`` has it."""
+
+    def __init__(self, options: dict[str, str]):
+        self.outbox, self.batch_id = OutboxWriter(options), int(options["batch_id"])
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        return self.outbox.write(iterator)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        self.outbox.commit(messages, self.batch_id)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self.outbox.abort(messages, self.batch_id)
+
+
 class Outbox(DataSource):
-    """``writeStream.format("outbox").option("path", ...)``; ``read_batches`` reads it."""
+    """``writeStream.format("outbox").option("path", ...)``, or ``write_batch``; ``read_batches`` reads it."""
 
     @classmethod
     def name(cls) -> str:
@@ -79,11 +95,20 @@ class Outbox(DataSource):
     def streamWriter(self, schema: StructType, overwrite: bool) -> OutboxWriter:  # noqa: N802
         return OutboxWriter(dict(self.options))
 
+    def writer(self, schema: StructType, overwrite: bool) -> BatchWriter:
+        return BatchWriter(dict(self.options))
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Outbox)
 
 
+def write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
+    """Send a batch from ``foreachBatch``, for streams in update mode. A batch that runs again is computed again, since its
+    tasks write the state too, but its manifest stays the first one."""
+    batch.write.format("outbox").mode("append").option("path", path).option("batch_id", batch_id).save()
+
+
 def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The rows of all committed batches, with ``batch_id``. One short manifest a batch is read to name their files."""
     files, root = file_system(path)

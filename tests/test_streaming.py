@@ -1,5 +1,6 @@
 """Streams continue from their checkpoint and agree with their batch twins."""
 
+import shutil
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -65,6 +66,49 @@ def test_instant_rows_leave_once(spark, tmp_path):
     assert folded == {"old": (1.0, "match"), "n1": (6.0, "match"), "n2": (8.0, "near_miss")}
 
 
+def instants(spark, tmp_path, box, cp, rows=(), known=(("old",),)):
+    """Runs the stream over the rows so far and ``rows``; its query, and what left in which batch."""
+    schema, src = "listing_key string, price_eur double, stage string, seq long", str(tmp_path / "in")
+    if rows:
+        spark.createDataFrame(list(rows), schema).repartition(3).coalesce(1).write.mode("append").parquet(src)
+    old = spark.createDataFrame(list(known), "listing_key string").withColumn("notified_at", F.lit(T0))
+    query = feedback.instant_stream(spark.readStream.schema(schema).parquet(src), old, box, cp, True)
+    query.awaitTermination()
+    return query, sorted(tuple(r) for r in feedback.read_outbox(spark, box).select("batch_id", "listing_key", "price_eur", "stage").fillna("-", ["listing_key"]).collect())
+
+
+def test_instant_state_calls_no_function_for_a_key(spark, tmp_path):
+    rows = [(f"k{n % 5000}", float(n), "match", n) for n in reversed(range(15000))] + [("old", 1.0, "match", -1)]
+    query, sent = instants(spark, tmp_path, str(tmp_path / "box"), str(tmp_path / "cp"), rows)
+    assert sent == sorted((0, f"k{n}", float(n), "match") for n in range(5000))
+    assert [s["operatorName"] for p in query.recentProgress for s in p["stateOperators"]] == ["stateStoreSave"]
+
+
+def test_instant_rows_leave_once_whatever_their_number(spark, tmp_path):
+    box, cp = str(tmp_path / "box"), str(tmp_path / "cp")
+    first = [("a", 5.0, "match", 9), ("a", 4.0, "match", 12), ("b", 6.0, "match", None), ("b", 7.0, "near_miss", 8), ("c", None, "match", 1), ("c", 3.0, "match", 2), (None, 2.0, "match", 4), ("old", 1.0, "match", 1), ("u", 8.0, None, None)]
+    sent = [(0, "-", 2.0, "match"), (0, "a", 5.0, "match"), (0, "b", 7.0, "near_miss"), (0, "c", None, "match"), (0, "u", 8.0, None)]
+    assert instants(spark, tmp_path, box, cp, first)[1] == sent
+    # Numbers below those that left, and keys that left again, in two more batches.
+    for batch, new in ((1, "d"), (2, "e")):
+        sent.append((batch, new, 1.0, "match"))
+        again = [(k, 0.5, "match", -batch) for k in ("a", "b", "c", "d", None, "old", "u") if k != new]
+        assert instants(spark, tmp_path, box, cp, again[: 3 if batch == 1 else None] + [(new, 1.0, "match", 3)])[1] == sent
+
+
+def test_a_batch_whose_end_was_not_noted_leaves_once(spark, tmp_path):
+    box, cp, kept = (str(tmp_path / n) for n in ("box", "cp", "kept"))
+    instants(spark, tmp_path, box, cp, [("a", 1.0, "match", 1)])
+    _, sent = instants(spark, tmp_path, box, cp, [("a", 0.0, "match", 0), ("b", 2.0, "match", 2)])
+    shutil.copytree(cp, kept, ignore=lambda folder, names: [n for n in names if folder.endswith("commits") and n.strip(".").split(".")[0] == "1"])
+    query, again = instants(spark, tmp_path, box, kept)
+    assert [p["batchId"] for p in query.recentProgress] == [1]
+    assert again == sent == [(0, "a", 1.0, "match"), (1, "b", 2.0, "match")]
+    _, later = instants(spark, tmp_path, box, kept, [("a", 0.0, "match", 0), ("b", 0.0, "match", 0), ("c", 3.0, "match", 3)])
+    assert later == [*sent, (2, "c", 3.0, "match")]
+    assert len(list((tmp_path / "box" / "manifests").iterdir())) == 3
+
+
 def test_posts_once_within_a_delay(spark, tmp_path):
     src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
     schema = "channel string, message_id long, posted_at timestamp"

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from nestfold.operators import similarity
+from nestfold.operators import keyed, similarity
 from nestfold.operators.cluster import cluster_flats, connected_components, first_fit_labels
 from nestfold.operators.ratio import ratios
 
@@ -243,6 +243,77 @@ def test_common_subsequence_bound_equals_the_table():
         assert (got == (off <= 0)).all()
 
 
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        diagonal = 0
+        for k, y in enumerate(b, 1):
+            diagonal, row[k] = row[k], diagonal + 1 if x == y else max(row[k], row[k - 1])
+    return row[-1]
+
+
+@pytest.mark.parametrize("sizes, need, letters", [([12], 9, "abcd"), ([10, 14], 9, "abc"), ([9], 7, "ab"), ([11], 9, "čé😀x"), ([10], 10, "ab"), ([8], 2, "abc")])
+def test_keys_find_all_pairs_of_a_long_common_subsequence(monkeypatch, sizes, need, letters):
+    monkeypatch.setattr(keyed, "ALL_PAIRS", 0)
+    monkeypatch.setattr(keyed, "KEPT", 500)
+    monkeypatch.setattr(keyed, "PAIRS_HELD", 300)
+    rng = random.Random(len(sizes) + need)
+    sides = [sorted({"x y " + "".join(rng.choice(letters) for _ in range(n)) + "q" for _ in range(80)}) for n in sizes]
+    texts, first = sum(sides, []), len(sides[0])
+    want = {
+        (i, j) for j in range(len(texts)) for i in range(j)
+        if (len(sizes) == 1 or i < first <= j) and subsequence(texts[i], texts[j]) >= need + 5
+    }
+    got = set()
+    for side in (0, 1):
+        for part in range(4):
+            for x, y in keyed.near_pairs(sides, [n + 5 for n in sizes], need + 5, side, (part, 4)):
+                got |= set(zip(x.tolist(), y.tolist(), strict=True))
+    assert got == want
+
+
+def short_titles(n, seed):
+    rng = random.Random(seed)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(13, 17))).strip() for _ in range(n // 2)]
+    for k in range(n):
+        t = list(rng.choice(base))
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(t))
+            t[at : at + 1] = [] if rng.random() < 0.5 else rng.choice("abcdefgh")
+        yield k, None, None, None, 50.0, rng.choice([500.0, 510.0, 520.0, 540.0, 600.0, 640.0, 0.0]), "St " + "".join(t)
+
+
+def test_titles_found_by_keys_are_those_found_in_tiles(spark):
+    rows = list(short_titles(4000, 9))
+    df = spark.createDataFrame(rows, SCHEMA)
+    a, b = df.filter("seq % 3 = 0"), df.filter("seq % 3 > 0")
+    never = 1 << 60
+    for x, y in ((df, None), (a, b)):
+        tiled, found = (similarity.fuzzy_title_join(x, y, keyed_from=k).collect() for k in (never, 0))
+        assert len(found) == len(tiled) and set(found) == set(tiled) and found
+    tiled, found = (similarity.fuzzy_title_hits(a, b, keyed_from=k).collect() for k in (never, 0))
+    assert len(found) == len(tiled) and set(found) == set(tiled) and found
+
+
+def test_thin_links_by_keys_lead_to_the_same_rows(spark):
+    rows = list(short_titles(900, 10))
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole, thin = title_pairs(df, keyed_from=1 << 60), title_pairs(df, thin=True, keyed_from=0)
+    assert thin <= whole
+    assert led_to(rows, thin) == led_to(rows, whole)
+
+
+def test_keys_take_the_place_of_pairs_in_crowded_bands_of_short_titles(spark):
+    """The work that is planned follows the titles: with pairs it would grow by their square."""
+    made = lambda n, size: spark.createDataFrame([(k, 8, size, n) for k in range(180, 200)], "pb long, lb long, size int, n long")
+    units, done = similarity._keyed_units(made(300_000, 29), None, False, 0.8, similarity.KEYED_FROM)
+    assert done == {(8, 8)} and {u[2:5] for u in units} == {(29, 29, 24)}
+    more, _ = similarity._keyed_units(made(3_000_000, 29), None, False, 0.8, similarity.KEYED_FROM)
+    assert len(units) < len(more) < 40 * len(units)  # of 100 times the pairs
+    assert similarity._keyed_units(made(200, 29), None, False, 0.8, similarity.KEYED_FROM) == ([], set())
+    assert similarity._keyed_units(made(300_000, 60), None, False, 0.8, similarity.KEYED_FROM) == ([], set())
+
+
 def test_a_title_is_written_once_however_many_tiles_read_it(spark, tmp_path, monkeypatch):
     folder = tmp_path / "titles"
     monkeypatch.setattr(similarity, "work_folder", lambda session, name: str(folder))
